@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselens.llm.pretokens import PieceCache, load_ranks, pieces, pretokens
-from clauselens.llm.shared import blocks, id_and_text
+from clauselens.llm.shared import BLOCK_BYTES, blocks, id_and_text
 
 RANKS = "byte_bpe_50k.tiktoken"
 LONG_WORD = 256
@@ -184,6 +184,20 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
+    """What `decode` makes of `encode`, in one Python worker for each task, so that its memory is needed once."""
+    path = ranks or public_tokenizers.path(RANKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path)
+        for block in blocks(batches, limit=BLOCK_BYTES // 2):
+            ids = coder.encode([text or "" for text in block.column("text").to_pylist()])
+            n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            yield pa.record_batch([block.column("doc_id"), n, pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def op3_byte_bpe(docs: DataFrame) -> DataFrame:
     """Per document the digests of its ids and of the bytes decoded from them."""
-    return decode(encode(docs)).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_decode(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

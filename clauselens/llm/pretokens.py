@@ -44,7 +44,7 @@ class PieceCache:
     only costs its computation again.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 400_000):
+    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 250_000):
         self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
 
     def get(self, piece: str):
