@@ -76,7 +76,8 @@ def best_share(hashes: Column, own: list[int]) -> Column:
 
 def _prepared(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, list[int], list[int]]]:
     """Name, shingles and window keys of each template, by the same expressions as for texts."""
-    rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").withColumn("hashes", shingles(F.col("text")))
+    given = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text in sorted(templates.items())))
+    rows = spark.range(1).select(F.inline(given)).withColumn("hashes", shingles(F.col("text")))
     rows = rows.select("name", F.array_distinct("hashes").alias("hashes"), F.when(F.size("hashes") >= LONG, bands(F.col("hashes"), 1)).otherwise(F.col("hashes")).alias("keys"), F.size("hashes").alias("n"))
     return [(r.name, r.hashes, sorted({k for k in r.keys if k is not None})) for r in rows.collect() if r.n]
 
@@ -97,9 +98,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     for name, hashes, keys in found:
         share = best_share(F.col("hashes"), hashes)
         checks.append(F.when(F.arrays_overlap("hit", _longs(keys)), F.struct(F.lit(name).alias("license"), F.round(share, 4).alias("containment"))))
-    rows = hits.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("match")) if checks else None
-    if rows is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, license string, containment double")
+    if not checks:
+        raise ValueError("no template has a shingle")
+    rows = hits.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("match"))
     return rows.select("doc_id", "match.license", "match.containment").filter(F.col("containment") >= threshold)
 
 
