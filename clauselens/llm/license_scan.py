@@ -91,9 +91,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     found = _prepared(docs.sparkSession, templates or TEMPLATES)
     short = sorted({k for _, hashes, keys in found if len(hashes) < LONG for k in keys})
     long = sorted({k for _, hashes, keys in found if len(hashes) >= LONG for k in keys})
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingles(F.col(text_col)).alias("hashes"))
+    # explode() of one value gives it a column of its own; the optimizer would else write it out at each use.
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(shingles(F.col(text_col)))).alias("hashes"))
     hit = F.array_union(F.array_intersect("hashes", _longs(short)), F.array_intersect(bands(F.col("hashes"), STEP), _longs(long)) if long else _longs([]))
-    hits = hashed.filter(F.col("hashes").isNotNull()).withColumn("hit", hit).filter(F.size("hit") > 0)
+    hits = hashed.filter(F.col("hashes").isNotNull()).select("doc_id", "hashes", F.explode(F.array(hit)).alias("hit")).filter(F.size("hit") > 0)
     checks = []
     for name, hashes, keys in found:
         share = best_share(F.col("hashes"), hashes)
