@@ -60,7 +60,7 @@ class WordTokenizer:
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.normalize, self.tokenize = tokenizer.normalizer.normalize_str, tokenizer.model.tokenize
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.words, self.cache = PieceCache(self.encode_words), PieceCache(self.encode_pieces)
+        self.words, self.cache = PieceCache(self.encode_words, 400_000), PieceCache(self.encode_pieces, 400_000)
 
     def encode_words(self, new: list[str]) -> Iterator[bytes]:
         pack = struct.Struct(f"<{'H' if self.width == 2 else 'I'}").pack
@@ -69,7 +69,8 @@ class WordTokenizer:
             yield b"".join([pack(token.id) for token in self.tokenize(word)])
 
     def encode_pieces(self, new: list[str]) -> Iterator[bytes]:
-        split = [self.find(piece.lower() if piece.isascii() else self.normalize(piece)) for piece in new]
+        lower = [piece.lower() if piece.isascii() else self.normalize(piece) for piece in new]
+        split = [[piece] if piece.isalpha() else self.find(piece) for piece in lower]
         known = self.words.of({word for words in split for word in words})
         return (b"".join([known[word] for word in words]) for words in split)
 
