@@ -15,7 +15,6 @@ that only its present state is held. Repeated rows give repeated results.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselens.llm.pretokens import PieceCache, load_ranks, pieces, pretokens
-from clauselens.llm.shared import BLOCK_BYTES, blocks, id_and_text
+from clauselens.llm.shared import BLOCK_BYTES, blocks, held, id_and_text
 
 RANKS = "byte_bpe_50k.tiktoken"
 LONG_WORD = 256
@@ -155,9 +154,8 @@ class WordCoder:
         return [found.get(i, "").encode("latin-1") for i in range(len(ids))]
 
 
-@lru_cache(1)
 def _coder(path: str) -> WordCoder:
-    return WordCoder(path)
+    return held(("bpe", path), lambda: WordCoder(path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:

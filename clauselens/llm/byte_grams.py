@@ -31,8 +31,8 @@ class Lookup:
     A slot holds the last n-gram that came to it; another one in its place is computed anew.
     """
 
-    def __init__(self, compute: Callable[[np.ndarray], np.ndarray], width: int, cells: int = 1 << 24):
-        bits = max(10, min(22, (cells // width).bit_length() - 1))
+    def __init__(self, compute: Callable[[np.ndarray], np.ndarray], width: int, cells: int = 1 << 22):
+        bits = max(10, min(20, (cells // width).bit_length() - 1))
         self.compute, self.shift = compute, np.uint64(64 - bits)
         self.tags, self.rows = np.full(1 << bits, -1, "i8"), np.zeros((1 << bits, width), "f4")
 

@@ -15,8 +15,8 @@ language whose name comes first. Texts are scored whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselens.llm.byte_grams import Lookup, find, packed, sums
-from clauselens.llm.shared import blocks, id_and_text
+from clauselens.llm.shared import blocks, held, id_and_text
 
 ORDER, TRAIN_DOCS = 3, 400
 _letter = regex.compile(r"\p{L}").search
@@ -100,19 +100,16 @@ class Model:
     """Context trees of all languages; made from plain arrays, so that it can be broadcast."""
 
     def __init__(self, langs: list[str], trees: list[ContextTree], order: int):
-        self.langs, self.trees, self.order, self.lookup = langs, trees, order, None
-
-    def __getstate__(self) -> dict[str, Any]:
-        return self.__dict__ | {"lookup": None}
+        self.langs, self.trees, self.order, self.name = langs, trees, order, uuid.uuid4().hex
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
-        self.lookup = self.lookup or Lookup(self._bits, len(self.trees))
+        lookup = held(self.name, lambda: Lookup(self._bits, len(self.trees)))
         keys, starts = packed(texts, self.order + 1)
         out, step = np.zeros((len(texts), len(self.langs))), 1 << 20
         for first in range(0, len(keys), step):  # long texts are summed part by part
             a, b = np.searchsorted(starts, first, side="right") - 1, np.searchsorted(starts, first + step)
-            out[a:b] += sums(self.lookup(keys[first : first + step]), np.maximum(starts[a:b] - first, 0))
+            out[a:b] += sums(lookup(keys[first : first + step]), np.maximum(starts[a:b] - first, 0))
         return out
 
     def _bits(self, keys: np.ndarray) -> np.ndarray:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
@@ -48,6 +49,20 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
+_held: dict = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps from task to task: the tables and caches of the operator that it runs now.
+
+    Spark uses a worker again for other operators; the state of the last one goes first.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that most operators read, so that the scan reads no other."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

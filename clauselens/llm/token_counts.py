@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
 from clauselens.llm.pretokens import PieceCache, load_ranks, pieces, pretokens
-from clauselens.llm.shared import blocks, id_and_text
+from clauselens.llm.shared import blocks, held, id_and_text
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -85,9 +84,8 @@ class TrieCounter:
         return [(sum(x[0] for x in parts), sum(x[1] for x in parts)) for parts in found]
 
 
-@lru_cache(1)
 def _counter(path: str) -> TrieCounter:
-    return TrieCounter(zipf_scores(load_ranks(path)))
+    return held(("trie", path), lambda: TrieCounter(zipf_scores(load_ranks(path))))
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:

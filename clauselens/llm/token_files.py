@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from clauselens.llm.crc32c import crc32c, masked
 from clauselens.llm.pretokens import PieceCache
-from clauselens.llm.shared import blocks, id_and_text, shared_folder
+from clauselens.llm.shared import blocks, held, id_and_text, shared_folder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 NULL_ID = 1 << 31
@@ -81,9 +80,8 @@ class WordTokenizer:
         return [b"".join([known[piece] for piece in parts]) for parts in split]
 
 
-@lru_cache(1)
 def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return held(("words", path), lambda: WordTokenizer(path))
 
 
 def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
