@@ -83,7 +83,7 @@ class WordCoder:
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS FROM given")
             self.db.unregister("given")
-        self.cache = PieceCache(self.encode_pieces)
+        self.cache = PieceCache(self.encode_pieces, 150_000)
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """For each word its ids as little-endian unsigned 32-bit integers."""
@@ -188,7 +188,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        for block in blocks(batches, limit=BLOCK_BYTES // 2):
+        for block in blocks(batches, limit=BLOCK_BYTES // 4):
             ids = coder.encode([text or "" for text in block.column("text").to_pylist()])
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.record_batch([block.column("doc_id"), n, pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
