@@ -29,6 +29,8 @@ from clauselens.llm.byte_grams import Lookup, find, packed, sums
 from clauselens.llm.shared import blocks, held, id_and_text
 
 ORDER, TRAIN_DOCS = 3, 400
+#: Bytes of text whose n-grams are held at once; each takes some 50 bytes of memory meanwhile.
+GRAM_BYTES = 1 << 20
 _letter = regex.compile(r"\p{L}").search
 
 
@@ -48,7 +50,7 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for block in blocks(batches):
+        for block in blocks(batches, limit=GRAM_BYTES):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(block.column("lang").to_pylist(), block.column("text").to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append((text or "").encode())
@@ -142,7 +144,7 @@ def identify(docs: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col
     """One row for each document: doc_id, lang_pred and score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=GRAM_BYTES):
             langs, scores, _ = model.value.predict(block.column("text").to_pylist())
             yield pa.record_batch([block.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -157,7 +159,7 @@ def keep_identified(docs: DataFrame, model: Broadcast, least_score: float = 0.5,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=GRAM_BYTES):
             langs, scores, rates = model.value.predict(block.column("text").to_pylist())
             yield block.filter(pa.array([lang != "und" and s >= least_score and r <= most_bits for lang, s, r in zip(langs, scores, rates, strict=True)], pa.bool_()))
 
