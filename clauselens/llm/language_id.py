@@ -41,8 +41,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _train_rows(docs: DataFrame, train_docs: int) -> DataFrame:
     """About `train_docs` labelled rows of each language."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per_lang = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
-    return labelled.join(per_lang, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("rows") < F.lit(train_docs << 30)).select("lang", "text")
+    rows = [x for r in labelled.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(r["count"]))]  # a row for each language
+    if not rows:
+        return labelled.select("lang", "text").limit(0)
+    return labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.create_map(*rows)[F.col("lang")] < F.lit(train_docs << 30)).select("lang", "text")
 
 
 def count_grams(rows: DataFrame, order: int) -> DataFrame:
