@@ -31,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def sql_query(name: str, sql: str) -> None:
-    """Registers a query whose text both engines read alike; the tables come in as DataFrames."""
+def sql_query(name: str, sql: str, oracle: str | None = None) -> None:
+    """Registers a query in SQL, and DuckDB's text if that differs; the tables come in as DataFrames."""
     named = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2} AS \2", sql)
     named = re.sub(r"\} AS (\w+) (?:AS )?(?!ON\b|JOIN\b|WHERE\b|GROUP\b|ORDER\b|LEFT\b|CROSS\b|UNION\b|EXCEPT\b|INTERSECT\b|HAVING\b|LIMIT\b|QUALIFY\b|SEMI\b|ANTI\b|USING\b|INNER\b)([a-z]\w*)\b", r"} AS \2", named)
     used = [t for t in TABLES if f"{{{t}}}" in named]
@@ -40,4 +40,4 @@ def sql_query(name: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(named, **{t: table(spark, sf_dir, t) for t in used})
 
-    QUERIES[name], ORACLE_SQL[name] = run, sql
+    QUERIES[name], ORACLE_SQL[name] = run, oracle or sql
