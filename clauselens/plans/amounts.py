@@ -40,7 +40,7 @@ QUERIES = {
     "filter_amount_range": f"SELECT l_orderkey, l_linenumber FROM {TEXTS} t WHERE {parsed()} >= 100000000 AND {parsed()} <= 300000000",
     "ent_amount": f"SELECT l_orderkey, l_linenumber, CASE WHEN said LIKE '%이상%' OR said NOT LIKE '%이하%' THEN {parsed('said')} END AS min_amount, CASE WHEN said LIKE '%이하%' OR said NOT LIKE '%이상%' THEN {parsed('said')} END AS max_amount FROM (SELECT l_orderkey, l_linenumber, CONCAT(amount, CASE l_linenumber WHEN 1 THEN ' 이상' WHEN 2 THEN ' 이하' ELSE '' END) AS said FROM {TEXTS} t) q",
     "row_text": f"SELECT l_orderkey, l_linenumber, CONCAT_WS(', ', p.p_name, CONCAT('가입금액: ', amount)) AS row_text FROM (SELECT t.*, i.l_partkey FROM {TEXTS} t JOIN (SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey FROM lineitem) i ON t.l_orderkey = i.ok AND t.l_linenumber = i.ln) r JOIN part p ON r.l_partkey = p.p_partkey",
-    "build_benefits": f"SELECT l.l_suppkey, l.l_partkey, MAX(CAST(FLOOR(l.l_extendedprice) AS BIGINT)) AS amount, CASE WHEN p.p_type LIKE '%STEEL%' THEN 'diagnosis' WHEN p.p_type LIKE '%BRASS%' THEN 'surgery' ELSE 'other' END AS benefit_type, 'once' AS frequency FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_suppkey, l.l_partkey, p.p_type",
+    "build_benefits": f"SELECT l.l_suppkey, l.l_partkey, MAX(CAST(FLOOR(l.l_extendedprice) AS BIGINT)) AS amount, CASE WHEN p.p_type LIKE '%ECONOMY%' THEN 'diagnosis' WHEN p.p_type LIKE '%PROMO%' THEN 'surgery' ELSE 'other' END AS benefit_type, 'once' AS frequency FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_suppkey, l.l_partkey, p.p_type",
 }
 
 for _name, _sql in QUERIES.items():

@@ -14,8 +14,8 @@ QUERIES = {
     "filter_between_open": "SELECT p_partkey, p_size FROM part WHERE (p_size >= 10 OR p_size IS NULL) AND p_size BETWEEN 5 AND 30",
     "filter_length": "SELECT doc_id, LENGTH(text) AS n FROM documents WHERE LENGTH(text) >= 50",
     "like_all": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%' AND p_name LIKE '%e%'",
-    "like_any": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'a%' OR p_name LIKE '%s'",
-    "not_like_except": "SELECT p_partkey, p_type FROM part WHERE p_type NOT LIKE '%STEEL%' OR p_type LIKE '%STANDARD%'",
+    "like_any": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%' OR p_name LIKE '%bolt'",
+    "not_like_except": "SELECT p_partkey, p_type FROM part WHERE p_type NOT LIKE '%M%' OR p_type LIKE '%MEDIUM%'",
     "min_or_null": "SELECT l_orderkey, l_linenumber, NULLIF(l_discount, 0.0) AS discount FROM lineitem WHERE NULLIF(l_discount, 0.0) >= 0.05 OR NULLIF(l_discount, 0.0) IS NULL",
     "clause_topic": "SELECT doc_id FROM documents WHERE text LIKE '%License%' OR LOWER(text) LIKE '%copyright%'",
     "name_search": "SELECT p_partkey, p_name, COUNT(*) OVER () AS matches FROM part WHERE LOWER(p_name) LIKE '%a%' ORDER BY p_name, p_partkey LIMIT 50",
@@ -61,8 +61,8 @@ QUERIES = {
     "win_budget": "SELECT doc_id, running FROM (SELECT doc_id, source, SUM(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM documents) t WHERE running <= 4000",
     "citations": "SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS citation FROM conversations WHERE role = 'assistant'",
     "sources_dedupe": "SELECT source, doc_id FROM (SELECT source, doc_id, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM (SELECT source, MIN(doc_id) AS doc_id FROM documents GROUP BY source, SUBSTRING(text, 1, 100)) u) t WHERE place <= 3",
-    "top1_priority": "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%STEEL%' THEN 0 ELSE 1 END, LENGTH(p_name), p_retailprice DESC NULLS LAST, p_partkey) AS rn FROM part) t WHERE rn = 1",
-    "top5_case": "SELECT p_brand, p_partkey, rn FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%BRASS%' THEN 1 WHEN p_type LIKE '%TIN%' THEN 2 ELSE 3 END, p_partkey) AS rn FROM part) t WHERE rn <= 5",
+    "top1_priority": "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%ECONOMY%' THEN 0 ELSE 1 END, LENGTH(p_name), p_retailprice DESC NULLS LAST, p_partkey) AS rn FROM part) t WHERE rn = 1",
+    "top5_case": "SELECT p_brand, p_partkey, rn FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%PROMO%' THEN 1 WHEN p_type LIKE '%MEDIUM%' THEN 2 ELSE 3 END, p_partkey) AS rn FROM part) t WHERE rn <= 5",
     "win_gap": "SELECT o_custkey, o_totalprice - following AS gap FROM (SELECT o_custkey, o_totalprice, LEAD(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS following, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn = 1 AND following IS NOT NULL",
     "recommend": "SELECT l_partkey, MAX(l_extendedprice) AS most, MIN(l_tax) AS least, COUNT(DISTINCT l_extendedprice) = 1 AS all_equal FROM lineitem GROUP BY l_partkey HAVING COUNT(*) >= 2",
     "fallback_tiers": "SELECT source, tier, doc_id FROM (SELECT source, tier, doc_id, MIN(tier) OVER (PARTITION BY source) AS best FROM (SELECT source, CASE WHEN lang = 'de' AND n_chars > 5000 THEN 1 WHEN lang = 'de' THEN 2 ELSE 3 END AS tier, doc_id FROM documents) u) t WHERE tier = best",

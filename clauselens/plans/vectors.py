@@ -13,9 +13,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselens.registry import query, sql_query, table
+from clauselens.registry import QUERIES, query, sql_query, table
 
-K, CELLS, PROBES, FIT_ROWS = 10, 16, 6, 100_000
+K, CELLS, PROBES, FIT_ROWS = 10, 16, 12, 100_000
 
 DOT = "aggregate(zip_with(q.embedding, e.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
 NORM = "sqrt(aggregate({}.embedding, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
@@ -34,7 +34,7 @@ both("knn_batch", TOP.replace("@way", "DESC").replace("@more", ""), "cos")
 both("knn_filtered", TOP.replace("@way", "DESC").replace("@more", "AND e.label IN (1, 2, 3)"), "cos")
 both("knn_l2", TOP.replace("@way", "ASC").replace("@more", ""), "l2")
 both("knn_ip", TOP.replace("@way", "DESC").replace("@more", ""), "ip")
-both("knn_threshold", f"SELECT * FROM ({PAIRS}) p WHERE score >= 0.7", "cos")
+both("knn_threshold", f"SELECT * FROM ({PAIRS}) p WHERE score >= 0.3", "cos")
 both("hybrid_search", f"SELECT query_id, vec_id, final FROM (SELECT query_id, vec_id, final, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY final DESC, vec_id) AS place FROM (SELECT t.query_id, t.vec_id, round(t.score + CASE WHEN d.text LIKE '%License%' THEN 0.15E0 ELSE 0E0 END, 6) AS final FROM ({TOP.replace('@way', 'DESC').replace('@more', '').replace(f'<= {K}', f'<= {3 * K}')}) t JOIN documents d ON t.vec_id = d.doc_id) u) v WHERE place <= {K}", "cos")
 sql_query("vector_metadata", "SELECT e.vec_id, e.label, d.lang, d.source, b.quality FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id LEFT JOIN labels b ON d.doc_id = b.doc_id")
 sql_query("dq_vector_dim", "SELECT size(embedding) AS dim, COUNT(*) AS n FROM embeddings GROUP BY size(embedding)", "SELECT len(embedding) AS dim, COUNT(*) AS n FROM embeddings GROUP BY len(embedding)")
@@ -60,8 +60,6 @@ def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     found.createOrReplaceTempView("_found")
     top = spark.sql(f"SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM _found) WHERE place <= {K}")
     spark.catalog.dropTempView("_found")
-    from clauselens import registry
-
-    exact = registry.QUERIES["knn_ip"](spark, sf_dir).select("query_id", "vec_id")
+    exact = QUERIES["knn_ip"](spark, sf_dir).select("query_id", "vec_id")
     hits = exact.join(top.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
     return hits.groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))

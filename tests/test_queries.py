@@ -32,3 +32,12 @@ def test_same_as_sql(spark, duck, name):
     ours, theirs = registry.QUERIES[name](spark, DATA).toPandas(), duck.sql(registry.ORACLE_SQL[name]).df()
     assert sorted(ours) == sorted(theirs)
     assert rows(ours) == rows(theirs)
+
+
+def test_recall_by_cells(spark):
+    found = registry.QUERIES["knn_ivf_recall"](spark, "/root/testdata/sf0.01").toPandas()
+    assert found["found"].sum() >= 0.9 * found["wanted"].sum() > 0
+
+
+def test_amounts_come_back(spark):
+    assert registry.QUERIES["amount_table"](spark, DATA).filter("NOT same OR same IS NULL").count() == 0
