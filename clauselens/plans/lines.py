@@ -11,10 +11,7 @@ LINES = {
     "sections": "SELECT doc_id, line_no, CASE WHEN line LIKE '#%' THEN 'heading' WHEN REGEXP_EXTRACT(line, '^([0-9]+[.)])', 1) <> '' THEN 'numbered' WHEN line LIKE '%:' THEN 'label' ELSE 'upper' END AS kind, TRIM(line) AS title FROM @lines t WHERE line LIKE '#%' OR REGEXP_EXTRACT(line, '^([0-9]+[.)])', 1) <> '' OR line LIKE '%:' OR (LENGTH(TRIM(line)) BETWEEN 4 AND 60 AND UPPER(line) = line AND LOWER(line) <> line)",
     "text_blocks": "SELECT doc_id, line_no, TRIM(line) AS block, LENGTH(TRIM(line)) AS n FROM @lines t WHERE LENGTH(TRIM(line)) >= 20",
     "route_parse": "SELECT doc_id, line_no, CASE WHEN line LIKE '%|%' AND source LIKE 'src1%' THEN 'table' WHEN line LIKE '%|%' THEN 'hybrid' ELSE 'text' END AS parser FROM @lines t WHERE TRIM(line) <> ''",
-    "condition_extract": "SELECT doc_id, line_no, n AS days FROM (SELECT doc_id, line_no, TRY_CAST(NULLIF(REGEXP_EXTRACT(line, '([0-9]+)[ -]?(?:day|Tag|jour)', 1), '') AS BIGINT) AS n FROM @lines t) u WHERE n BETWEEN 1 AND 365",
-    "exclusion_extract": "SELECT doc_id, line_no, CASE WHEN LOWER(line) LIKE '% not %' THEN 'negated' ELSE 'without' END AS kind, NOT (LOWER(line) LIKE '%except%' OR LOWER(line) LIKE '%unless%') AS is_absolute, SUBSTRING(line, 1, 2000) AS body FROM @lines t WHERE LOWER(line) LIKE '% not %' OR LOWER(line) LIKE '%without%'",
     "win_line_context": "SELECT doc_id, line_no, before_1, line, after_1, after_2 FROM (SELECT doc_id, line_no, line, LAG(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before_1, LEAD(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS after_1, LEAD(line, 2) OVER (PARTITION BY doc_id ORDER BY line_no) AS after_2 FROM @lines t) u WHERE LOWER(line) LIKE '%license%'",
-    "fact_age": "SELECT doc_id, line_no, n AS age FROM (SELECT doc_id, line_no, TRY_CAST(NULLIF(REGEXP_EXTRACT(line, '([0-9]+)', 1), '') AS BIGINT) AS n FROM @lines t) u WHERE n BETWEEN 0 AND 120",
 }
 for _name, _sql in LINES.items():
     sql_query(_name, _sql.replace("@lines", SPARK_LINES), _sql.replace("@lines", DUCK_LINES))
@@ -22,14 +19,6 @@ for _name, _sql in LINES.items():
 # One text for both engines.
 SAME = {
     "meta_from_path": "SELECT page_id, REGEXP_EXTRACT(url, '^[a-z]+://([^/]+)', 1) AS host, REGEXP_EXTRACT(url, '([^/]*)$', 1) AS file_name, REGEXP_EXTRACT(url, '[.]([a-z0-9]+)$', 1) AS suffix FROM pages",
-    "name_clean": "SELECT p_partkey, TRIM(REPLACE(REPLACE(p_name, '  ', ' '), '-', ' ')) AS name FROM part",
-    "coverage_code": "SELECT p_partkey, UPPER(REPLACE(REPLACE(REPLACE(p_name, ' ', '_'), '(', ''), ')', '')) AS code FROM part",
-    "coverage_canon": "SELECT p_partkey, CASE WHEN LENGTH(name) > 6 AND name LIKE '%part' THEN SUBSTRING(name, 1, LENGTH(name) - 4) ELSE name END AS canon FROM (SELECT p_partkey, REPLACE(LOWER(p_name), ' ', '') AS name FROM part) t",
-    "coverage_category": "SELECT p_partkey, CASE WHEN p_name LIKE '%bolt%' THEN 'fastener' WHEN p_name LIKE '%gear%' THEN 'drive' WHEN p_type = 'PROMO' THEN 'offer' WHEN p_type = 'ECONOMY' THEN 'basic' ELSE 'other' END AS category FROM part",
-    "renewal_type": "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%NOT SPEC%' THEN 'none' WHEN o_orderpriority LIKE '%SPEC%' THEN 'given' WHEN o_orderpriority LIKE '1%' THEN 'urgent' ELSE 'other' END AS kind FROM orders",
-    "name_validate": "SELECT p_partkey, CONCAT_WS(',', CASE WHEN LENGTH(p_name) < 2 OR LENGTH(p_name) > 80 THEN 'length' END, CASE WHEN 4 * (LENGTH(p_name) - LENGTH(REPLACE(p_name, ' ', ''))) > LENGTH(p_name) THEN 'spaces' END, CASE WHEN REGEXP_EXTRACT(p_name, '^([0-9.,]+)$', 1) <> '' THEN 'number' END, CASE WHEN p_name LIKE '%://%' THEN 'url' END) AS broken FROM part",
-    "dq_name_rules": "SELECT rule, COUNT(*) AS n FROM (SELECT CASE WHEN LENGTH(p_name) < 9 THEN 'short' WHEN p_name LIKE 's%' THEN 's names' ELSE 'clean' END AS rule FROM part) t GROUP BY rule",
-    "listing_noise": "SELECT p_partkey, p_name FROM part WHERE LENGTH(p_name) >= 3 AND REGEXP_EXTRACT(p_name, '^([0-9]+)', 1) = ''",
     "age_range": "SELECT p_partkey, CASE WHEN p_size <= 40 THEN 0 ELSE 41 END AS age_from, CASE WHEN p_size <= 40 THEN 40 ELSE 100 END AS age_to FROM part",
     "filter_regex": "SELECT o_orderkey FROM orders WHERE REGEXP_EXTRACT(o_orderpriority, '^([12]-)', 1) <> ''",
     "reply_parse": "SELECT conv_id, turn, CASE WHEN text LIKE '%?%' THEN 'NONE' ELSE REGEXP_EXTRACT(text, '([0-9]+)', 1) END AS answer FROM conversations WHERE role = 'assistant'",
