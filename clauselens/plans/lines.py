@@ -21,9 +21,7 @@ SAME = {
     "meta_from_path": "SELECT page_id, REGEXP_EXTRACT(url, '^[a-z]+://([^/]+)', 1) AS host, REGEXP_EXTRACT(url, '([^/]*)$', 1) AS file_name, REGEXP_EXTRACT(url, '[.]([a-z0-9]+)$', 1) AS suffix FROM pages",
     "age_range": "SELECT p_partkey, CASE WHEN p_size <= 40 THEN 0 ELSE 41 END AS age_from, CASE WHEN p_size <= 40 THEN 40 ELSE 100 END AS age_to FROM part",
     "filter_regex": "SELECT o_orderkey FROM orders WHERE REGEXP_EXTRACT(o_orderpriority, '^([12]-)', 1) <> ''",
-    "reply_parse": "SELECT conv_id, turn, CASE WHEN text LIKE '%?%' THEN 'NONE' ELSE REGEXP_EXTRACT(text, '([0-9]+)', 1) END AS answer FROM conversations WHERE role = 'assistant'",
     "ent_company": "SELECT c_custkey, company FROM (SELECT q.c_custkey, d.n_name AS company, ROW_NUMBER() OVER (PARTITION BY q.c_custkey ORDER BY LENGTH(d.n_name) DESC, d.n_name) AS place FROM (SELECT c.c_custkey, CONCAT('orders of ', c.c_name, ' in ', n.n_name) AS said FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey) q JOIN (SELECT n_name FROM nation) d ON q.said LIKE CONCAT('%', d.n_name, '%')) t WHERE place = 1",
-    "ent_intent": "SELECT conv_id, turn, text LIKE '%?%' AS asks, LOWER(text) LIKE '%compare%' AS compares, LOWER(text) LIKE '%all %' AS wants_all FROM conversations WHERE role = 'user'",
     "rerank_boost": "SELECT doc_id, CASE WHEN 0.15E0 * hits > 0.5E0 THEN 0.5E0 ELSE 0.15E0 * hits END AS boost FROM (SELECT doc_id, CASE WHEN text LIKE '%a%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%License%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%der%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END AS hits FROM documents) t",
     "agg_graph_stats": "SELECT kind, COUNT(*) AS n FROM (SELECT 'nation' AS kind FROM nation UNION ALL SELECT 'supplier' FROM supplier UNION ALL SELECT 'offers' FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) o) t GROUP BY kind",
     "resume_todo": "SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL",

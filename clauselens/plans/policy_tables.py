@@ -13,7 +13,7 @@ WORDS = {
     "@JOINED(": ("array_join(", "array_to_string("), "@KEEP(": ("filter(", "list_filter("), "@MAP(": ("transform(", "list_transform("),
     "@SPLIT(": ("split(", "string_split_regex("), "@SLICE(": ("slice(", "list_slice("), "@EXPLODE(": ("explode(", "unnest("),
     "@SORT(": ("array_sort(", "list_sort("), "@DISTINCT(": ("array_distinct(", "list_distinct("), "@c": ("c ->", "lambda c:"),
-    "@UPTO(": ("sequence(1, ", "range(1, 1 + "), "@COLLECT(": ("collect_list(", "list("), "@FIND(": ("regexp_extract_all(", "regexp_extract_all("),
+    "@UPTO(": ("sequence(1, ", "range(1, 1 + "), "@COLLECT(": ("collect_list(", "list("), "@JSON(": ("get_json_object(", "json_extract_string("), "@OPEN": ("{{", "{"), "@CLOSE": ("}}", "}"), "@FIND(": ("regexp_extract_all(", "regexp_extract_all("),
 }
 
 

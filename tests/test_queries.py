@@ -8,8 +8,9 @@ import pandas as pd
 import pytest
 
 from clauselens import registry
-from clauselens.plans import amounts, catalogue, clauses, graph, lines, names, relational, vectors  # noqa: F401
-from clauselens.sources import sinks  # noqa: F401
+from clauselens.plans import amounts, catalogue, clauses, entities, graph, lines, names, relational, vectors  # noqa: F401
+from clauselens.functions import text  # noqa: F401
+from clauselens.sources import nested, sinks  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
