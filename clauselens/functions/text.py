@@ -46,14 +46,18 @@ def nfc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_fuzzy_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best coverage of the same carrier for each named clause, by partial likeness of 80 or more."""
-    clauses = QUERIES["compare_parse"](spark, sf_dir).filter("coverage IS NOT NULL AND l_orderkey % 4 = 0")
+    """Best coverage of the same carrier for each clause with a premium, which is one that names a coverage, by partial likeness of 80 or more."""
+    clauses = QUERIES["compare_parse"](spark, sf_dir).filter("coverage IS NOT NULL AND premium IS NOT NULL")
     sellers = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     names = QUERIES["coverage_canon"](spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "name")
     offered = sellers.join(names, "l_partkey").groupBy("l_suppkey", "name").agg(F.min("l_partkey").alias("coverage_id"))
     asked = clauses.join(sellers, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_suppkey", F.substring("coverage", 1, 200).alias("said"))
     # equal texts of one carrier are scored once
-    scored = asked.select("l_suppkey", "said").distinct().join(offered, "l_suppkey").withColumn("ratio", partial_ratio_of("said", "name")).filter("ratio >= 80")
+    pairs = asked.select("l_suppkey", "said").distinct().join(offered, "l_suppkey")
+    # a text within the other has a ratio of 100, which nothing exceeds: only texts without one are scored in Python
+    inside = pairs.filter("instr(said, name) > 0 OR instr(name, said) > 0").withColumn("ratio", F.lit(100).cast("long"))
+    others = pairs.join(inside.select("l_suppkey", "said").distinct(), ["l_suppkey", "said"], "left_anti")
+    scored = inside.unionByName(others.withColumn("ratio", partial_ratio_of("said", "name")).filter("ratio >= 80"))
     best = scored.groupBy("l_suppkey", "said").agg(F.max_by(F.struct("coverage_id", "ratio"), F.struct("ratio", -F.col("coverage_id"))).alias("best"))
     return asked.join(best, ["l_suppkey", "said"]).select("l_orderkey", "l_linenumber", "best.coverage_id", "best.ratio")
 
