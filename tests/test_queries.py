@@ -42,3 +42,17 @@ def test_recall_by_cells(spark):
 
 def test_amounts_come_back(spark):
     assert registry.QUERIES["amount_table"](spark, DATA).filter("NOT same OR same IS NULL").count() == 0
+
+
+def test_layouts_give_back_what_was_laid_out(spark):
+    from clauselens.plans.amounts import TEXTS
+
+    laid_out = spark.sql(f"SELECT l_orderkey, l_linenumber, amount FROM {TEXTS.replace('FROM lineitem', f'FROM parquet.`{DATA}/lineitem.parquet`')} t").collect()
+    parsed = registry.QUERIES["layout_parse"](spark, DATA).collect()
+    assert {r.co for r in parsed} == set(range(8))
+    assert {(r.l_orderkey, r.l_linenumber, r.coverage_amount) for r in parsed} <= {tuple(r) for r in laid_out}  # keys repeat in the table
+
+
+@pytest.mark.parametrize(("a", "b", "least", "most"), [("", "x", 0, 0), ("암진단비", "일반암진단비 특약", 100, 100), ("abcd", "xxabzdxx", 70, 80), ("abc", "xyz", 0, 0)])
+def test_partial_ratio(a, b, least, most):
+    assert least <= text.partial_ratio(a, b) <= most
