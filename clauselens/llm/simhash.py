@@ -35,22 +35,31 @@ _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """A bit is set if more than half of the shingles' hashes, repeats included, have it set."""
+def shingle_texts(text: str | None, shingle: int) -> list[str]:
+    """The word shingles of a text, repeats included; a text of fewer words is one shingle, an empty one has none."""
     words = _words((text or "").translate(_LOWER))
-    if not words:
-        return 0
     if len(words) <= shingle:
-        parts = [" ".join(words)]
-    else:
-        parts = map(" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter(map(_hash, parts), "<u8", max(1, len(words) - shingle + 1))
+        return [" ".join(words)] if words else []
+    return list(map(" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    parts = shingle_texts(text, shingle)
+    return np.fromiter(map(_hash, parts), "<u8", len(parts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if more than half of the hashes, repeats included, have it set."""
     counts = np.zeros(64, "i8")
     for start in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[start : start + (1 << 15)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def _hash(part: str) -> int:
     return xxhash.xxh64_intdigest(part, SEED)
 
@@ -214,12 +223,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """One row for each document: doc_id, print and component_id, the smallest doc_id of its class."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle))
+    return labelled(written(fingerprints(docs, id_col, text_col, shingle)), None, radius, shard)
+
+
+def labelled(prints: DataFrame, more: DataFrame | None = None, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """The documents of `prints` (doc_id, print) with component_id; `more` has links (a, b) besides those within the radius."""
     classes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
-    joined = components(links(classes.select("print"), radius, shard))
-    labelled = classes.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_print = labelled.join(least, "component").select("print", "component_id")
+    found = links(classes.select("print"), radius, shard)
+    joined = components(found if more is None else found.unionByName(more))
+    labels = classes.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    least = labels.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_print = labels.join(least, "component").select("print", "component_id")
     return prints.join(of_print, "print").select("doc_id", "print", "component_id")
 
 

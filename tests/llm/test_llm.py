@@ -228,3 +228,25 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert 0 < docs.select("doc_id").distinct().count() <= 200
     assert duckdb.__version__
+
+
+def test_near_copies_against_brute_force(spark):
+    from clauselens.llm import jaccard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: set(simhash.shingle_texts(r.text, 5)) for r in docs.collect()}
+    ids = [i for i, s in sorted(rows.items()) if s]
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(rows[a]) >= 4 * len(rows[b]) and 5 * len(rows[b]) >= 4 * len(rows[a]) and 5 * len(rows[a] & rows[b]) >= 4 * len(rows[a] | rows[b])]
+    assert sum(rows[a] != rows[b] for a, b in near) >= 12
+    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert all(found[a] == found[b] for a, b in near)
+    prints = {r.doc_id: r.print for r in simhash.fingerprints(docs, shingle=5).collect()}
+    head = {i: i for i in rows}
+    linked = near + [(a, b) for k, a in enumerate(sorted(rows)) for b in sorted(rows)[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2]
+    for _ in rows:
+        before = dict(head)
+        for a, b in linked:
+            head[a] = head[b] = min(head[a], head[b])
+        if head == before:
+            break
+    assert found == head
