@@ -56,3 +56,9 @@ def test_layouts_give_back_what_was_laid_out(spark):
 @pytest.mark.parametrize(("a", "b", "least", "most"), [("", "x", 0, 0), ("암진단비", "일반암진단비 특약", 100, 100), ("abcd", "xxabzdxx", 70, 80), ("abc", "xyz", 0, 0)])
 def test_partial_ratio(a, b, least, most):
     assert least <= text.partial_ratio(a, b) <= most
+
+
+def test_fuzzy_links_of_all_clauses(spark):
+    part, whole = (registry.QUERIES[name](spark, DATA).toPandas() for name in ("link_fuzzy", "link_fuzzy_all"))
+    assert rows(whole[whole["l_orderkey"] % 4 == 0]) == rows(part)
+    assert set(whole["l_orderkey"] % 4) == {0, 1, 2, 3}
