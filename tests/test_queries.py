@@ -62,3 +62,13 @@ def test_fuzzy_links_of_all_clauses(spark):
     part, whole = (registry.QUERIES[name](spark, DATA).toPandas() for name in ("link_fuzzy", "link_fuzzy_all"))
     assert rows(whole[whole["l_orderkey"] % 4 == 0]) == rows(part)
     assert set(whole["l_orderkey"] % 4) == {0, 1, 2, 3}
+
+
+def test_fanout_meets_every_coverage(spark):
+    found = registry.QUERIES["join_product_fanout_all"](spark, DATA).toPandas()
+    lines = pd.read_parquet(f"{DATA}/lineitem.parquet")[["l_suppkey", "l_partkey"]].drop_duplicates()
+    per_product = lines.groupby("l_suppkey").size()
+    per_clause = found.groupby(["l_suppkey", "l_orderkey", "l_linenumber"]).size().reset_index(name="n")
+    assert len(per_clause) and (per_clause["n"].to_numpy() == per_product[per_clause["l_suppkey"]].to_numpy()).all()
+    clauses_of = registry.QUERIES["exclusion_extract"](spark, DATA).select("l_orderkey", "l_linenumber").distinct().count()
+    assert len(per_clause[["l_orderkey", "l_linenumber"]].drop_duplicates()) == clauses_of > 0
