@@ -87,7 +87,10 @@ _PRODUCT = f"(SELECT {KEY}, pk, 0.7E0 AS score, 3 AS tier FROM (SELECT {KEY}, l_
 _TIERS = f"(SELECT * FROM {_EXACT} x1 UNION ALL SELECT * FROM {_TITLED} x2 UNION ALL SELECT * FROM {_PRODUCT} x3)"
 _CHILDREN = f"(SELECT t.*, MIN(tier) OVER (PARTITION BY {KEY}) AS best FROM {_TIERS} t)"
 _PARENTS = f"(SELECT pk AS child, MIN(other) AS parent FROM (SELECT m.p_partkey AS pk, p.first_of AS other FROM {NAMES} m JOIN (SELECT SUBSTRING(name, 1, 2) AS head, MIN(p_partkey) AS first_of FROM {NAMES} m2 GROUP BY SUBSTRING(name, 1, 2)) p ON SUBSTRING(m.name, 1, 2) = p.head WHERE m.p_partkey <> p.first_of) h GROUP BY pk)"
-both("build_links", f"SELECT {KEY}, pk AS l_partkey, score, tier FROM (SELECT {KEY}, pk, score, tier, ROW_NUMBER() OVER (PARTITION BY {KEY}, pk ORDER BY tier) AS place FROM (SELECT {KEY}, pk, score, tier FROM {_CHILDREN} k WHERE tier = best UNION ALL SELECT {KEY}, h.parent, 0.9E0, 4 FROM {_CHILDREN} k JOIN {_PARENTS} h ON k.pk = h.child WHERE tier = best) u) z WHERE place = 1")
+_LINKS = f"SELECT {KEY}, pk AS l_partkey, score, tier FROM (SELECT {KEY}, pk, score, tier, ROW_NUMBER() OVER (PARTITION BY {KEY}, pk ORDER BY tier) AS place FROM (SELECT {KEY}, pk, score, tier FROM {_CHILDREN} k WHERE tier = best UNION ALL SELECT {KEY}, h.parent, 0.9E0, 4 FROM {_CHILDREN} k JOIN {_PARENTS} h ON k.pk = h.child WHERE tier = best) u) z WHERE place = 1"
+both("build_links", _LINKS)
+# The same for lines of every quantity.
+both("build_links_all", _LINKS.replace(" AND n = 1)", ")"))
 _MANGLED = f"(SELECT {KEY}, l_suppkey, CONCAT(SUBSTRING(said, 1, 2), CASE WHEN l_linenumber % 2 = 0 THEN '_' ELSE '' END, SUBSTRING(said, 3)) AS said FROM {_NAMED} d WHERE l_orderkey % 4 = 0)"
 _RATIO = "CASE WHEN said = canon_name OR INSTR(said, canon_name) > 0 THEN 100 ELSE CAST(FLOOR(100.0E0 * (1 - CAST(levenshtein(said, canon_name) AS DOUBLE) / GREATEST(LENGTH(said), LENGTH(canon_name)))) AS BIGINT) END"
 both("link_fuzzy", f"SELECT {KEY}, pk AS l_partkey, ratio FROM (SELECT {KEY}, pk, ratio, ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY ratio DESC, pk) AS place FROM (SELECT {KEY}, pk, {_RATIO} AS ratio FROM {_MANGLED} a JOIN (SELECT sk, canon_name, MIN(pk) AS pk FROM {_COVERAGES} v0 GROUP BY sk, canon_name) v ON a.l_suppkey = v.sk) s WHERE ratio >= 80) r WHERE place = 1")

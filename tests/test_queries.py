@@ -72,3 +72,11 @@ def test_fanout_meets_every_coverage(spark):
     assert len(per_clause) and (per_clause["n"].to_numpy() == per_product[per_clause["l_suppkey"]].to_numpy()).all()
     clauses_of = registry.QUERIES["exclusion_extract"](spark, DATA).select("l_orderkey", "l_linenumber").distinct().count()
     assert len(per_clause[["l_orderkey", "l_linenumber"]].drop_duplicates()) == clauses_of > 0
+
+
+def test_links_of_every_quantity(spark):
+    part, whole = (registry.QUERIES[name](spark, DATA).toPandas() for name in ("build_links", "build_links_all"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    assert len(part.merge(whole, on=key)) == len(part)
+    quantities = pd.read_parquet(f"{DATA}/lineitem.parquet")[["l_orderkey", "l_linenumber", "l_quantity"]]
+    assert (whole[whole["tier"] == 3].merge(quantities, on=key[:2])["l_quantity"] > 1).any()
