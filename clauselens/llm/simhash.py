@@ -226,15 +226,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return labelled(written(fingerprints(docs, id_col, text_col, shingle)), None, radius, shard)
 
 
-def labelled(prints: DataFrame, more: DataFrame | None = None, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """The documents of `prints` (doc_id, print) with component_id; `more` has links (a, b) besides those within the radius."""
+def labelled(prints: DataFrame, more: DataFrame | None = None, radius: int = RADIUS, shard: int = SHARD, by: str = "doc_id") -> DataFrame:
+    """The documents of `prints` (doc_id, print) with component_id; `more` has links (a, b) besides those within the radius.
+
+    With by="print": one row for each fingerprint, with its component (a fingerprint) and component_id.
+    """
     classes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
     found = links(classes.select("print"), radius, shard)
     joined = components(found if more is None else found.unionByName(more))
     labels = classes.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = labels.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_print = labels.join(least, "component").select("print", "component_id")
-    return prints.join(of_print, "print").select("doc_id", "print", "component_id")
+    of_print = labels.join(least, "component").select("print", "component", "component_id")
+    return of_print if by == "print" else prints.join(of_print, "print").select("doc_id", "print", "component_id")
 
 
 def op5_simhash(docs: DataFrame) -> DataFrame:

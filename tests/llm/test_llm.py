@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from clauselens.llm import bpe, crc32c, language_id, license_scan, mixing, quality, queries, sharding, simhash, tiff_media, token_counts, token_files
+from clauselens.llm import bpe, crc32c, jaccard, language_id, license_scan, mixing, quality, queries, sharding, simhash, tiff_media, token_counts, token_files
 from clauselens.llm.pretokens import load_ranks, pieces, pretokens
 
 LONG = "der lange Text geht weiter und weiter. " * 4000
@@ -230,23 +230,53 @@ def test_pipeline(spark):
     assert duckdb.__version__
 
 
-def test_near_copies_against_brute_force(spark):
-    from clauselens.llm import jaccard
+def linked_by_force(texts):
+    """Smallest id of the class of each text: 5-word Jaccard of 0.8 or more, or fingerprints within 2 bits."""
+    sets = {i: set(simhash.shingle_texts(t, 5)) for i, t in texts.items()}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in texts.items()}
+    ids, head = sorted(texts), {i: i for i in texts}
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    near = []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            jaccard = bool(x) and bool(y) and 5 * len(x) >= 4 * len(y) and 5 * len(y) >= 4 * len(x) and 5 * len(x & y) >= 4 * len(x | y)
+            if jaccard or (prints[a] ^ prints[b]).bit_count() <= 2:
+                near.append((a, b)) if jaccard and x != y else None
+                low, high = sorted((find(a), find(b)))
+                head[high] = low
+    return {i: find(i) for i in ids}, near
 
+
+def test_near_copies_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    rows = {r.doc_id: set(simhash.shingle_texts(r.text, 5)) for r in docs.collect()}
-    ids = [i for i, s in sorted(rows.items()) if s]
-    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(rows[a]) >= 4 * len(rows[b]) and 5 * len(rows[b]) >= 4 * len(rows[a]) and 5 * len(rows[a] & rows[b]) >= 4 * len(rows[a] | rows[b])]
-    assert sum(rows[a] != rows[b] for a, b in near) >= 12
-    found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
-    assert all(found[a] == found[b] for a, b in near)
-    prints = {r.doc_id: r.print for r in simhash.fingerprints(docs, shingle=5).collect()}
-    head = {i: i for i in rows}
-    linked = near + [(a, b) for k, a in enumerate(sorted(rows)) for b in sorted(rows)[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2]
-    for _ in rows:
-        before = dict(head)
-        for a, b in linked:
-            head[a] = head[b] = min(head[a], head[b])
-        if head == before:
-            break
-    assert found == head
+    head, near = linked_by_force({r.doc_id: r.text for r in docs.collect()})
+    assert len(near) >= 12
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == head
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_crowds_of_near_copies(spark, monkeypatch, rounds):
+    """Copies with some words changed, far enough from each other that many do not hold against any one of them."""
+    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = {}
+    for base in range(3):
+        plain = rng.choice(words, 90).tolist()
+        for _ in range(45):
+            copy = [*plain, *rng.choice(words, 12)] if base == 2 and rng.random() < 0.5 else list(plain)
+            for k in rng.integers(0, 90, rng.integers(0, 7)):
+                copy[k] = str(rng.choice(words))
+            texts[len(texts)] = " ".join(copy)
+    for _ in range(40):
+        texts[len(texts)] = " ".join([*rng.choice(words, 60), *words[:20]])
+    head, near = linked_by_force(texts)
+    found = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert len(near) > 100 and {r.doc_id: r.component_id for r in found.collect()} == head
