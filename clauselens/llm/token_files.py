@@ -9,14 +9,21 @@ A set of files is a folder of shards in ascending doc_id order:
 All numbers are little-endian. A payload is doc_id (8 bytes), the number of ids (4), the bytes of an id (2 or 4, the
 smallest that holds the vocabulary; the top bit is set if doc_id is null), the ids, and zeros up to a multiple of 4.
 
+Special strings of the tokenizer stand for their ids wherever a text has them, as the library reads them; the parts
+between are encoded each for itself.
+
 Null and empty texts give a record with the end id alone. Rows with one doc_id are kept, ordered by a hash of their
 text. The shards are cut by ranges of (doc_id, hash), so that not even a repeated doc_id makes a large shard, and a
-lost executor's shard is written again under its own name.
+lost executor's shard is written again under its own name. There are as many shards as spark.sql.shuffle.partitions, or
+more where a shard would have over SHARD_BYTES of text. An empty table gives no records; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 import struct
 from collections.abc import Iterator
 
@@ -34,6 +41,7 @@ from clauselens.llm.pretokens import PieceCache
 from clauselens.llm.shared import blocks, held, id_and_text, shared_folder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+SHARD_BYTES = 256 << 20
 NULL_ID = 1 << 31
 
 
@@ -53,12 +61,19 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        split, byte_level = json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        stored = json.loads(tokenizer.to_str())
+        split, byte_level = stored["pre_tokenizer"]["pretokenizers"]
         if (split["behavior"], split["invert"], byte_level["type"], byte_level["add_prefix_space"]) != ("Removed", True, "ByteLevel", False):
             raise ValueError("a tokenizer with words found by a pattern and mapped to byte characters is needed")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.normalize, self.tokenize = tokenizer.normalizer.normalize_str, tokenizer.model.tokenize
+        special = {t["content"]: t for t in stored["added_tokens"]}
+        if any(" " in text or t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for text, t in special.items()):
+            raise ValueError("special strings that take in what is around them are not supported")
+        # Of special strings that begin at one place the longest counts.
+        self.special = re.compile("(" + "|".join(re.escape(text) for text in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special_ids = {text: t["id"].to_bytes(self.width, "little") for text, t in special.items()}
         self.words, self.cache = PieceCache(self.encode_words, 400_000), PieceCache(self.encode_pieces, 400_000)
 
     def encode_words(self, new: list[str]) -> Iterator[bytes]:
@@ -68,6 +83,13 @@ class WordTokenizer:
             yield b"".join([pack(token.id) for token in self.tokenize(word)])
 
     def encode_pieces(self, new: list[str]) -> Iterator[bytes]:
+        parts = [self.special.split(piece) if self.special else [piece] for piece in new]
+        plain = list({part for split in parts for part in split[::2]})
+        ids = dict(zip(plain, self.encode_plain(plain), strict=True))
+        # Every second part is a special string.
+        return (b"".join([self.special_ids[part] if k % 2 else ids[part] for k, part in enumerate(split)]) for split in parts)
+
+    def encode_plain(self, new: list[str]) -> Iterator[bytes]:
         lower = [piece.lower() if piece.isascii() else self.normalize(piece) for piece in new]
         split = [[piece] if piece.isalpha() else self.find(piece) for piece in lower]
         known = self.words.of({word for words in split for word in words})
@@ -104,13 +126,18 @@ def unframe(data: bytes, offsets: np.ndarray) -> list[bytes]:
     return payloads
 
 
+def _shards(docs: DataFrame, text_col: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SHARD_BYTES))
+
+
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = END_ID, shards: int | None = None) -> list[dict]:
     """Writes the files and returns the manifest: for each shard its number, records and ids.
 
     The manifest has a row for each file, so that the driver can hold it.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or _shards(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task = _tokenizer(path), TaskContext.get()

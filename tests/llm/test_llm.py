@@ -70,7 +70,6 @@ def test_token_counts(docs, ranks):
 
 def test_token_files(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     found = sorted(token_files.op2_token_files(docs).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in found] == [None, 0, 0, *range(1, len(TEXTS))]
     start = 0
@@ -80,6 +79,13 @@ def test_token_files(docs):
         start += len(ids)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "x<|startoftext|>y <|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "é<|endoftext|>\u0301 e\u0301", "<|endoftext|>" * 3000])
+def test_special_strings(text):
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    ids = np.frombuffer(token_files.WordTokenizer(path).encode([text])[0], "<u2").tolist()
+    assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_records_notice_damage():
     assert crc32c.crc32c(np.zeros(8, "<u4"), np.array([8]))[0] == 0x8A9136AA
     data, sizes = token_files.frame([b"abcd", b"efghijkl" * 300])
