@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir.
-
-    Only where the cluster names none (as in tests on one machine) is a folder of this machine taken.
-    """
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; an error if none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext.getCheckpointDir()
-        base = known.rsplit("/", 1)[0] if known else "file://" + tempfile.mkdtemp(prefix="clauselens-")
+        if not known:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = known.rsplit("/", 1)[0]
     return f"{base.rstrip('/')}/clauselens-{uuid.uuid4().hex}"
 
 
@@ -32,7 +30,21 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that Spark wrote, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    for table in tables:
+        delete_folder(table.sparkSession, table.written_to)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -63,6 +75,11 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text, null for a null one."""
+    return F.unhex(F.md5(text))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that most operators read, so that the scan reads no other."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

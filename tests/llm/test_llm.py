@@ -1,8 +1,10 @@
 """The operators on a small table with nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -195,26 +197,100 @@ def test_mixing(docs, data):
     assert sum(r.n_tokens * r.copies for r in out) <= total // 2
 
 
-def test_kneser_ney_sums_to_one():
-    grams, n = np.unique(language_id.packed([b"the cat and the hat and that"], 3)[0], return_counts=True)
-    model = quality.KneserNey(grams.astype("i8"), n.astype("f8"))
-    for context in (b"th", b"zz", b"he"):
-        keys = (context[0] << 16 | context[1] << 8) + np.arange(256)
-        assert np.exp2(-model.bits(keys)).sum() == pytest.approx(1)
-
-
-def test_quality(docs):
+def kneser_ney_by_hand(texts, order):
+    """Probability functions by order of the modified Kneser-Ney model of `texts`, from the definition, with dictionaries."""
+    counts = Counter(t[i : i + order] for t in (b"\n" * (order - 1) + x for x in texts) for i in range(len(t) - order + 1))
+    out = {0: lambda gram: 1 / 256}
+    levels = {order: counts}
+    for o in range(order - 1, 0, -1):
+        levels[o] = Counter(g[1:] for g in levels[o + 1])
+    for o in range(1, order + 1):
+        c, n = levels[o], [sum(v == k for v in levels[o].values()) for k in (1, 2, 3, 4)]
+        d = [0, 0.5, 0.75, 0.9]
+        if min(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
+        total, mass = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            mass[g[:-1]] += d[min(v, 3)]
+
+        def p(gram, c=c, d=d, total=total, mass=mass, below=out[o - 1]):
+            h = gram[:-1]
+            return below(gram[1:]) if not total[h] else (c[gram] - d[min(c[gram], 3)]) / total[h] + mass[h] / total[h] * below(gram[1:])
+
+        out[o] = p
+    return out
+
+
+def test_kneser_ney_by_hand(spark):
+    texts = ([b"the cat and the hat and that", b"the hen, the hen and the end", b"a cat"], [b"that hat then", b"the cat and a bat"])
+    counts = [Counter((b"\n\n" + t)[i : i + 3] for t in half for i in range(len(t))) for half in texts]
+    grams = {*counts[0], *counts[1], *(b"th" + bytes([k]) for k in range(256)), *(b"zz" + bytes([k]) for k in range(256))}
+    table = spark.createDataFrame([("en", int.from_bytes(g), counts[0][g], counts[1][g]) for g in grams], "lang string, gram long, c0 long, c1 long")
+    found = {r.gram.to_bytes(3): r for r in quality.probabilities(table, 3, 2).collect()}
+    assert set(found) == grams
+    for half in (0, 1):
+        by_hand = kneser_ney_by_hand(texts[half], 3)
+        assert all(found[g][f"p{half}"] == pytest.approx(by_hand[3](g)) and found[g][f"q{half}"] == pytest.approx(by_hand[2](g[1:])) for g in grams)
+        for context in (b"th", b"zz"):
+            assert sum(found[context + bytes([k])][f"p{half}"] for k in range(256)) == pytest.approx(1)
+
+
+def base_by_hand(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    repeated = len({i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)})
+    lines = [line for line in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    failed = len(words) < 10 or 100 * repeated > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), repeated, failed
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def test_quality_base_rules(docs):
     for r in quality.op9_quality_rules(docs).collect():
-        text = "no id at all" if r.doc_id is None else TEXTS[r.doc_id] or ""
-        words = re.findall(r"[^\x20\x09-\x0D]+", text)
-        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-        seen = {w for w in set(windows) if windows.count(w) > 1} if len(windows) < 500 else set(windows)
-        repeated = len({i + k for i, w in enumerate(windows) if w in seen for k in range(5)})
-        failed = len(words) < 10 or 100 * repeated > 20 * len(words)
-        assert (r.n_words, r.word_chars, r.n_repeat_words, r.base_failed) == (len(words), sum(map(len, words)), repeated, failed)
+        assert tuple(r[c] for c in BASE) == base_by_hand("no id at all" if r.doc_id is None else TEXTS[r.doc_id])
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_against_brute_force(spark):
+    """All documents of the smallest input, with nulls, copies and noise, by dictionaries; the model broadcast and joined."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(1000, None, "en"), (1001, "", None), (1002, "\n\n ", "xx"), (1003, rows[0][1], rows[0][2]), (None, rows[1][1], None), (1004, "qz" * 400 + " a b c d e f g h i j k", "en")]
+    langs = Counter(lang or "" for _, _, lang in rows)
+    pool = [lang if lang and langs[lang] >= quality.LEAST_DOCS else "" for _, _, lang in rows]
+    data = [(text or "").encode() for _, text, _ in rows]
+    half = [xxhash.xxh64_intdigest(x, 42) & 1 if text is not None else 0 for x, (_, text, _) in zip(data, rows)]
+    figures = []
+    models = {(p, h): kneser_ney_by_hand([x for x, q, k in zip(data, pool, half) if (q, k) == (p, h)], quality.ORDER) for p in set(pool) for h in (0, 1)}
+    for x, p, h in zip(data, pool, half):
+        model, padded, units = models[p, 1 - h], b"\n" * (quality.ORDER - 1) + x, [0, 0]
+        for i in range(len(x)):
+            gram = padded[i : i + quality.ORDER]
+            units[0] += round(-math.log2(model[quality.ORDER](gram)) * quality.UNIT)
+            units[1] += round(-math.log2(model[quality.LOW](gram[-quality.LOW :])) * quality.UNIT)
+        figures.append([int(1000 * u / quality.UNIT / max(len(x), 1) + 0.5) for u in units])
+    base = [base_by_hand(text) for _, text, _ in rows]
+    kept = []
+    for p, b, f in zip(pool, base, figures):
+        own = [g for q, c, g in zip(pool, base, figures) if q == p and not c[5]]
+        inside = not b[5]
+        for k in (0, 1) if inside else ():
+            low, mid, high = np.quantile([g[k] for g in own], [0.25, 0.5, 0.75])
+            inside &= abs(f[k] - mid) <= max(quality.BAND * (high - low), quality.MARGIN) + quality.SHORT / max(b[0], 10)
+        kept.append(bool(inside))
+    expected = sorted(map(repr, ((i, *b, *f, k) for (i, _, _), b, f, k in zip(rows, base, figures, kept))))
+    table = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, lang string, n_words int, half string")
+    for most in (quality.BROADCAST_GRAMS, 0):
+        found = quality.judge(table, broadcast_grams=most).select("doc_id", *BASE, "thousandths", "low_thousandths", "kept").collect()
+        assert sorted(repr(tuple(r)) for r in found) == expected
+    assert 0 < sum(kept) < len(kept) and not kept[-1]
+    good = quality.keep_good(table)
+    assert good.columns == table.columns and sorted(repr(r.doc_id) for r in good.collect()) == sorted(repr(r[0]) for r, k in zip(rows, kept) if k)
+
+
 def test_sharding(docs, data):
     out = sharding.op10_sharding(docs).collect()
     assert len(out) == len(data)
