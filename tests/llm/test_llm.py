@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -190,11 +191,75 @@ def test_code_lengths():
     assert tree.bits(key("z", "z"))[0] == pytest.approx(-np.log2(2 / 6) + 8)
 
 
-def test_mixing(docs, data):
-    out = mixing.op8_mixing(docs.filter("doc_id is not null")).collect()
-    total = sum((len((t or "").encode()) + 3) // 4 for i, t, *_ in data if i is not None)
-    assert len(out) == len(data) - 1 and sum(r.n_tokens for r in out) == total
-    assert sum(r.n_tokens * r.copies for r in out) <= total // 2
+def shares_by_hand(budget, children):
+    """Shares of children (name, weight, capacity): the common rate rises until the budget is spent or all are full."""
+    shares, left, open_ = {}, budget, [c for c in children if c[1] > 0]
+    while full := [c for c in open_ if c[2] * sum(x[1] for x in open_) <= c[1] * left]:
+        least = min(full, key=lambda c: (Fraction(c[2], c[1]), c[0]))
+        shares[least[0]], left = least[2], left - least[2]
+        open_.remove(least)
+    total = sum(x[1] for x in open_)
+    return {c[0]: 0 for c in children} | shares | {c[0]: min(c[2], c[1] * left // total) for c in open_}
+
+
+def mix_by_hand(rows, fraction, weights, epochs, seed):
+    """Copies of each row (doc_id, tokens, domain, lang, source), with the tree as nested loops."""
+    leaves = {}
+    for r in rows:
+        leaves.setdefault(r[2:], []).append(r)
+
+    def weight(depth, name):
+        return weights.get(mixing.LEVELS[depth], {}).get(name, 1)
+
+    capacity = {leaf: epochs * sum(r[1] for r in own) * all(weight(d, leaf[d]) > 0 for d in range(3)) for leaf, own in leaves.items()}
+    total = sum(r[1] for r in rows) * fraction[0] // fraction[1]
+    budgets = {(): total}
+    for depth in range(3):
+        for parent in [p for p in budgets if len(p) == depth]:
+            names = sorted({leaf[depth] for leaf in leaves if leaf[:depth] == parent})
+            children = [(n, weight(depth, n), sum(c for leaf, c in capacity.items() if leaf[: depth + 1] == (*parent, n))) for n in names]
+            budgets |= {(*parent, n): s for n, s in shares_by_hand(budgets[parent], children).items()}
+    state = {}
+    for leaf, own in leaves.items():
+        tokens = sum(r[1] for r in own)
+        whole, rest = divmod(budgets[leaf], tokens) if tokens else (0, 0)
+        order = sorted({i for i, *_ in own}, key=lambda i: (int(hashlib.md5(f"{seed}:{whole}:{'' if i is None else i}".encode()).hexdigest()[:15], 16), -1 if i is None else i))
+        spent, taken, following = 0, set(), None
+        for i in order:
+            n = sum(r[1] for r in own if r[0] == i)
+            if spent + n > rest:
+                following = (n, i) if whole < epochs and whole * tokens + rest < capacity[leaf] else None
+                break
+            spent += n
+            taken.add(i)
+        state[leaf] = [whole, taken if tokens else set(), whole * tokens + spent, following]
+    for depth in (2, 1, 0):
+        for parent in {leaf[:depth] for leaf in leaves}:
+            own = [leaf for leaf in leaves if leaf[:depth] == parent]
+            left = (sum(budgets[leaf] for leaf in own) if depth else min(total, sum(capacity.values()))) - sum(state[leaf][2] for leaf in own)
+            for leaf in sorted((x for x in own if state[x][3]), key=lambda x: (state[x][3][0], x)):
+                n, i = state[leaf][3]
+                if n > left:
+                    break
+                left -= n
+                state[leaf][1].add(i)
+                state[leaf][2:] = [state[leaf][2] + n, None]
+    return [state[r[2:]][0] + (r[0] in state[r[2:]][1]) for r in rows], min(total, sum(capacity.values())) - sum(s[2] for s in state.values()), [s[3][0] for s in state.values() if s[3]]
+
+
+@pytest.mark.parametrize(("fraction", "weights"), [((1, 2), mixing.WEIGHTS), ((5, 2), {"source": {"src0": 4}, "lang": {"fr": 7}}), ((1, 3), {"domain": {"domain1": 0}, "lang": {"de": 0, "en": 3}}), ((9, 1), {"source": {"src1": 0}}), ((1, 2), {"domain": {f"domain{d}": 0 for d in ("", 0, 1, 2, 3)}})])
+def test_mixing_against_brute_force(spark, fraction, weights):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(900, None, "en", "src0"), (901, "", None, None), (902, "x" * 90_000, "fr", "src1"), (None, "no id", "en", "src0"), (None, "no id", "en", "src0"), rows[0], rows[0], (903, "tie", "xx", "web"), (904, "tie", "xx", "web")]
+    table = spark.createDataFrame([(*r, 1, 2, "k") for r in rows], "doc_id long, text string, lang string, source string, n int, _h int, domain string")
+    found = mixing.mix(table, fraction, weights).collect()
+    given = [(r.doc_id, r.mix.tokens, r.mix.domain, r.mix.lang, r.mix.source) for r in found]
+    sizes = sorted((len((t or "").encode()) + 3) // 4 for _, t, _, _ in rows)
+    assert sorted(g[1] for g in given) == sizes and all(g[3] == (r.lang or "") and g[4] == (r.source or "") for g, r in zip(given, found, strict=True))
+    copies, unspent, following = mix_by_hand(given, fraction, weights, mixing.EPOCHS, mixing.SEED)
+    assert [r.mix.copies for r in found] == copies
+    assert 0 <= unspent < min(following, default=1)
+    assert mixing.mixed(table, fraction=fraction, weights=weights).count() == sum(copies)
 
 
 def kneser_ney_by_hand(texts, order):
