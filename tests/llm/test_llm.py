@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clauselens.llm import bpe, crc32c, jaccard, language_id, license_scan, mixing, quality, queries, sharding, simhash, tiff_media, token_counts, token_files
@@ -171,6 +172,43 @@ def test_license_scan(docs):
     assert found == {(8, "MIT"): 1.0, (10, "GPL-3.0"): 1.0}
 
 
+def rendered(rows):
+    return sorted(repr(tuple(float(x) if isinstance(x, (int, float)) else x for x in row)) for row in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("more", [False, True])
+def test_same_as_sql(spark, data, tmp_path, name, more):
+    """On the smallest input, and on that with nulls, ties, repeated rows, long texts and clashing columns."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    if more:
+        notice = license_scan.TEMPLATES["MIT-notice"].replace("charge", "cost")
+        texts = [(2000, f"{LONG} {notice} {notice}", "en", "x", 1, 1, 1, 1), (2001, notice.upper(), "en", "x", 1, 1, 1, 1)]
+        rows = rows.unionByName(spark.createDataFrame([*data, *texts, texts[0]], SCHEMA), allowMissingColumns=True)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+        theirs = db.sql(queries.ORACLE_SQL[name])
+        columns = sorted(theirs.columns)
+        theirs = theirs.project(", ".join(columns)).fetchall()
+    ours = queries.QUERIES[name](spark, str(tmp_path))
+    assert sorted(ours.columns) == columns and rendered(ours.select(*columns).collect()) == rendered(theirs)
+
+
+def test_bands_recall(spark):
+    """Windows of LONG shingles that share so many that their likeness is 0.45 or more meet in a band."""
+    rng, found = np.random.default_rng(7), []
+    for _ in range(60):
+        shared = int(rng.integers(5, 9))
+        own, other = (rng.integers(-(2**63), 2**63, license_scan.LONG).tolist() for _ in range(2))
+        found.append((own, [*own[:shared], *other[shared:]]))
+    table = spark.createDataFrame(found, "a array<long>, b array<long>").select(*(license_scan.bands(F.col(c), license_scan.LONG).alias(c) for c in "ab"))
+    met = [bool(set(r.a) & set(r.b)) for r in table.collect()]
+    assert sum(met) >= 0.9 * len(met)
+    with pytest.raises(ValueError, match="few"):
+        license_scan.scan(spark.range(1).selectExpr("id AS doc_id", "'a' AS text"), {"few": "only three words"})
+
+
 def test_language_id(spark):
     def rows(name):
         return spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
@@ -366,6 +404,14 @@ def test_sharding(docs, data):
     assert all((r.size, r.text_crc32) == (len((text[r.doc_id] or "").encode()) + 1, zlib.crc32((text[r.doc_id] or "").encode())) for r in out)
 
 
+def test_slots_of_a_crowded_key(spark):
+    rows = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 2 = 0 THEN id ELSE 7 END AS size", "id % 5 AS crc", "CAST(id % 2 AS INT) AS shard")
+    out = sharding.number(rows, "shard", "doc_id", ["size", "crc"], range_rows=16).collect()
+    for s in (0, 1):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(450))
+    assert Counter((r.doc_id, r.size, r.crc) for r in out) == Counter((r.doc_id, r.size, r.crc) for r in rows.collect())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
