@@ -16,9 +16,11 @@ CLAUSES = registry.ORACLE_SQL["build_clauses"]
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a folder of this machine only where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="clauselens-")
-    return f"{base.rstrip('/')}/clauselens-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir; a temporary one if none is named and the session is of one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/clauselens-{uuid.uuid4().hex}"
 
 
 @query(CLAUSES)
