@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -15,14 +16,16 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; an error if none is named."""
+    """A new folder below the one that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a session of one machine takes a temporary folder; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not base and (known := spark.sparkContext.getCheckpointDir()):
         base = known.rsplit("/", 1)[0]
-    return f"{base.rstrip('/')}/clauselens-{uuid.uuid4().hex}"
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/clauselens-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
