@@ -8,8 +8,10 @@ bytes together by an aggregate ordered by position.
 Words are encoded once for each worker: a bounded cache holds the ids of the pieces already met.
 
 Nulls and empty texts have no ids and decode to no bytes. Texts of any length are encoded whole: they are read in
-blocks of bounded size, and a word of more than LONG_WORD bytes is contracted step by step in a table of its own, so
-that only its present state is held. Repeated rows give repeated results.
+blocks of bounded size. The rows of all steps of a recursion are held until it ends, so words of more than LONG_WORD bytes
+go through recursions of their own, of LONG_STEPS steps each, one after the other until the fixpoint. There a step
+contracts a pair at all places that would come next anyway. Repeated rows give repeated results, and an empty table none.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from clauselens.llm.pretokens import PieceCache, load_ranks, pieces, pretokens
 from clauselens.llm.shared import BLOCK_BYTES, blocks, held, id_and_text
 
 RANKS = "byte_bpe_50k.tiktoken"
-LONG_WORD = 256
+LONG_WORD, LONG_STEPS = 256, 8
 
 _STEPS = """
     WITH RECURSIVE steps AS (
@@ -46,20 +48,24 @@ _STEPS = """
         WHERE before IS DISTINCT FROM word << 16 | (pick & 4294967295)))
     SELECT step, place, token FROM steps
 """
-_LONG_STEP = """
-    WITH here AS (
-        SELECT *, row_number() OVER w AS i, lead(token) OVER w AS following, lag(token) OVER w AS earlier
-        FROM work WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    paired AS (
-        SELECT here.*, merged, safe, min(merged) OVER (PARTITION BY word) AS best,
-               i - max(CASE WHEN earlier IS DISTINCT FROM token THEN i END) OVER (PARTITION BY word ORDER BY pos) AS in_run
-        FROM here LEFT JOIN merges ON token = left_token AND following = right_token),
-    picked AS (
-        SELECT *, coalesce(merged = best AND (pos = min(CASE WHEN merged = best THEN pos END) OVER (PARTITION BY word)
-                                              OR safe AND (token <> following OR in_run % 2 = 0)), false) AS pick
-        FROM paired WHERE best IS NOT NULL)
-    SELECT word, pos, CASE WHEN pick THEN merged ELSE token END AS token FROM picked
-    QUALIFY NOT coalesce(lag(pick) OVER (PARTITION BY word ORDER BY pos), false)
+_LONG = f"""
+    WITH RECURSIVE steps AS (
+        SELECT 0 AS step, word, pos, token FROM work
+        UNION ALL (
+        WITH here AS (
+            SELECT *, row_number() OVER w AS i, lead(token) OVER w AS following, lag(token) OVER w AS earlier
+            FROM steps WHERE step < {LONG_STEPS} WINDOW w AS (PARTITION BY word ORDER BY pos)),
+        paired AS (
+            SELECT here.*, merged, safe, min(merged) OVER (PARTITION BY word) AS best,
+                   i - max(CASE WHEN earlier IS DISTINCT FROM token THEN i END) OVER (PARTITION BY word ORDER BY pos) AS in_run
+            FROM here LEFT JOIN merges ON token = left_token AND following = right_token),
+        picked AS (
+            SELECT *, coalesce(merged = best AND (pos = min(CASE WHEN merged = best THEN pos END) OVER (PARTITION BY word)
+                                                  OR safe AND (token <> following OR in_run % 2 = 0)), false) AS pick
+            FROM paired WHERE best IS NOT NULL)
+        SELECT step + 1 AS step, word, pos, CASE WHEN pick THEN merged ELSE token END AS token FROM picked
+        QUALIFY NOT coalesce(lag(pick) OVER (PARTITION BY word ORDER BY pos), false)))
+    SELECT word, pos, token, step FROM steps QUALIFY step = max(step) OVER (PARTITION BY word)
 """
 _DECODE = """
     SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS bytes
@@ -117,7 +123,7 @@ class WordCoder:
         return word[kept], steps["token"][kept]
 
     def fixpoint(self) -> duckdb.DuckDBPyConnection:
-        """The same contraction with only the present rows held; words without a pair left leave the work table.
+        """The same contraction in recursions of LONG_STEPS steps; words that end within one leave the work table.
 
         A pair is contracted at all its places at once if no pair with the merged token has a smaller rank than it:
         the other places would come next, from left to right, with nothing between.
@@ -125,10 +131,9 @@ class WordCoder:
         self.db.execute("CREATE OR REPLACE TEMP TABLE work AS FROM symbols")
         self.db.execute("CREATE OR REPLACE TEMP TABLE done AS FROM work LIMIT 0")
         while self.db.execute("SELECT count(*) FROM work").fetchone()[0]:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE next AS {_LONG_STEP}")
-            self.db.execute("INSERT INTO done FROM work ANTI JOIN (SELECT DISTINCT word FROM next) USING (word)")
-            self.db.execute("DROP TABLE work")
-            self.db.execute("ALTER TABLE next RENAME TO work")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE next AS {_LONG}")
+            self.db.execute(f"INSERT INTO done SELECT word, pos, token FROM next WHERE step < {LONG_STEPS}")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE work AS SELECT word, pos, token FROM next WHERE step = {LONG_STEPS}")
         return self.db.execute("SELECT word, token FROM done ORDER BY word, pos")
 
     def encode_pieces(self, new: list[str]) -> Iterator[bytes]:

@@ -66,12 +66,18 @@ def test_token_counts(docs, ranks):
             forward.append(max((forward[s][0] + scores[word[s:end]], forward[s][1] - 1) for s in range(end) if word[s:end] in scores and end - s <= 128))
         return -forward[-1][1]
 
-    for row in token_counts.op1_token_counts(docs.filter("n_chars < 1000")).collect():
+    for row in token_counts.op1_token_counts(docs).collect():
         text = "no id at all" if row.doc_id is None else TEXTS[row.doc_id] or ""
         words = [w for p in pieces(text) for w in pretokens(p)]
         assert (row.n_pretokens, row.n_tokens) == (len(words), sum(best(w.encode()) for w in words))
 
 
+def test_trie_nodes_and_terminals(ranks):
+    counter = token_counts.TrieCounter(token_counts.zipf_scores(ranks))
+    assert [counter.insert(w) for w in (b"tokenize", b"tokens", b"tokenize", b"zz" * 300)] == [token_counts.TrieCounter(counter.scores, 1).insert(w) for w in (b"tokenize", b"tokens", b"tokenize", b"zz" * 300)]
+    assert len(counter.forward) == 1 + len("tokenize") + len("s") + 600 and len(counter.terminal) == 3
+
+
 def test_token_files(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
     found = sorted(token_files.op2_token_files(docs).collect(), key=lambda r: r.start)
