@@ -31,10 +31,10 @@ class Lookup:
     A slot holds the last n-gram that came to it; another one in its place is computed anew.
     """
 
-    def __init__(self, compute: Callable[[np.ndarray], np.ndarray], width: int, cells: int = 1 << 22):
+    def __init__(self, compute: Callable[[np.ndarray], np.ndarray], width: int, kind: str = "f4", cells: int = 1 << 22):
         bits = max(10, min(20, (cells // width).bit_length() - 1))
         self.compute, self.shift = compute, np.uint64(64 - bits)
-        self.tags, self.rows = np.full(1 << bits, -1, "i8"), np.zeros((1 << bits, width), "f4")
+        self.tags, self.rows = np.full(1 << bits, -1, "i8"), np.zeros((1 << bits, width), kind)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         keys = keys.astype("u8")
@@ -42,7 +42,7 @@ class Lookup:
         out, missing = self.rows[slots], np.flatnonzero(self.tags[slots] != keys.view("i8"))
         if len(missing):
             new, back = np.unique(keys[missing], return_inverse=True)
-            found = self.compute(new).astype("f4")
+            found = self.compute(new).astype(self.rows.dtype)
             out[missing] = found[back]
             _, one = np.unique(new * np.uint64(0x9E3779B97F4A7C15) >> self.shift, return_index=True)
             slots = new[one] * np.uint64(0x9E3779B97F4A7C15) >> self.shift

@@ -7,10 +7,12 @@ of a byte is that of method C under frozen counts: from the longest context that
 language with the shortest code for the whole text wins, and its score is its share of 2 ** -length over all languages.
 
 The counts come from a sample of the labelled rows, about TRAIN_DOCS whole documents for each language, chosen by a
-hash of doc_id; fewer are all taken. That bounds the trees that are broadcast. Spark counts the n-grams.
+hash of doc_id and text; fewer are all taken. If more than MOST_LANGS values of `lang` are given, the most frequent ones
+are learned. Both bound what is collected and broadcast. Spark counts the n-grams.
 
 A text that is null or has no letter is `und` with score 0, and so is every text if no label was given. Ties go to the
-language whose name comes first. Texts are scored whole.
+language whose name comes first. Texts are scored whole, and repeated rows alike; a null doc_id is not held out. An empty
+table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from clauselens.llm.byte_grams import Lookup, find, packed, sums
 from clauselens.llm.shared import blocks, held, id_and_text
 
-ORDER, TRAIN_DOCS = 3, 400
+ORDER, TRAIN_DOCS, MOST_LANGS = 3, 400, 256
 #: Bytes of text whose n-grams are held at once; each takes some 50 bytes of memory meanwhile.
 GRAM_BYTES = 1 << 20
 _letter = regex.compile(r"\p{L}").search
@@ -38,13 +40,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _train_rows(docs: DataFrame, train_docs: int) -> DataFrame:
-    """About `train_docs` labelled rows of each language."""
+def _train_rows(docs: DataFrame, train_docs: int, most_langs: int) -> DataFrame:
+    """About `train_docs` labelled rows of each of the `most_langs` most frequent languages."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = [x for r in labelled.groupBy("lang").count().collect() for x in (F.lit(r["lang"]), F.lit(r["count"]))]  # a row for each language
+    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    rows = [x for r in found for x in (F.lit(r["lang"]), F.lit(float(r["count"])))]
     if not rows:
         return labelled.select("lang", "text").limit(0)
-    return labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.create_map(*rows)[F.col("lang")] < F.lit(train_docs << 30)).select("lang", "text")
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return labelled.filter(share * F.create_map(*rows)[F.col("lang")] < F.lit(float(train_docs))).select("lang", "text")
 
 
 def count_grams(rows: DataFrame, order: int) -> DataFrame:
@@ -108,7 +112,7 @@ class Model:
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
-        lookup = held(self.name, lambda: Lookup(self._bits, len(self.trees)))
+        lookup = held(self.name, lambda: Lookup(self._bits, len(self.trees), "f8"))
         keys, starts = packed(texts, self.order + 1)
         out, step = np.zeros((len(texts), len(self.langs))), 1 << 20
         for first in range(0, len(keys), step):  # long texts are summed part by part
@@ -134,9 +138,9 @@ class Model:
         return langs, scores, rates
 
 
-def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS) -> Model:
+def train(docs: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, most_langs: int = MOST_LANGS) -> Model:
     """Fits the trees; `docs` has doc_id, text and lang, and rows that are held out are not used."""
-    table = count_grams(_train_rows(docs, train_docs), order + 1).toPandas()
+    table = count_grams(_train_rows(docs, train_docs, most_langs), order + 1).toPandas()
     langs = sorted(table["lang"].unique())
     groups = [table[table["lang"] == lang] for lang in langs]
     return Model(langs, [ContextTree(g["gram"].to_numpy("i8"), g["n"].to_numpy("i8"), order) for g in groups], order)

@@ -226,6 +226,22 @@ def test_language_id(spark):
     assert sum(held) / len(held) >= 0.95
 
 
+def test_language_id_cases(spark, docs, data):
+    """Nulls, no letters, long texts, repeated rows, ties and clashing columns; no labels; more languages than are learned."""
+    table = docs.withColumns({"score": F.lit("x"), "lang_pred": F.lit(1), "held_out": F.lit(None)})
+    found = language_id.op7_language_id(table).collect()
+    assert len(found) == len(data)
+    for r in found:
+        text = "no id at all" if r.doc_id is None else TEXTS[r.doc_id] or ""
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text)) and (r.lang_pred != "und" or r.score == 0)
+    assert len({(r.lang_pred, r.score) for r in found if r.doc_id == 0}) == 1 and sum(r.doc_id == 0 for r in found) == 2
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.lang_pred, r.score) for r in language_id.op7_language_id(unlabelled).collect()} == {("und", 0.0)}
+    same = spark.createDataFrame([(i, "abc abc", lang) for i in range(40) for lang in ("zz", "aa")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.op7_language_id(same).collect()} == {"aa"}
+    assert language_id.train(docs, most_langs=1).langs == ["en"]
+
+
 def test_code_lengths():
     grams = np.unique(language_id.packed([b"abab"], 2)[0], return_counts=True)
     tree = language_id.ContextTree(grams[0].astype("i8"), grams[1], 1)
@@ -426,7 +442,51 @@ def test_pipeline(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert 0 < docs.select("doc_id").distinct().count() <= 200
-    assert duckdb.__version__
+
+
+def test_pipeline_stages_by_hand(spark, tmp_path):
+    """run() on nulls, empty and long texts, repeated rows, unlike texts under one doc_id, copies, and clashing columns."""
+    import corpus_pipeline
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    copied = next(r for r in given if len(r.text.split()) > 60 and not base_by_hand(r.text)[-1])
+    near = copied.text.split()
+    near[30] = "and"
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in given]
+    rows += [(None, None, "en", "src0"), (5000, "", "en", None), (None, copied.text, "en", "src0"), (5001, " ".join(near), copied.lang, "src1"), rows[3], rows[3], (rows[5][0], f"{rows[6][1]} and more", rows[6][2], "src1"), (5002, LONG * 3, "de", "src2")]
+    wide = "doc_id long, text string, lang string, source string, _row int, _tokens string, _h long, print long, text_key string, kept int, mix int"
+    table = spark.createDataFrame([(*r, 1, "t", 2, 3, "k", 4, 5) for r in rows], wide)
+    table.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    judged = quality.judge(table).select("doc_id", "kept").collect()
+    docs = corpus_pipeline.quality_rules(spark, table, "")
+    assert docs.columns == table.columns and docs.count() == sum(r.kept for r in judged)
+    docs = docs.cache()
+    model = language_id.train(docs)
+    named = corpus_pipeline.language(spark, docs, "")
+    langs, scores, rates = model.predict([r.text for r in docs.collect()])
+    assert named.columns == table.columns and named.count() == sum(x != "und" and s >= 0.5 and b <= 6 for x, s, b in zip(langs, scores, rates, strict=True))
+    kept = [tuple(r)[:4] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+    keys = {i: t for i, t in enumerate(sorted({r[1] or "" for r in rows}))}
+    head, near_pairs = linked_by_force(keys)
+    of_text, classes = {t: head[i] for i, t in keys.items()}, {}
+    for r in rows:
+        classes.setdefault(of_text[r[1] or ""], []).append(r)
+    assert near_pairs and len(kept) == len(classes) and len({of_text[r[1] or ""] for r in kept}) == len(classes)
+    for r in kept:
+        ids = [x[0] for x in classes[of_text[r[1] or ""]] if x[0] is not None]
+        assert r in rows and r[0] == min(ids, default=None)
+    mixed = corpus_pipeline.mixing_to_weights(spark, table, "")
+    copies = mixing.mix(table.drop("mix"), (9, 10), mixing.WEIGHTS).agg(F.sum("mix.copies")).first()[0]
+    assert mixed.columns == table.columns and mixed.count() == copies
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and {r.doc_id for r in out} <= {r[0] for r in rows} and all(r.n_tokens > 0 for r in out)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def linked_by_force(texts):
