@@ -32,13 +32,7 @@ def parsed(text: str = "amount") -> str:
 
 QUERIES = {
     "amount_format": f"SELECT l_orderkey, l_linenumber, {RENDERED} AS amount FROM {WORTH} w",
-    "amount_table": f"SELECT l_orderkey, l_linenumber, {parsed()} AS parsed, {parsed()} = v AS same FROM {TEXTS} t",
-    "amount_sql_case": f"SELECT l_orderkey, l_linenumber, CASE WHEN amount LIKE '%{EOK}%' THEN {part(f'([0-9]+){EOK}')} * 100000000 WHEN amount LIKE '%{MAN}{WON}%' THEN {part(f'([0-9]+){MAN}{WON}')} * 10000 ELSE {part(f'^([0-9]+){WON}')} END AS parsed FROM {TEXTS} t",
-    "amount_sum_insured": "SELECT l_orderkey, l_linenumber, CASE WHEN n <= 10000 THEN n * 10000 ELSE n END AS sum_insured FROM (SELECT l_orderkey, l_linenumber, CAST(FLOOR(l_extendedprice) AS BIGINT) AS n FROM lineitem) t",
-    "amount_premium": "SELECT l_orderkey, l_linenumber, TRY_CAST(REPLACE(NULLIF(premium, '-'), '원', '') AS BIGINT) AS premium FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN '-' ELSE CONCAT(CAST(CAST(FLOOR(l_extendedprice) AS BIGINT) AS VARCHAR(20)), '원') END AS premium FROM lineitem) t",
     "amount_display": f"SELECT l_orderkey, l_linenumber, COALESCE(NULLIF(REGEXP_EXTRACT(amount, '([0-9]+{EOK}[0-9 ]*{MAN}?{WON})', 1), ''), NULLIF(REGEXP_EXTRACT(amount, '([0-9]+{MAN}{WON})', 1), ''), 'none') AS shown FROM {TEXTS} t",
-    "filter_amount_range": f"SELECT l_orderkey, l_linenumber FROM {TEXTS} t WHERE {parsed()} >= 100000000 AND {parsed()} <= 300000000",
-    "ent_amount": f"SELECT l_orderkey, l_linenumber, CASE WHEN said LIKE '%이상%' OR said NOT LIKE '%이하%' THEN {parsed('said')} END AS min_amount, CASE WHEN said LIKE '%이하%' OR said NOT LIKE '%이상%' THEN {parsed('said')} END AS max_amount FROM (SELECT l_orderkey, l_linenumber, CONCAT(amount, CASE l_linenumber WHEN 1 THEN ' 이상' WHEN 2 THEN ' 이하' ELSE '' END) AS said FROM {TEXTS} t) q",
     "row_text": f"SELECT l_orderkey, l_linenumber, CONCAT_WS(', ', p.p_name, CONCAT('가입금액: ', amount)) AS row_text FROM (SELECT t.*, i.l_partkey FROM {TEXTS} t JOIN (SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey FROM lineitem) i ON t.l_orderkey = i.ok AND t.l_linenumber = i.ln) r JOIN part p ON r.l_partkey = p.p_partkey",
     "build_benefits": f"SELECT l.l_suppkey, l.l_partkey, MAX(CAST(FLOOR(l.l_extendedprice) AS BIGINT)) AS amount, CASE WHEN p.p_type LIKE '%ECONOMY%' THEN 'diagnosis' WHEN p.p_type LIKE '%PROMO%' THEN 'surgery' ELSE 'other' END AS benefit_type, 'once' AS frequency FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_suppkey, l.l_partkey, p.p_type",
 }

@@ -5,8 +5,6 @@ from clauselens.registry import sql_query
 EDGES = "(SELECT CONCAT('r', r_regionkey) AS src, CONCAT('n', n_nationkey) AS dst FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT CONCAT('n', s_nationkey), CONCAT('s', s_suppkey) FROM supplier UNION ALL SELECT CONCAT('n', c_nationkey), CONCAT('c', c_custkey) FROM customer)"
 
 QUERIES = {
-    "graph_varpath": f"WITH e AS (SELECT src, dst FROM {EDGES} x) SELECT src, dst, 1 AS hops, CONCAT(src, '>', dst) AS path FROM e UNION ALL SELECT a.src, b.dst, 2, CONCAT(a.src, '>', a.dst, '>', b.dst) FROM e a JOIN e b ON a.dst = b.src UNION ALL SELECT a.src, c.dst, 3, CONCAT(a.src, '>', a.dst, '>', b.dst, '>', c.dst) FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src",
-    "graph_reach": f"WITH e AS (SELECT src, dst FROM {EDGES} x) SELECT 'r1' AS node UNION SELECT dst FROM e WHERE src = 'r1' UNION SELECT b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 'r1'",
     "hierarchy_clauses": "SELECT r.r_regionkey, n.n_nationkey, s.s_suppkey, CASE WHEN s.s_acctbal > 0 THEN 1.0E0 ELSE 0.9E0 END AS score FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey JOIN supplier s ON s.s_nationkey = n.n_nationkey",
 }
 for _name, _sql in QUERIES.items():

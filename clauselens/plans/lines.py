@@ -19,7 +19,6 @@ for _name, _sql in LINES.items():
 # One text for both engines.
 SAME = {
     "meta_from_path": "SELECT page_id, REGEXP_EXTRACT(url, '^[a-z]+://([^/]+)', 1) AS host, REGEXP_EXTRACT(url, '([^/]*)$', 1) AS file_name, REGEXP_EXTRACT(url, '[.]([a-z0-9]+)$', 1) AS suffix FROM pages",
-    "age_range": "SELECT p_partkey, CASE WHEN p_size <= 40 THEN 0 ELSE 41 END AS age_from, CASE WHEN p_size <= 40 THEN 40 ELSE 100 END AS age_to FROM part",
     "filter_regex": "SELECT o_orderkey FROM orders WHERE REGEXP_EXTRACT(o_orderpriority, '^([12]-)', 1) <> ''",
     "ent_company": "SELECT c_custkey, company FROM (SELECT q.c_custkey, d.n_name AS company, ROW_NUMBER() OVER (PARTITION BY q.c_custkey ORDER BY LENGTH(d.n_name) DESC, d.n_name) AS place FROM (SELECT c.c_custkey, CONCAT('orders of ', c.c_name, ' in ', n.n_name) AS said FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey) q JOIN (SELECT n_name FROM nation) d ON q.said LIKE CONCAT('%', d.n_name, '%')) t WHERE place = 1",
     "rerank_boost": "SELECT doc_id, CASE WHEN 0.15E0 * hits > 0.5E0 THEN 0.5E0 ELSE 0.15E0 * hits END AS boost FROM (SELECT doc_id, CASE WHEN text LIKE '%a%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%License%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%der%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END AS hits FROM documents) t",
@@ -41,5 +40,3 @@ sql_query("agg_collect_codes", "SELECT s_nationkey, array_join(transform(sort_ar
 sql_query("nest_children", "SELECT conv_id, array_join(transform(sort_array(collect_list(struct(turn, role))), x -> concat(CAST(x.turn AS STRING), ':', x.role)), ',') AS turns FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(concat(turn, ':', role), ',' ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id")
 sql_query("filter_array_overlap", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING arrays_overlap(collect_set(l_linenumber), array(6, 7))", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING list_has_any(list(l_linenumber), [6, 7])")
 sql_query("age_asof", "SELECT o_orderkey, CAST(FLOOR(months_between(DATE '2024-01-01', CAST(o_orderdate AS DATE)) / 12) AS BIGINT) AS years FROM orders", "SELECT o_orderkey, CAST(date_sub('year', CAST(o_orderdate AS DATE), DATE '2024-01-01') AS BIGINT) AS years FROM orders")
-sql_query("expand_codes", "SELECT p_partkey, concat('C', lpad(CAST(i AS STRING), 2, '0')) AS code FROM part LATERAL VIEW explode(sequence(1, p_size)) x AS i", "SELECT p_partkey, concat('C', lpad(CAST(i AS VARCHAR), 2, '0')) AS code FROM (SELECT p_partkey, unnest(range(1, p_size + 1)) AS i FROM part)")
-sql_query("agg_latency", "SELECT event_type, MIN(value) AS least, MAX(value) AS most, median(value) AS middle, array_sort(collect_list(value))[CAST(FLOOR(COUNT(value) * 0.95) AS INT)] AS p95 FROM events GROUP BY event_type", "SELECT event_type, MIN(value) AS least, MAX(value) AS most, median(value) AS middle, list_sort(list(value))[CAST(FLOOR(COUNT(value) * 0.95) AS INT) + 1] AS p95 FROM events GROUP BY event_type")

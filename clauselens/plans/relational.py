@@ -8,7 +8,6 @@ MONEY = "CAST(SUM(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
 
 QUERIES = {
     # filters and predicates
-    "filter_optional": "SELECT doc_id, lang, source FROM documents WHERE (CAST(NULL AS VARCHAR(9)) IS NULL OR source = CAST(NULL AS VARCHAR(9))) AND lang = 'en'",
     "filter_in": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
     "filter_in_null": "SELECT doc_id, CASE WHEN lang IN ('fr', NULL) THEN 1 WHEN NOT (lang IN ('fr', NULL)) THEN 0 END AS verdict FROM documents",
     "filter_between_open": "SELECT p_partkey, p_size FROM part WHERE (p_size >= 10 OR p_size IS NULL) AND p_size BETWEEN 5 AND 30",
@@ -18,7 +17,6 @@ QUERIES = {
     "not_like_except": "SELECT p_partkey, p_type FROM part WHERE p_type NOT LIKE '%M%' OR p_type LIKE '%MEDIUM%'",
     "min_or_null": "SELECT l_orderkey, l_linenumber, NULLIF(l_discount, 0.0) AS discount FROM lineitem WHERE NULLIF(l_discount, 0.0) >= 0.05 OR NULLIF(l_discount, 0.0) IS NULL",
     "clause_topic": "SELECT doc_id FROM documents WHERE text LIKE '%License%' OR LOWER(text) LIKE '%copyright%'",
-    "name_search": "SELECT p_partkey, p_name, COUNT(*) OVER () AS matches FROM part WHERE LOWER(p_name) LIKE '%a%' ORDER BY p_name, p_partkey LIMIT 50",
     # joins
     "join_star": f"SELECT l.l_orderkey, l.l_linenumber, s.s_name, n.n_name, p.p_name FROM {STAR}",
     "join_left_enrich": "SELECT d.doc_id, b.quality, b.toxic FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id",
@@ -26,7 +24,6 @@ QUERIES = {
     "join_semi_multi": "SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R') AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_discount >= 0.1)",
     "join_hierarchy": "SELECT c.n_nationkey AS child, c.n_name AS child_name, q.n_nationkey AS parent, q.n_name AS parent_name FROM nation c JOIN nation q ON c.n_regionkey = q.n_nationkey WHERE c.n_nationkey <> q.n_nationkey",
     "join_title_prefix": "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_name LIKE CONCAT('%', SUBSTRING(b.p_name, 1, 4), '%') WHERE a.p_partkey <> b.p_partkey",
-    "join_product_fanout": "SELECT DISTINCT l.l_suppkey, l.l_orderkey, c.p_partkey FROM lineitem l JOIN (SELECT DISTINCT l_suppkey AS sk, l_partkey AS p_partkey FROM lineitem WHERE l_quantity >= 49) c ON l.l_suppkey = c.sk WHERE l.l_returnflag = 'R' AND l.l_discount >= 0.09",
     "join_rule_or": "SELECT l.l_orderkey, l.l_linenumber, r.rule FROM lineitem l JOIN (SELECT 'R' AS flag, 'returned' AS rule UNION ALL SELECT 'A', 'accepted') r ON l.l_returnflag = r.flag",
     "join_name_only": "SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_name IS NOT NULL",
     "join_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_acctbal > 5000 AND b.s_acctbal > 5000",
@@ -58,36 +55,26 @@ QUERIES = {
     "interleave": "SELECT s_suppkey, rank_no, s_nationkey FROM (SELECT s_suppkey, s_nationkey, ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank_no FROM supplier) t ORDER BY rank_no, s_nationkey LIMIT 20",
     "dedupe_first": "SELECT user_id, event_id FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) t WHERE rn = 1",
     "rank_weighted": "SELECT doc_id, n_chars * CASE lang WHEN 'en' THEN 1.2E0 WHEN 'fr' THEN 1.15E0 WHEN 'de' THEN 1.1E0 ELSE 1.0E0 END AS weighted FROM documents",
-    "win_budget": "SELECT doc_id, running FROM (SELECT doc_id, source, SUM(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM documents) t WHERE running <= 4000",
     "citations": "SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS citation FROM conversations WHERE role = 'assistant'",
     "sources_dedupe": "SELECT source, doc_id FROM (SELECT source, doc_id, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM (SELECT source, MIN(doc_id) AS doc_id FROM documents GROUP BY source, SUBSTRING(text, 1, 100)) u) t WHERE place <= 3",
     "top1_priority": "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%ECONOMY%' THEN 0 ELSE 1 END, LENGTH(p_name), p_retailprice DESC NULLS LAST, p_partkey) AS rn FROM part) t WHERE rn = 1",
     "top5_case": "SELECT p_brand, p_partkey, rn FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%PROMO%' THEN 1 WHEN p_type LIKE '%MEDIUM%' THEN 2 ELSE 3 END, p_partkey) AS rn FROM part) t WHERE rn <= 5",
     "win_gap": "SELECT o_custkey, o_totalprice - following AS gap FROM (SELECT o_custkey, o_totalprice, LEAD(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS following, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn = 1 AND following IS NOT NULL",
-    "recommend": "SELECT l_partkey, MAX(l_extendedprice) AS most, MIN(l_tax) AS least, COUNT(DISTINCT l_extendedprice) = 1 AS all_equal FROM lineitem GROUP BY l_partkey HAVING COUNT(*) >= 2",
     "fallback_tiers": "SELECT source, tier, doc_id FROM (SELECT source, tier, doc_id, MIN(tier) OVER (PARTITION BY source) AS best FROM (SELECT source, CASE WHEN lang = 'de' AND n_chars > 5000 THEN 1 WHEN lang = 'de' THEN 2 ELSE 3 END AS tier, doc_id FROM documents) u) t WHERE tier = best",
     "candidate_merge": "SELECT doc_id, origin FROM (SELECT doc_id, origin, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY origin) AS rn FROM (SELECT doc_id, 1 AS origin FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 2 FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 3 FROM documents WHERE lang = 'es') u) t WHERE rn = 1",
     "topn_amount": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice IS NOT NULL ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10",
     "carry_last_topic": "SELECT conv_id, turn, MAX(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user_turn FROM conversations",
-    "upsert_latest": "SELECT user_id, event_type, value FROM (SELECT user_id, event_type, value, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) t WHERE rn = 1",
-    "insert_if_absent": "SELECT doc_id FROM (SELECT doc_id FROM documents) d WHERE NOT EXISTS (SELECT 1 FROM labels b WHERE b.doc_id = d.doc_id)",
-    "incremental_todo": "SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.vec_id IS NULL AND LENGTH(d.text) >= 50",
     # set operations
     "set_except": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "set_intersect": "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'",
     # graph as node and edge tables
-    "graph_nodes": "SELECT 'region' AS label, CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), n_name FROM nation UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer",
-    "graph_edges": "SELECT 'HAS_NATION' AS rel, CAST(r.r_regionkey AS BIGINT) AS src, CAST(n.n_nationkey AS BIGINT) AS dst FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey UNION SELECT 'HAS_SUPPLIER', CAST(n.n_nationkey AS BIGINT), s.s_suppkey FROM nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey UNION SELECT DISTINCT 'OFFERS', l_suppkey, l_partkey FROM lineitem",
     "graph_path3": "SELECT r.r_name, n.n_name, s.s_name FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey JOIN supplier s ON s.s_nationkey = n.n_nationkey",
     "graph_orphans": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL",
     "graph_dupes": "SELECT l_orderkey, l_partkey, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey HAVING COUNT(*) > 1",
     "graph_counts": "SELECT n.n_name, p.p_brand, COUNT(DISTINCT l.l_partkey) AS n FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey GROUP BY n.n_name, p.p_brand",
     "graph_neighbors": "SELECT s.s_suppkey, 'out' AS direction, l.l_partkey AS neighbour FROM supplier s JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l ON l.l_suppkey = s.s_suppkey UNION ALL SELECT s.s_suppkey, 'in', CAST(s.s_nationkey AS BIGINT) FROM supplier s",
     # data quality
-    "dq_counts": "SELECT 'documents' AS name, n, ABS(n - expected) <= 5 AS ok FROM (SELECT COUNT(*) AS n, COUNT(DISTINCT doc_id) AS expected FROM documents) t",
     "dq_reconcile": "SELECT COALESCE(a.source, b.source) AS source, COALESCE(a.n, 0) AS left_n, COALESCE(b.n, 0) AS right_n, COALESCE(a.n, 0) = COALESCE(b.n, 0) AS matches FROM (SELECT source, COUNT(*) AS n FROM documents GROUP BY source) a FULL OUTER JOIN (SELECT d.source, COUNT(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source) b ON a.source = b.source",
-    "dq_unique": "SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1",
-    "dq_fk": "SELECT e.vec_id FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id WHERE d.doc_id IS NULL",
     "dq_amount_outlier": f"SELECT n.n_name, COUNT(CASE WHEN l.l_extendedprice < 2000 THEN 1 END) AS low, 100.0E0 * COUNT(CASE WHEN l.l_extendedprice < 2000 THEN 1 END) / COUNT(*) AS share FROM {STAR} GROUP BY n.n_name",
     "dq_gate": "SELECT 100.0E0 * SUM(CASE WHEN ok THEN 1 ELSE 0 END) / COUNT(*) AS pass_rate FROM (SELECT COUNT(*) > 0 AS ok FROM documents UNION ALL SELECT COUNT(*) = COUNT(DISTINCT doc_id) FROM documents UNION ALL SELECT SUM(CASE WHEN l_quantity < 0 THEN 1 ELSE 0 END) = 0 FROM lineitem) t",
     # composite jobs and documented use cases
@@ -95,7 +82,6 @@ QUERIES = {
     "list_products": "SELECT DISTINCT s.s_suppkey, s.s_name, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey",
     "list_coverages": f"SELECT DISTINCT l.l_suppkey, l.l_partkey, p.p_name FROM {STAR} WHERE LENGTH(p.p_name) >= 3",
     "plan_validate": "SELECT l.l_orderkey, l.l_linenumber, CASE WHEN p.p_partkey IS NULL THEN 'missing' WHEN l.l_extendedprice > 30 * p.p_retailprice THEN 'mismatch' ELSE 'ok' END AS verdict FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey",
-    "qa_evaluate": "SELECT lang, COUNT(*) AS total, SUM(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS success FROM (SELECT d.lang, b.quality FROM documents d JOIN labels b ON d.doc_id = b.doc_id) t GROUP BY lang",
 }
 
 for _name, _sql in QUERIES.items():

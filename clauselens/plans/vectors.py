@@ -1,65 +1,6 @@
-"""Vector search: exact, filtered, by threshold and by cells.
+"""Vectors with what belongs to them, and their dimension."""
 
-Queries are the vectors whose vec_id is divisible by 50; they meet all vectors. Spark broadcasts them only while they
-are below its broadcast threshold and deals both sides out in blocks beyond it. The top k of a query are cut down in
-each task before rows are shuffled. Scores are rounded before they rank, ties go to the smaller vec_id, and vectors
-that are null drop out.
-"""
+from clauselens.registry import sql_query
 
-from __future__ import annotations
-
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from clauselens.registry import QUERIES, query, sql_query, table
-
-K, CELLS, PROBES, FIT_ROWS = 10, 16, 12, 100_000
-
-DOT = "aggregate(zip_with(q.embedding, e.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
-NORM = "sqrt(aggregate({}.embedding, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
-SPARK = {"cos": f"round({DOT} / ({NORM.format('q')} * {NORM.format('e')}), 6)", "ip": f"round({DOT}, 6)", "l2": "round(sqrt(aggregate(zip_with(q.embedding, e.embedding, (x, y) -> pow(CAST(x AS DOUBLE) - CAST(y AS DOUBLE), 2)), 0D, (s, x) -> s + x)), 6)"}
-DUCK = {k: f"round({f}(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6)" for k, f in (("cos", "list_cosine_similarity"), ("ip", "list_inner_product"), ("l2", "list_distance"))}
-PAIRS = "SELECT q.vec_id AS query_id, e.vec_id, @score AS score FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q CROSS JOIN (SELECT vec_id, embedding, label FROM embeddings) e WHERE q.vec_id <> e.vec_id"
-TOP = f"SELECT query_id, vec_id, score, place FROM (SELECT p.*, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score @way, vec_id) AS place FROM ({PAIRS} @more) p) t WHERE place <= {K}"
-
-
-def both(name: str, sql: str, metric: str) -> None:
-    sql_query(name, sql.replace("@score", SPARK[metric]), sql.replace("@score", DUCK[metric]))
-
-
-both("cosine_sim", PAIRS, "cos")
-both("knn_batch", TOP.replace("@way", "DESC").replace("@more", ""), "cos")
-both("knn_filtered", TOP.replace("@way", "DESC").replace("@more", "AND e.label IN (1, 2, 3)"), "cos")
-both("knn_l2", TOP.replace("@way", "ASC").replace("@more", ""), "l2")
-both("knn_ip", TOP.replace("@way", "DESC").replace("@more", ""), "ip")
-both("knn_threshold", f"SELECT * FROM ({PAIRS}) p WHERE score >= 0.3", "cos")
-both("hybrid_search", f"SELECT query_id, vec_id, final FROM (SELECT query_id, vec_id, final, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY final DESC, vec_id) AS place FROM (SELECT t.query_id, t.vec_id, round(t.score + CASE WHEN d.text LIKE '%License%' THEN 0.15E0 ELSE 0E0 END, 6) AS final FROM ({TOP.replace('@way', 'DESC').replace('@more', '').replace(f'<= {K}', f'<= {3 * K}')}) t JOIN documents d ON t.vec_id = d.doc_id) u) v WHERE place <= {K}", "cos")
 sql_query("vector_metadata", "SELECT e.vec_id, e.label, d.lang, d.source, b.quality FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id LEFT JOIN labels b ON d.doc_id = b.doc_id")
 sql_query("dq_vector_dim", "SELECT size(embedding) AS dim, COUNT(*) AS n FROM embeddings GROUP BY size(embedding)", "SELECT len(embedding) AS dim, COUNT(*) AS n FROM embeddings GROUP BY len(embedding)")
-
-
-@query()
-def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate search: each query looks into its PROBES nearest of CELLS cells; recall of its top K against all.
-
-    The cells are fitted on FIT_ROWS vectors at most; every vector is put into a cell.
-    """
-    vectors = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull()).select("vec_id", "embedding", array_to_vector("embedding").alias("features"))
-    share = min(1.0, FIT_ROWS / max(1, vectors.count()))
-    model = KMeans(k=CELLS, seed=1, maxIter=20).fit(vectors.sample(share, seed=1) if share < 1 else vectors)
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    celled = model.transform(vectors).select("vec_id", "embedding", F.col("prediction").alias("cell"))
-    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    far = F.expr("aggregate(zip_with(q, centre, (x, y) -> pow(x - y, 2)), 0D, (s, x) -> s + x)")
-    near = queries.crossJoin(F.broadcast(centres)).groupBy("query_id", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct(far.alias("d"), "cell"))), 1, PROBES).alias("near"))
-    probes = near.select("query_id", "q", F.explode("near.cell").alias("cell"))
-    score = F.expr("round(aggregate(zip_with(q, embedding, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x), 6)").alias("score")
-    found = probes.join(celled, "cell").filter("query_id <> vec_id").select("query_id", "vec_id", score)
-    found.createOrReplaceTempView("_found")
-    top = spark.sql(f"SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM _found) WHERE place <= {K}")
-    spark.catalog.dropTempView("_found")
-    exact = QUERIES["knn_ip"](spark, sf_dir).select("query_id", "vec_id")
-    hits = exact.join(top.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
-    return hits.groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))

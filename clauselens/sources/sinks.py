@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselens import registry
+from clauselens.operators.rounds import folder
 from clauselens.plans.catalogue import build_clauses
 from clauselens.registry import query, table
 
 CLAUSES = registry.ORACLE_SQL["build_clauses"]
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one if none is named and the session is of one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/clauselens-{uuid.uuid4().hex}"
-
-
 @query(CLAUSES)
 def sink_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses without NUL characters, as Parquet by type of document."""
