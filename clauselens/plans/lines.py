@@ -8,9 +8,7 @@ SPARK_CELLS, DUCK_CELLS = "filter(transform(split(line, '[|]'), c -> trim(c)), c
 
 # Read alike by both engines, over @lines.
 LINES = {
-    "sections": "SELECT doc_id, line_no, CASE WHEN line LIKE '#%' THEN 'heading' WHEN REGEXP_EXTRACT(line, '^([0-9]+[.)])', 1) <> '' THEN 'numbered' WHEN line LIKE '%:' THEN 'label' ELSE 'upper' END AS kind, TRIM(line) AS title FROM @lines t WHERE line LIKE '#%' OR REGEXP_EXTRACT(line, '^([0-9]+[.)])', 1) <> '' OR line LIKE '%:' OR (LENGTH(TRIM(line)) BETWEEN 4 AND 60 AND UPPER(line) = line AND LOWER(line) <> line)",
     "text_blocks": "SELECT doc_id, line_no, TRIM(line) AS block, LENGTH(TRIM(line)) AS n FROM @lines t WHERE LENGTH(TRIM(line)) >= 20",
-    "route_parse": "SELECT doc_id, line_no, CASE WHEN line LIKE '%|%' AND source LIKE 'src1%' THEN 'table' WHEN line LIKE '%|%' THEN 'hybrid' ELSE 'text' END AS parser FROM @lines t WHERE TRIM(line) <> ''",
     "win_line_context": "SELECT doc_id, line_no, before_1, line, after_1, after_2 FROM (SELECT doc_id, line_no, line, LAG(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before_1, LEAD(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS after_1, LEAD(line, 2) OVER (PARTITION BY doc_id ORDER BY line_no) AS after_2 FROM @lines t) u WHERE LOWER(line) LIKE '%license%'",
 }
 for _name, _sql in LINES.items():
@@ -18,15 +16,12 @@ for _name, _sql in LINES.items():
 
 # One text for both engines.
 SAME = {
-    "meta_from_path": "SELECT page_id, REGEXP_EXTRACT(url, '^[a-z]+://([^/]+)', 1) AS host, REGEXP_EXTRACT(url, '([^/]*)$', 1) AS file_name, REGEXP_EXTRACT(url, '[.]([a-z0-9]+)$', 1) AS suffix FROM pages",
     "filter_regex": "SELECT o_orderkey FROM orders WHERE REGEXP_EXTRACT(o_orderpriority, '^([12]-)', 1) <> ''",
     "ent_company": "SELECT c_custkey, company FROM (SELECT q.c_custkey, d.n_name AS company, ROW_NUMBER() OVER (PARTITION BY q.c_custkey ORDER BY LENGTH(d.n_name) DESC, d.n_name) AS place FROM (SELECT c.c_custkey, CONCAT('orders of ', c.c_name, ' in ', n.n_name) AS said FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey) q JOIN (SELECT n_name FROM nation) d ON q.said LIKE CONCAT('%', d.n_name, '%')) t WHERE place = 1",
     "rerank_boost": "SELECT doc_id, CASE WHEN 0.15E0 * hits > 0.5E0 THEN 0.5E0 ELSE 0.15E0 * hits END AS boost FROM (SELECT doc_id, CASE WHEN text LIKE '%a%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%License%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%der%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END AS hits FROM documents) t",
     "agg_graph_stats": "SELECT kind, COUNT(*) AS n FROM (SELECT 'nation' AS kind FROM nation UNION ALL SELECT 'supplier' FROM supplier UNION ALL SELECT 'offers' FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) o) t GROUP BY kind",
     "resume_todo": "SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL",
     "build_groups": "SELECT n_name, category, COUNT(*) AS parts FROM (SELECT DISTINCT n.n_name, SUBSTRING(p.p_type, 1, 5) AS category, p.p_partkey FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey) t GROUP BY n_name, category",
-    "build_coverage": "SELECT l_suppkey, l_partkey, name, category FROM (SELECT l.l_suppkey, l.l_partkey, p.p_name AS name, SUBSTRING(p.p_type, 1, 5) AS category, ROW_NUMBER() OVER (PARTITION BY l.l_suppkey, p.p_name ORDER BY l.l_partkey, l.l_orderkey, l.l_linenumber) AS rn FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey) t WHERE rn = 1",
-    "build_plans": "SELECT o.o_orderkey, COUNT(*) AS coverages, CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_insured FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey",
 }
 for _name, _sql in SAME.items():
     sql_query(_name, _sql)

@@ -24,14 +24,11 @@ QUERIES = {
     "join_semi_multi": "SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R') AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_discount >= 0.1)",
     "join_hierarchy": "SELECT c.n_nationkey AS child, c.n_name AS child_name, q.n_nationkey AS parent, q.n_name AS parent_name FROM nation c JOIN nation q ON c.n_regionkey = q.n_nationkey WHERE c.n_nationkey <> q.n_nationkey",
     "join_title_prefix": "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_name LIKE CONCAT('%', SUBSTRING(b.p_name, 1, 4), '%') WHERE a.p_partkey <> b.p_partkey",
-    "join_rule_or": "SELECT l.l_orderkey, l.l_linenumber, r.rule FROM lineitem l JOIN (SELECT 'R' AS flag, 'returned' AS rule UNION ALL SELECT 'A', 'accepted') r ON l.l_returnflag = r.flag",
     "join_name_only": "SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_name IS NOT NULL",
     "join_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_acctbal > 5000 AND b.s_acctbal > 5000",
     "join_two_company": f"WITH t AS (SELECT n.n_name AS company, p.p_brand AS brand, MAX(l.l_extendedprice) AS best FROM {STAR} GROUP BY n.n_name, p.p_brand) SELECT a.brand, a.company AS company_a, b.company AS company_b, a.best AS best_a, b.best AS best_b FROM t a JOIN t b ON a.brand = b.brand AND a.company < b.company",
     "join_codes": "SELECT s.s_suppkey, n.n_name, r.r_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey",
-    "match_exact_then_prefix": "SELECT a.p_partkey, MIN(CASE WHEN a.p_name = b.p_name THEN 1 ELSE 2 END) AS step, MIN(b.p_partkey) AS first_match FROM part a JOIN part b ON a.p_brand = b.p_brand AND SUBSTRING(a.p_name, 1, 8) = SUBSTRING(b.p_name, 1, 8) GROUP BY a.p_partkey",
     "update_from_join": "SELECT d.doc_id, COALESCE(b.quality, 0) AS quality, COALESCE(b.toxic, 0) AS toxic FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id",
-    "link_exact": "SELECT doc_id, item_id FROM (SELECT d.doc_id, b.item_id, ROW_NUMBER() OVER (PARTITION BY d.doc_id ORDER BY b.item_id) AS rn FROM documents d JOIN benchmark b ON TRIM(d.text) = TRIM(b.text)) t WHERE rn = 1",
     "link_parent": "SELECT DISTINCT l.l_orderkey, n.n_regionkey AS parent, 0.9E0 AS score FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey",
     # aggregations
     "agg_link_stats": f"SELECT l_shipmode, n, total / n AS mean FROM (SELECT l_returnflag AS l_shipmode, COUNT(*) AS n, {MONEY.format('l_quantity')} AS total FROM lineitem GROUP BY l_returnflag) t",
@@ -80,7 +77,6 @@ QUERIES = {
     # composite jobs and documented use cases
     "list_companies": "SELECT DISTINCT n.n_nationkey, n.n_name FROM nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey",
     "list_products": "SELECT DISTINCT s.s_suppkey, s.s_name, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey",
-    "list_coverages": f"SELECT DISTINCT l.l_suppkey, l.l_partkey, p.p_name FROM {STAR} WHERE LENGTH(p.p_name) >= 3",
     "plan_validate": "SELECT l.l_orderkey, l.l_linenumber, CASE WHEN p.p_partkey IS NULL THEN 'missing' WHEN l.l_extendedprice > 30 * p.p_retailprice THEN 'mismatch' ELSE 'ok' END AS verdict FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey",
 }
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clauselens.operators import amounts, graph, search, tables
+from clauselens.functions.text import partial_ratio, partial_ratio_of
+from clauselens.operators import amounts, graph, linking, parsing, search, tables
 from clauselens.plans.applied import expanded
 
 
@@ -136,3 +137,48 @@ def test_graph(spark):
     walks = graph.paths(edges, 3, spark.createDataFrame([("a",)], "src string"))
     assert {tuple(r.path) for r in walks.collect()} == {("a", "b"), ("a", "b", "c"), ("a", "b", "c", "a")}
     assert [r.src for r in graph.without(edges, spark.createDataFrame([("c",)], "node string")).collect()] == ["a", "x"]
+
+
+def test_file_metadata(spark):
+    names = ["삼성_약관.pdf", "롯데_약관(남).pdf", "DB_가입설계서(40세이하)_2511.pdf", "KB_쉬운요약서(여).pdf", "other.html", None]
+    found = [r and (r.carrier, r.doc_type, r.doc_subtype) for r in values(spark, names, parsing.file_metadata)]
+    assert found == [("samsung", "terms", None), ("lotte", "terms", "male"), ("db", "proposal", "age_40_under"), ("kb", "easy_summary", "easy_summary"), ("other", "unknown", None), (None, "unknown", None)]
+
+
+def test_layouts(spark):
+    rows = spark.createDataFrame([("db", ["1.", "", "상해사망·후유장해(20-100%)", "1백만원", "132", "20년/100세"]), ("kb", ["", "암", "", "3천만원"]), ("kb", ["암"]), ("xx", ["a", "b"])], "carrier string, cells array<string>")
+    layouts = parsing.Layouts().register("db", 3, 4, 5, least=6).register("kb", 1, 2, least=2, drop_empty=True)
+    assert {(r.carrier, r.name, r.amount, r.premium) for r in layouts.parse(rows, "carrier", "cells").collect()} == {("db", "상해사망·후유장해(20-100%)", "1백만원", "132"), ("kb", "암", "3천만원", None)}
+
+
+@pytest.mark.parametrize("least", [80, 50])
+def test_fuzzy_links_against_brute_force(spark, least):
+    import random
+
+    random.seed(4)
+    names = [(1, i, f"{a}{b}") for i, (a, b) in enumerate((a, b) for a in ("일반암", "유사암", "뇌졸중", "abc def") for b in ("진단비", "수술비", "통원 치료비", ""))]
+    said = [(k, 1 + k % 2, "".join(c for c in random.choice(names)[2] + " 특약" if random.random() > 0.08) + random.choice(["", " 갱신형"])) for k in range(60)] + [(99, 1, ""), (98, 1, None)]
+    clauses, table = spark.createDataFrame(said, "k int, scope int, said string"), spark.createDataFrame(names, "scope int, name_id int, name string")
+    found = {r.k: (r.name_id, r.ratio) for r in linking.fuzzy(clauses, table, ["scope"], ["k"], partial_ratio_of, least).collect()}
+    for k, scope, text in said:
+        best = None
+        for s, i, name in names:
+            if s == scope and text is not None:
+                within = name in text or text in name
+                shares = {text[j : j + 3] for j in range(max(1, len(text) - 2))} & {name[j : j + 3] for j in range(max(1, len(name) - 2))}
+                ratio = 100 if within else partial_ratio(text, name) if shares else 0
+                if ratio >= least and (best is None or (ratio, -i) > (best[1], -best[0])):
+                    best = (i, ratio)
+        assert found.get(k) == best, (text, best)
+
+
+def test_containment(spark):
+    texts = spark.createDataFrame([(1, "see the cat and the category"), (2, "no"), (3, None), (4, "")], "k int, text string")
+    names = spark.createDataFrame([("cat",), ("category",), ("dog",), ("no",)], "name string")
+    assert {(r.k, r.name) for r in linking.contained(texts, names, ["k"]).collect()} == {(1, "cat"), (1, "category")}
+
+
+def test_first_tier(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 8)], "k int, t int")
+    more = spark.createDataFrame([(1, 9), (3, 5), (3, 6)], "k int, t int")
+    assert {(r.k, r.t, r.tier) for r in linking.first_tier([(1, 1.0, rows), (2, 0.8, more)], ["k"], "t").collect()} == {(1, 7, 1), (2, 8, 1), (3, 5, 2), (3, 6, 2)}
