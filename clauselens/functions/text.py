@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from clauselens.operators import linking, search
 from clauselens.registry import QUERIES, query, table
 
 
@@ -52,14 +53,7 @@ def link_fuzzy_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = QUERIES["coverage_canon"](spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "name")
     offered = sellers.join(names, "l_partkey").groupBy("l_suppkey", "name").agg(F.min("l_partkey").alias("coverage_id"))
     asked = clauses.join(sellers, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_suppkey", F.substring("coverage", 1, 200).alias("said"))
-    # equal texts of one carrier are scored once
-    pairs = asked.select("l_suppkey", "said").distinct().join(offered, "l_suppkey")
-    # a text within the other has a ratio of 100, which nothing exceeds: only texts without one are scored in Python
-    inside = pairs.filter("instr(said, name) > 0 OR instr(name, said) > 0").withColumn("ratio", F.lit(100).cast("long"))
-    others = pairs.join(inside.select("l_suppkey", "said").distinct(), ["l_suppkey", "said"], "left_anti")
-    scored = inside.unionByName(others.withColumn("ratio", partial_ratio_of("said", "name")).filter("ratio >= 80"))
-    best = scored.groupBy("l_suppkey", "said").agg(F.max_by(F.struct("coverage_id", "ratio"), F.struct("ratio", -F.col("coverage_id"))).alias("best"))
-    return asked.join(best, ["l_suppkey", "said"]).select("l_orderkey", "l_linenumber", "best.coverage_id", "best.ratio")
+    return linking.fuzzy(asked, offered, ["l_suppkey"], ["l_orderkey", "l_linenumber"], partial_ratio_of, 80, name_id="coverage_id")
 
 
 @query()
@@ -70,6 +64,19 @@ def embed_tfidf(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFrame:
     return Pipeline(stages=steps).fit(docs).transform(docs).select("doc_id", vector_to_array("vector", "float32").alias("vector"))
 
 
+def _sizes(texts: pd.Series) -> list[list[float]]:
+    """A toy in place of an embedding model: lengths, digits and spaces of a text."""
+    return [[float(len(t)), float(sum(c.isdigit() for c in t)), float(t.count(" "))] for t in texts]
+
+
+@query("SELECT doc_id, [length(text), length(regexp_replace(text, '[^0-9]', '', 'g')), length(text) - length(replace(text, ' ', ''))]::VARCHAR AS vector FROM documents WHERE length(text) >= 50")
+def embed_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of 50 characters or more through a model that is given as a function of a batch of texts."""
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 50)
+    found = search.embedded(docs, "doc_id", "text", _sizes)
+    return found.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ", "), F.lit("]")).alias("vector"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE md5(doc_id::VARCHAR) < '2'")
 def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample that stays the same: an eighth of the rows, by a hash of their key."""
@@ -80,7 +87,13 @@ def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXPECTED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "labels": ["doc_id", "quality", "toxic"], "embeddings": ["vec_id", "embedding", "label"]}
 
 
-@query()
+def _schema_sql(name: str, expected: list[str]) -> str:
+    wanted = "[" + ", ".join(f"'{c}'" for c in expected) + "]"
+    return f"""SELECT '{name}' AS name, array_to_string(list_sort(m), ',') AS missing, array_to_string(list_sort(x), ',') AS extra, CASE WHEN len(m) > 0 THEN 'FAIL' WHEN len(x) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict, (SELECT count(*) FROM {name}) AS n
+        FROM (SELECT list_filter({wanted}, lambda c: NOT list_contains(has, c)) AS m, list_filter(has, lambda c: NOT list_contains({wanted}, c)) AS x FROM (SELECT list(column_name) AS has FROM (SELECT DISTINCT column_name FROM information_schema.columns WHERE table_name = '{name}')))"""
+
+
+@query(" UNION ALL ".join(_schema_sql(name, expected) for name, expected in EXPECTED.items()))
 def dq_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PASS if a table has the expected columns, WARN if it has more, FAIL if some are missing; with its rows."""
     out = None

@@ -9,8 +9,10 @@ out.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -110,6 +112,20 @@ def hybrid(queries: DataFrame, vectors: DataFrame, tiers: list[Column], text_col
     return top_k(fetched.withColumn("final", boosted(F.col("score"), F.col(text_col), F.col(keywords))), ["query_id"], [F.desc("final"), F.asc(id_col)], k, "place")
 
 
+def embedded(docs: DataFrame, id_col: str, text_col: str, encode: Callable[[pd.Series], list[list[float]]]) -> DataFrame:
+    """(id, vector) by any model, given as a function that turns a batch of texts into vectors; it runs where the texts are.
+
+    Batches have spark.sql.execution.arrow.maxRecordsPerBatch texts. Null texts come as ''.
+    """
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({id_col: batch[id_col], "vector": encode(batch["text"])})
+
+    return rows.mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, vector array<float>")
+
+
 def by_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int | None = None, probes: int | None = None, fit_rows: int = 100_000, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest by inner product among the vectors of the `probes` cells nearest to each query.
 

@@ -33,14 +33,3 @@ def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, path = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), folder(spark)
     rows.write.json(path)
     return spark.read.schema(rows.schema).json(path)
-
-
-@query("SELECT doc_id, lang, source, length(text) AS n FROM documents")
-def stream_ingest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a file stream; a second start goes on from the checkpoint and finds nothing new."""
-    schema, path = table(spark, sf_dir, "documents").schema, folder(spark)
-    for _ in range(2):
-        docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
-        rows = docs.select("doc_id", "lang", "source", F.length("text").alias("n"))
-        rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("doc_id long, lang string, source string, n int").parquet(f"{path}/out")

@@ -11,6 +11,7 @@ from clauselens import registry
 from clauselens.plans import amounts, applied, catalogue, clauses, entities, graph, lines, names, parsed, relational, vectors  # noqa: F401
 from clauselens.functions import text  # noqa: F401
 from clauselens.sources import nested, sinks  # noqa: F401
+from clauselens.streaming import ingest  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
