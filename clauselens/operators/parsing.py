@@ -65,6 +65,11 @@ def chunks(docs: DataFrame, key: str, text: str, doc_type: str, routes: dict[str
     return out.select(key, "parser", F.col("part_no").cast("long").alias("part_no"), "kind", "body", F.when((F.col("kind") != "row") & (F.length("body") < 100), F.col("body")).alias("title"))
 
 
+def row_text(name: Column, amount: Column, premium: Column, period: Column) -> Column:
+    """A table row as text; parts that are null are left out."""
+    return F.concat_ws(", ", name, F.concat(F.lit("가입금액: "), amount), F.concat(F.lit("보험료: "), premium), F.concat(F.lit("기간: "), period))
+
+
 class Layouts:
     """Where each carrier has name, amount and premium in its rows (from 1, 0 for none), by number of cells."""
 

@@ -33,7 +33,6 @@ def parsed(text: str = "amount") -> str:
 QUERIES = {
     "amount_format": f"SELECT l_orderkey, l_linenumber, {RENDERED} AS amount FROM {WORTH} w",
     "amount_display": f"SELECT l_orderkey, l_linenumber, COALESCE(NULLIF(REGEXP_EXTRACT(amount, '([0-9]+{EOK}[0-9 ]*{MAN}?{WON})', 1), ''), NULLIF(REGEXP_EXTRACT(amount, '([0-9]+{MAN}{WON})', 1), ''), 'none') AS shown FROM {TEXTS} t",
-    "row_text": f"SELECT l_orderkey, l_linenumber, CONCAT_WS(', ', p.p_name, CONCAT('가입금액: ', amount)) AS row_text FROM (SELECT t.*, i.l_partkey FROM {TEXTS} t JOIN (SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey FROM lineitem) i ON t.l_orderkey = i.ok AND t.l_linenumber = i.ln) r JOIN part p ON r.l_partkey = p.p_partkey",
 }
 
 for _name, _sql in QUERIES.items():

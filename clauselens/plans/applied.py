@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselens.operators import amounts, graph, search, tables
-from clauselens.registry import query, table
+from clauselens.registry import ORACLE_SQL, query, table
 
 # Amounts. The tables have prices; they are written in seven forms, with a price's ten thousands as units.
 _FORMS_SQL = """
@@ -360,6 +360,19 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir)[1].select("rel", "src", "dst")
 
 
+@query(f"SELECT label AS kind, count(*) AS n FROM ({_NODES_SQL}) GROUP BY label UNION ALL SELECT rel, count(*) FROM ({ORACLE_SQL['graph_edges']}) GROUP BY rel")
+def agg_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes there are of each label, and edges of each relation."""
+    nodes, edges = _graph(spark, sf_dir)
+    return nodes.groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("rel").alias("kind")).agg(F.count("*").alias("n")))
+
+
+@query(f"SELECT doc_id, least(0.5, round(0.15 * len(list_filter([{', '.join(chr(39) + w + chr(39) for w in BOOSTS)}], lambda w: contains(text, w))), 6)) AS boost FROM documents")
+def rerank_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the words of a search add to the score of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", search.boosted(F.lit(0.0), F.col("text"), F.array(*map(F.lit, BOOSTS))).alias("boost"))
+
+
 def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region, company, and its products and persons, as edges with prefixed ids."""
     def named(name: str, a: str, src: str, b: str, dst: str) -> DataFrame:

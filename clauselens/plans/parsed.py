@@ -134,6 +134,32 @@ def src_code_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheet.join(parts.select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand")), "code").select("code", "name", "brand", "sheet_code")
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, p_name || ', 가입금액: ' || format('{:,}', floor(l_extendedprice)::BIGINT) || '만원' || CASE WHEN l_tax >= 0.01 THEN ', 보험료: ' || format('{:,}', floor(l_extendedprice * l_tax)::BIGINT) || '원' ELSE '' END
+              || CASE WHEN l_linenumber % 3 > 0 THEN ', 기간: ' || (l_linenumber * 10) || '년' ELSE '' END AS row_text FROM lineitem JOIN part ON l_partkey = p_partkey"""
+)
+def row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as text, without what a row does not have."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    amount = F.concat(F.format_number(F.floor("l_extendedprice"), 0), F.lit("만원"))
+    paid = F.when(F.col("l_tax") >= 0.01, F.concat(F.format_number(F.floor(F.col("l_extendedprice") * F.col("l_tax")), 0), F.lit("원")))
+    period = F.when(F.col("l_linenumber") % 3 > 0, F.concat(F.col("l_linenumber") * 10, F.lit("년")))
+    return lines.select("l_orderkey", "l_linenumber", parsing.row_text(F.col("p_name"), amount, paid, period).alias("row_text"))
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT [split_part(p_name, ' ', 2), split_part(p_name, ' ', 1), p_brand] AS w FROM part), n AS (SELECT DISTINCT array_to_string(w[1:k], ' ') AS name, k AS depth FROM t, (SELECT unnest([1, 2, 3]) AS k))
+       SELECT c.name AS child, p.name AS parent, c.depth FROM n c JOIN n p ON p.depth = c.depth - 1 AND starts_with(c.name, p.name || ' ')"""
+)
+def join_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of parts and the wider kinds that they belong to: noun, noun and adjective, and those of a brand."""
+    name = F.split("p_name", " ")
+    words = table(spark, sf_dir, "part").select(F.array(name[1], name[0], "p_brand").alias("w")).distinct()
+    kinds = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.struct(F.array_join(F.slice("w", 1, k), " ").alias("name"), F.array_join(F.slice("w", 1, k - 1), " ").alias("up"), k.alias("depth")))).alias("k")).select("k.*").distinct()
+    parents = kinds.select(F.col("name").alias("parent"))
+    return kinds.join(parents, F.col("up") == F.col("parent")).select(F.col("name").alias("child"), "parent", "depth")
+
+
 # Composed jobs: the rows of their parts, joined.
 @query(
     f"""SELECT l_suppkey, code, arg_min(name, p_partkey) AS name, arg_min(category, p_partkey) AS category, min(p_partkey) AS p_partkey

@@ -22,7 +22,6 @@ QUERIES = {
     "join_left_enrich": "SELECT d.doc_id, b.quality, b.toxic FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id",
     "join_anti": "SELECT d.doc_id FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id WHERE b.doc_id IS NULL",
     "join_semi_multi": "SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R') AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_discount >= 0.1)",
-    "join_hierarchy": "SELECT c.n_nationkey AS child, c.n_name AS child_name, q.n_nationkey AS parent, q.n_name AS parent_name FROM nation c JOIN nation q ON c.n_regionkey = q.n_nationkey WHERE c.n_nationkey <> q.n_nationkey",
     "join_title_prefix": "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_name LIKE CONCAT('%', SUBSTRING(b.p_name, 1, 4), '%') WHERE a.p_partkey <> b.p_partkey",
     "join_name_only": "SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_name IS NOT NULL",
     "join_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_acctbal > 5000 AND b.s_acctbal > 5000",
