@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -131,6 +132,119 @@ def test_tiff(docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
 
 
+def pack_lzw(data):
+    """An encoder by the format's rule: codes grow from 9 to 12 bits, one early, and the table is cleared when it is full."""
+    out, held, bits = bytearray(), 0, 0
+
+    def put(code, width):
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            out.append(held >> (bits - 8) & 255)
+            bits -= 8
+            held &= (1 << bits) - 1
+
+    table, before, width = {bytes([b]): b for b in range(256)}, b"", 9
+    put(256, 9)
+    for b in data:
+        now = before + bytes([b])
+        if now in table:
+            before = now
+            continue
+        put(table[before], width)
+        table[now] = len(table) + 2
+        width = min(12, (len(table) + 2).bit_length())
+        if len(table) + 2 >= 4094:
+            put(256, width)
+            table, width = {bytes([b]): b for b in range(256)}, 9
+        before = bytes([b])
+    put(table[before], width)
+    put(257, min(12, (len(table) + 3).bit_length()))
+    return bytes(out) + bytes([held << (8 - bits) & 255])
+
+
+def pack_bits(data):
+    out, i = bytearray(), 0
+    while i < len(data):
+        run = next((k for k in range(1, min(128, len(data) - i)) if data[i + k] != data[i]), min(128, len(data) - i))
+        if run > 2:
+            out += bytes([257 - run, data[i]])
+        else:
+            run = min(3, len(data) - i)
+            out += bytes([run - 1]) + data[i : i + run]
+        i += run
+    return bytes(out)
+
+
+PACK = {tiff_media.NONE: bytes, tiff_media.LZW: pack_lzw, tiff_media.DEFLATE: zlib.compress, tiff_media.OLD_DEFLATE: zlib.compress, tiff_media.PACKBITS: pack_bits}
+
+
+def tiff_by_hand(images, order, compression, tile, predictor):
+    """A file of one directory for each image (height, width, samples), in strips of 5 rows or tiles of 16 by 16."""
+    out, link = bytearray({"<": b"II", ">": b"MM"}[order] + struct.pack(f"{order}HI", 42, 0)), 4
+    for image in images:
+        height, width, samples = image.shape
+        across, down = (16, 16) if tile else (width, 5)
+        parts = []
+        for top in range(0, height, down):
+            for left in range(0, width, across):
+                part = image[top : top + down, left : left + across]
+                if tile:
+                    part = np.pad(part, ((0, down - part.shape[0]), (0, across - part.shape[1]), (0, 0)))
+                if predictor == 2:
+                    part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], axis=1)
+                parts.append(PACK[compression](np.ascontiguousarray(part).tobytes()))
+        offsets = [len(out) + sum(map(len, parts[:k])) for k in range(len(parts))]
+        out += b"".join(parts)
+        places = ("tile_offsets", "tile_counts") if tile else ("offsets", "counts")
+        fields = {"width": [width], "height": [height], "bits": [8] * samples, "compression": [compression], "samples": [samples], places[0]: offsets, places[1]: [*map(len, parts)], "predictor": [predictor]}
+        fields |= {"tile_width": [16], "tile_height": [16]} if tile else {"rows_per_strip": [5]}
+        rows = []
+        for name, values in sorted(fields.items(), key=lambda f: tiff_media.TAGS[f[0]]):
+            kind = 4 if name in places else 3
+            data = struct.pack(f"{order}{len(values)}{'I' if kind == 4 else 'H'}", *values)
+            if len(data) > 4:
+                place = len(out)
+                out += data
+                data = struct.pack(f"{order}I", place)
+            rows.append(struct.pack(f"{order}HHI", tiff_media.TAGS[name], kind, len(values)) + data.ljust(4, b"\0"))
+        struct.pack_into(f"{order}I", out, link, len(out))
+        out += struct.pack(f"{order}H", len(rows)) + b"".join(rows)
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("tile", [False, True])
+@pytest.mark.parametrize("compression", sorted(PACK))
+def test_tiff_layouts(order, tile, compression):
+    rng = np.random.default_rng(2)
+    for samples, predictor in ((1, 1), (1, 2), (3, 1), (3, 2)):
+        images = [rng.integers(0, top, shape, "u1") for top, shape in ((256, (37, 70, samples)), (3, (16, 16, samples)), (256, (1, 1, samples)))]
+        found = list(tiff_media.pages(tiff_by_hand(images, order, compression, tile, predictor)))
+        assert all(np.array_equal(f, image[:, :, 0] if samples == 1 else image) for f, image in zip(found, images, strict=True))
+
+
+def test_lzw_of_all_widths():
+    data = np.random.default_rng(8).integers(0, 40, 30_000, "u1").tobytes()
+    assert tiff_media.unpack_lzw(pack_lzw(data)) == data and tiff_media.unpack_bits(pack_bits(data + b"\0" * 700)) == data + b"\0" * 700
+
+
+def test_tiff_media_and_features(docs):
+    """The stored form reads back with its own digest, pages in order, and equal texts make equal rows."""
+    rows = tiff_media.op4_tiff_media(docs).collect()
+    for r in rows:
+        text = ("no id at all" if r.doc_id is None else TEXTS[r.doc_id] or "").encode()
+        payload = text + b"\xff" * ((-len(text)) % 576 if text else 576)
+        media = tiff_media.tiff(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert b"".join(p.tobytes() for p in tiff_media.pages(media)) == payload
+        counts = Counter(b >> 4 for b in payload)
+        assert r.feature == ",".join(str(counts[k] * 10_000 // len(payload)) for k in range(16))
+    assert len({tuple(r) for r in rows if r.doc_id == 0}) == 1
+
+
 def test_tiff_codecs():
     assert tiff_media.unpack_bits(bytes([2, 65, 66, 67, 254, 68, 128, 0, 69])) == b"ABCDDDE"
     codes, width, packed, bits = [256, 65, 66, 258, 260, 257], 9, 0, 0
