@@ -94,8 +94,6 @@ _RATIO = "CASE WHEN said = canon_name OR INSTR(said, canon_name) > 0 THEN 100 EL
 _SAID = f"(SELECT {KEY}, l_suppkey, CONCAT(SUBSTRING(said, 1, 2), CASE WHEN l_linenumber % 2 = 0 THEN '_' ELSE '' END, SUBSTRING(said, 3)) AS said FROM {_NAMED} d)"
 _LIKEST = f"(SELECT sk, said, pk, ratio FROM (SELECT sk, said, pk, ratio, ROW_NUMBER() OVER (PARTITION BY sk, said ORDER BY ratio DESC, pk) AS place FROM (SELECT sk, said, pk, {_RATIO} AS ratio FROM (SELECT DISTINCT l_suppkey, said FROM {_SAID} m) a JOIN (SELECT sk, canon_name, MIN(pk) AS pk FROM {_COVERAGES} v0 GROUP BY sk, canon_name) v ON a.l_suppkey = v.sk) s WHERE ratio >= 80) r WHERE place = 1)"
 both("link_fuzzy", f"SELECT {KEY}, pk AS l_partkey, ratio FROM (SELECT {KEY}, pk, ratio, ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY ratio DESC, pk) AS place FROM {_SAID} c JOIN {_LIKEST} b ON c.l_suppkey = b.sk AND c.said = b.said) z WHERE place = 1")
-# Every exclusion clause with every coverage of its product.
-both("join_product_fanout", f"SELECT DISTINCT e.l_suppkey, e.l_orderkey, e.l_linenumber, c.p_partkey FROM (SELECT DISTINCT l_suppkey, {KEY} FROM {_EXCLUDED} t) e JOIN (SELECT DISTINCT l_suppkey AS sk, l_partkey AS p_partkey FROM lineitem) c ON e.l_suppkey = c.sk")
 
 # Parents: by the head of a standard code, and by the longest other name of the brand that a name contains.
 # Code of a coverage and code of its parent.

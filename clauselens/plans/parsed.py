@@ -160,6 +160,19 @@ def join_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.join(parents, F.col("up") == F.col("parent")).select(F.col("name").alias("child"), "parent", "depth")
 
 
+@query(
+    f"""SELECT l_suppkey, l_orderkey, l_linenumber, count(*) AS n, min(p_partkey) AS least, max(p_partkey) AS most, sum(p_partkey)::BIGINT AS total
+        FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM ({ORACLE_SQL['exclusion_extract']})) JOIN lineitem USING (l_orderkey, l_linenumber))
+        JOIN (SELECT DISTINCT l_suppkey, l_partkey AS p_partkey FROM lineitem) USING (l_suppkey) GROUP BY ALL"""
+)
+def join_product_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exclusion clause with all coverages of its product, as one row for each clause."""
+    lines = table(spark, sf_dir, "lineitem")
+    excluded = QUERIES["exclusion_extract"](spark, sf_dir).select("l_orderkey", "l_linenumber").distinct()
+    clauses_of = lines.select("l_suppkey", "l_orderkey", "l_linenumber").join(excluded, ["l_orderkey", "l_linenumber"])
+    return linking.fan_out_counts(clauses_of.select("l_suppkey", "l_orderkey", "l_linenumber"), lines.select("l_suppkey", F.col("l_partkey").alias("p_partkey")), ["l_suppkey"], "p_partkey")
+
+
 # Composed jobs: the rows of their parts, joined.
 @query(
     f"""SELECT l_suppkey, code, arg_min(name, p_partkey) AS name, arg_min(category, p_partkey) AS category, min(p_partkey) AS p_partkey
