@@ -24,6 +24,8 @@ WIDER = {
 NARROW = ["유사암", "다빈치", "로봇", "뇌졸중", "급성심근경색", "제자리암", "경계성종양"]
 WIDE = ["암수술담보", "암진단담보", "진단담보", "수술담보"]
 
+both("questions", f"SELECT {KEY}, o_custkey, said FROM {QUESTIONS} q")
+
 _CANONICAL = {a: c for c, names in ALIASES.items() for a in names} | {c: c for c in CODES}
 _BY_LENGTH = sorted(_CANONICAL, key=lambda a: (-len(a), a))
 ALIAS = "CASE " + " ".join(f"WHEN INSTR(said, '{a}') > 0 THEN '{a}'" for a in _BY_LENGTH) + " END"

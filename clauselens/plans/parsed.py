@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselens.operators import linking, parsing, tables
 from clauselens.operators.rounds import folder
-from clauselens.plans import clauses, names  # noqa: F401  their queries are parts of the jobs below
+from clauselens.plans import clauses, entities, names  # noqa: F401  their queries are parts of the jobs below
 from clauselens.registry import ORACLE_SQL, QUERIES, query, table
 
 _CARRIER_KEYS, _TYPE_KEYS = list(parsing.CARRIERS), list(parsing.DOC_TYPES)
@@ -173,6 +173,32 @@ def join_product_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.fan_out_counts(clauses_of.select("l_suppkey", "l_orderkey", "l_linenumber"), lines.select("l_suppkey", F.col("l_partkey").alias("p_partkey")), ["l_suppkey"], "p_partkey")
 
 
+# Dictionaries against questions, by a join of questions and words.
+def _words(spark: SparkSession, sf_dir: str, words: list[tuple[str, ...]], forms: list[tuple[str, str]], name: str, n: int = 1) -> DataFrame:
+    said = QUERIES["questions"](spark, sf_dir).select("o_orderkey", "said", F.regexp_replace("said", " ", "").alias("packed"))
+    columns = "word string, place int, " + ", ".join(f"{form} string" for _, form in forms)
+    dictionary = spark.createDataFrame([(w[0], i, *w) for i, w in enumerate(words)], columns)
+    return linking.in_order(said, dictionary, "o_orderkey", forms, n).select("o_orderkey", F.array_join("found", ",").alias(name))
+
+
+@query(ORACLE_SQL["ent_coverage"])
+def ent_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverages that a question names, by their name, or without spaces by the name without its ending."""
+    bare = [(name, name.replace("금", "").replace("비", "").replace("담보", "")) for name in entities.DICTIONARY]
+    return _words(spark, sf_dir, bare, [("said", "full"), ("packed", "bare")], "coverages", 3)
+
+
+@query(ORACLE_SQL["ent_disease"])
+def ent_disease(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diseases that a question names by name or code."""
+    return _words(spark, sf_dir, list(entities.DISEASES.items()), [("said", "name"), ("said", "code")], "diseases", 3)
+
+
+@query(ORACLE_SQL["ent_keywords"])
+def ent_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir, [(w,) for w in entities.KEYWORDS], [("said", "name")], "keywords")
+
+
 # Composed jobs: the rows of their parts, joined.
 @query(
     f"""SELECT l_suppkey, code, arg_min(name, p_partkey) AS name, arg_min(category, p_partkey) AS category, min(p_partkey) AS p_partkey
