@@ -15,14 +15,14 @@ between are encoded each for itself.
 Null and empty texts give a record with the end id alone. Rows with one doc_id are kept, ordered by a hash of their
 text. The shards are cut by ranges of (doc_id, hash), so that not even a repeated doc_id makes a large shard, and a
 lost executor's shard is written again under its own name. There are as many shards as spark.sql.shuffle.partitions, or
-more where a shard would have over SHARD_BYTES of text. An empty table gives no records; other columns, whatever their
+as the input has partitions if these are more, so that their size does not grow with the input. An empty table gives no records; other columns, whatever their
 names, are not read.
 """
 
 from __future__ import annotations
 
 import json
-import math
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -41,7 +41,6 @@ from clauselens.llm.pretokens import PieceCache
 from clauselens.llm.shared import blocks, held, id_and_text, shared_folder
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-SHARD_BYTES = 256 << 20
 NULL_ID = 1 << 31
 
 
@@ -71,7 +70,8 @@ class WordTokenizer:
         if any(" " in text or t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for text, t in special.items()):
             raise ValueError("special strings that take in what is around them are not supported")
         # Of special strings that begin at one place the longest counts.
-        self.special = re.compile("(" + "|".join(re.escape(text) for text in sorted(special, key=len, reverse=True)) + ")") if special else None
+        self.special = re.compile("(" + "|".join(re.escape(text) for text in sorted(special, key=len, reverse=True)) + ")")
+        self.mark = os.path.commonprefix([*special]) if special else "\0no special string\0"  # what they all begin with
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special_ids = {text: t["id"].to_bytes(self.width, "little") for text, t in special.items()}
         self.words, self.cache = PieceCache(self.encode_words, 400_000), PieceCache(self.encode_pieces, 400_000)
@@ -83,7 +83,9 @@ class WordTokenizer:
             yield b"".join([pack(token.id) for token in self.tokenize(word)])
 
     def encode_pieces(self, new: list[str]) -> Iterator[bytes]:
-        parts = [self.special.split(piece) if self.special else [piece] for piece in new]
+        if not any(self.mark in piece for piece in new):
+            return self.encode_plain(new)
+        parts = [self.special.split(piece) for piece in new]
         plain = list({part for split in parts for part in split[::2]})
         ids = dict(zip(plain, self.encode_plain(plain), strict=True))
         # Every second part is a special string.
@@ -126,18 +128,13 @@ def unframe(data: bytes, offsets: np.ndarray) -> list[bytes]:
     return payloads
 
 
-def _shards(docs: DataFrame, text_col: str) -> int:
-    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SHARD_BYTES))
-
-
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = END_ID, shards: int | None = None) -> list[dict]:
     """Writes the files and returns the manifest: for each shard its number, records and ids.
 
     The manifest has a row for each file, so that the driver can hold it.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    shards = shards or _shards(docs, text_col)
+    shards = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task = _tokenizer(path), TaskContext.get()
