@@ -293,7 +293,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def knn_ivf_recall(spark: SparkSession, sf_dir: str, share: float = 0.75) -> DataFrame:
+def knn_ivf_recall(spark: SparkSession, sf_dir: str, share: float = 0.5) -> DataFrame:
     """Search in a share of the cells, which number the root of the vectors: per query how many of its true ten are found."""
     queries, vectors = _vectors(spark, sf_dir)
     cells = max(2, int(vectors.count() ** 0.5))
