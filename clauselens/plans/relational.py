@@ -1,4 +1,4 @@
-"""Relational operators over the mapped schema: company = nation, product = supplier, coverage = (supplier, part),
+"""SQL of relational operators over the mapped schema (`framed` has most of them in DataFrame code): company = nation, product = supplier, coverage = (supplier, part),
 benefit = line of an order, plan = order, document and clause = documents and their lines."""
 
 from clauselens.registry import sql_query
