@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselens.llm import bpe, language_id, license_scan, mixing, quality, sharding, simhash, tiff_media, token_counts, token_files
+from clauselens.llm import bpe, language_id, license_scan, merkle, mixing, quality, sharding, simhash, tiff_media, token_counts, token_files
 
 
 def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,7 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mixing.op8_mixing,
         quality.op9_quality_rules,
         sharding.op10_sharding,
+        merkle.op11_merkle_manifest,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
