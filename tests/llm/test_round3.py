@@ -3,11 +3,12 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from clauselens.llm import merkle
+from clauselens.llm import line_dedup, merkle
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tree string, pos int, rows int, `a.b` int"
 TEXTS = ["one\ntwo\nthree", None, "", "\n", "  A line \n a LINE\t\nother", "漢字 é\nÉ ü\n\n x", "x" * 3000 + "\n" + "y z " * 500, "same text", "same text", " lead  and   trail ", "tab\tand\r\nreturn\n "]
@@ -82,3 +83,41 @@ def test_merkle_of_one_source(spark, n):
     data = [(i, f"t{i}", "en", "s", 1) for i in range(n)]
     found = merkle.op11_merkle_manifest(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long"))
     assert sorted(map(tuple, found.collect()), key=repr) == manifest_by_hand(data, 3)
+
+
+def lines_by_hand(texts, least_docs, least_chars=1):
+    """For each text the lines that stay and the number of all lines."""
+    split = [(t or "").split("\n") for t in texts]
+    upper = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    keyed = [[line.strip(" \t\n\v\f\r").translate(upper) for line in lines] for lines in split]
+    held = Counter(k for keys in keyed for k in set(keys) if len(k) >= least_chars)
+    return [("\n".join(x for x, k in zip(lines, keys, strict=True) if held[k] < least_docs), len(lines)) for lines, keys in zip(split, keyed, strict=True)]
+
+
+@pytest.mark.parametrize(("least_docs", "least_chars", "batches"), [(10, 1, 4), (2, 1, 3), (2, 3, 1), (1, 1, 5)])
+def test_line_dedup(docs, data, least_docs, least_chars, batches):
+    found = sorted((r.doc_id, r.text, r.n_lines, r.n_lines - r.n_dropped) for r in line_dedup.dedup_lines(docs.na.fill({"doc_id": -1}), least_docs, least_chars, batches).collect())
+    kept = lines_by_hand([r[1] for r in data], least_docs, least_chars)
+    wanted = [(r[0] if r[0] is not None else -1, text, n) for r, (text, n) in zip(data, kept, strict=True)]
+    assert [f[:3] for f in found] == sorted(wanted)
+    assert sum(f[2] - f[3] for f in found) > 0
+
+
+def test_line_dedup_digests(docs, data):
+    found = Counter(map(tuple, line_dedup.op13_line_dedup(docs).collect()))
+    kept = lines_by_hand([r[1] for r in data], 10)
+    assert Counter((d, n, k) for d, n, _, k in found.elements()) == Counter((r[0], n, digest(text)) for r, (text, n) in zip(data, kept, strict=True))
+    assert sum(n_dropped for _, _, n_dropped, _ in found.elements()) > 20
+
+
+def test_line_runs(spark):
+    """Levels fill like the digits of the number of batches; counts add up, and settled keys are not counted again."""
+    rng, runs, true = random.Random(1), line_dedup.LineRuns(spark, 10), Counter()
+    for n in range(1, 6):
+        batch = {f"{rng.randrange(30):02d}".encode(): rng.randrange(1, 12) for _ in range(20)}
+        true.update(batch)
+        runs.add(spark.createDataFrame(list(batch.items()), "key binary, n long"))
+        assert [len(level) for level in runs.levels] == [int(d) for d in reversed(f"{n:b}")]
+    plan = spark.table(runs.levels[0][0]).join(spark.table(runs.levels[2][0]).hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert {bytes(r.key) for r in runs.frequent().collect()} == {k for k, n in true.items() if n >= 10}
