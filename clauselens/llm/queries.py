@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselens.llm import bpe, language_id, license_scan, line_dedup, merkle, mixing, quality, sharding, simhash, tiff_media, token_counts, token_files
+from clauselens.llm import alignment, bpe, language_id, license_scan, line_dedup, merkle, mixing, quality, sharding, simhash, tiff_media, token_counts, token_files
 
 
 def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality.op9_quality_rules,
         sharding.op10_sharding,
         merkle.op11_merkle_manifest,
+        alignment.op12_cross_tokenizer,
         line_dedup.op13_line_dedup,
     )
 }

@@ -5,10 +5,13 @@ import random
 import zlib
 from collections import Counter
 
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from clauselens.llm import line_dedup, merkle
+from clauselens.llm import alignment, line_dedup, merkle
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tree string, pos int, rows int, `a.b` int"
 TEXTS = ["one\ntwo\nthree", None, "", "\n", "  A line \n a LINE\t\nother", "漢字 é\nÉ ü\n\n x", "x" * 3000 + "\n" + "y z " * 500, "same text", "same text", " lead  and   trail ", "tab\tand\r\nreturn\n "]
@@ -121,3 +124,71 @@ def test_line_runs(spark):
     plan = spark.table(runs.levels[0][0]).join(spark.table(runs.levels[2][0]).hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
     assert {bytes(r.key) for r in runs.frequent().collect()} == {k for k, n in true.items() if n >= 10}
+
+
+def alignment_by_hand(texts):
+    """What the contract says, from whole texts encoded by the libraries."""
+    a_coder, b_coder = Tokenizer.from_file(public_tokenizers.path(alignment.A_FILE)), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(alignment.B_FILE))
+    a_coder.encode_special_tokens = True
+    names = {i: t for t, i in a_coder.get_vocab().items()}
+    chars = alignment.byte_level()
+    docs = []
+    for text in texts:
+        a, b = (a_coder.encode(" " + text, add_special_tokens=False).ids, b_coder.encode(text)) if text else ([], [])
+        a_bytes = [bytes(chars[c] for c in names[i]) for i in a]
+        b_bytes = [bytes([int(b_coder.id_to_piece(i)[3:5], 16)]) if b_coder.is_byte(i) else b_coder.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if not text or not b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
+            docs.append((0, 0, []))
+            continue
+        groups, i, j = [], 0, 0
+        while i < len(a):
+            held, size_a, size_b = ([a[i]], [b[j]]), len(a_bytes[i]), len(b_bytes[j])
+            while size_a != size_b:
+                if size_a < size_b:
+                    i += 1
+                    held[0].append(a[i])
+                    size_a += len(a_bytes[i])
+                else:
+                    j += 1
+                    held[1].append(b[j])
+                    size_b += len(b_bytes[j])
+            groups.append(held)
+            i, j = i + 1, j + 1
+        docs.append((len(a), len(b), groups))
+    links = [[(x, y) for ga, gb in groups for x in ga for y in gb] for _, _, groups in docs]
+    n = Counter(pair for found in links for pair in set(found))
+    best = Counter()
+    for (x, _), count in n.items():
+        best[x] = max(best[x], count)
+    text_of = [";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups) for _, _, groups in docs]
+    return [(d[0], d[1], len(d[2]), len(found), sum(n[p] == best[p[0]] for p in found), sum(n[p] for p in found), digest(t) if t else "") for d, found, t in zip(docs, links, text_of, strict=True)], n
+
+
+ODD = [
+    "<|endoftext|> and <s> </s> <unk> <0x41>", "a▁b", "▁", "x\n ", "x\n\n  y ", " x", "  x", "\n", "　漢字 かな", "naïve café 🙂🙂 ok", "tokenization of untokenizable tokens", "\x1c \x1c a\x1cb", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa " * 3,
+    "can't won't I'll  they've", "1234567 89 0.5", "\t\tif (x) {\r\n\t\t\treturn;\r\n", "a \n b", "é ​ zero", "x" * 5000, "the and the and", "İstanbul ğüş ", " ", "   ", "a  ", "﻿bom", "\x00 nul",
+]
+
+
+@pytest.mark.parametrize("head", [alignment.HEAD, 5, 0])
+def test_alignment(spark, docs, data, head):
+    rng = random.Random(5)
+    fuzz = ["".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "é", "tion", "漢", ".", "　", "1", "'s"]) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate([*ODD, *fuzz, *(r[1] for r in data), "again", "again"])]
+    wanted, n = alignment_by_hand([t for _, t in rows])
+    found, pairs = alignment.align(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), head=head)
+    assert [tuple(r)[1:] for r in sorted(found.collect())] == wanted
+    held = {(r.a, r.b): r for r in pairs.collect()}
+    assert {k: r.n for k, r in held.items()} == n
+    assert all(r.is_best == (r.n == max(x.n for x in held.values() if x.a == r.a)) for r in list(held.values())[:100])
+
+
+def test_alignment_of_repeated_rows(docs, data):
+    wanted, _ = alignment_by_hand([r[1] for r in data])
+    assert Counter(map(tuple, alignment.op12_cross_tokenizer(docs).collect())) == Counter((r[0], *w) for r, w in zip(data, wanted, strict=True))
+
+
+def test_twins_have_the_same_bytes():
+    v = alignment.Vocabularies(public_tokenizers.path(alignment.A_FILE), public_tokenizers.path(alignment.B_FILE))
+    assert all(v.b_bytes[b] == a for a, b in zip(v.a_bytes, v.same, strict=True) if b >= 0) and (v.same >= 0).sum() > 10_000
+    assert v.b.id_to_piece(int(v.same[v.a.token_to_id("A")])) == "A"
