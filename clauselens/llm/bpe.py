@@ -8,16 +8,19 @@ bytes together by an aggregate ordered by position.
 Words are encoded once for each worker: a bounded cache holds the ids of the pieces already met.
 
 Nulls and empty texts have no ids and decode to no bytes. Texts of any length are encoded whole: they are read in
-blocks of bounded size. The rows of all steps of a recursion are held until it ends, so words of more than LONG_WORD bytes
-go through recursions of their own, of LONG_STEPS steps each, one after the other until the fixpoint. There a step
-contracts a pair at all places that would come next anyway. Repeated rows give repeated results, and an empty table none.
-Other columns, whatever their names, are not read.
+blocks of bounded size. Words of more than LONG_WORD bytes are first cut wherever no token of the vocabulary that stands
+in the word goes over the cut, as nothing is contracted there. The rows of all steps of a recursion are held until it
+ends, so parts that are still longer go through recursions of their own, of LONG_STEPS steps each, one after the other
+until the fixpoint. There a step contracts every pair that has the smallest rank within the reach of a token (see
+`_LONG`), so that the number of steps does not grow with the word. Repeated rows give repeated results, and an empty table
+none. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -48,21 +51,29 @@ _STEPS = """
         WHERE before IS DISTINCT FROM word << 16 | (pick & 4294967295)))
     SELECT step, place, token FROM steps
 """
+# A pair is contracted if no pair within `reach` bytes, the longest token that stands in the word, has a smaller rank, and
+# none on its left has the same. Before its turn, another contraction could only take one of its tokens from it by making
+# a token of at most `reach` bytes over one of them; the first contraction within that token is of a pair that stands
+# there now, so its rank is not smaller, and the pair's turn is earlier. Pairs of the same rank are contracted together
+# if no pair with the merged token has a smaller rank than it, as nothing comes between them; of those that share
+# tokens every second from the left, unless it is still open what becomes of an equal pair that shares the first token.
 _LONG = f"""
     WITH RECURSIVE steps AS (
         SELECT 0 AS step, word, pos, token FROM work
         UNION ALL (
         WITH here AS (
-            SELECT *, row_number() OVER w AS i, lead(token) OVER w AS following, lag(token) OVER w AS earlier
+            SELECT *, row_number() OVER w AS i, lead(token) OVER w AS following
             FROM steps WHERE step < {LONG_STEPS} WINDOW w AS (PARTITION BY word ORDER BY pos)),
-        paired AS (
+        beside AS (
             SELECT here.*, merged, safe, min(merged) OVER (PARTITION BY word) AS best,
-                   i - max(CASE WHEN earlier IS DISTINCT FROM token THEN i END) OVER (PARTITION BY word ORDER BY pos) AS in_run
+                   min(merged) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN @REACH PRECEDING AND 1 PRECEDING) AS least_before,
+                   coalesce(merged = min(merged) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN @REACH PRECEDING AND @REACH FOLLOWING), false) AS least
             FROM here LEFT JOIN merges ON token = left_token AND following = right_token),
+        runs AS (
+            SELECT *, coalesce(max(CASE WHEN NOT least THEN 2 * i + (merged IS NOT DISTINCT FROM next_merged)::INTEGER END) OVER (PARTITION BY word ORDER BY pos), 0) AS before_run
+            FROM (SELECT *, lead(merged) OVER (PARTITION BY word ORDER BY pos) AS next_merged FROM beside WHERE best IS NOT NULL)),
         picked AS (
-            SELECT *, coalesce(merged = best AND (pos = min(CASE WHEN merged = best THEN pos END) OVER (PARTITION BY word)
-                                                  OR safe AND (token <> following OR in_run % 2 = 0)), false) AS pick
-            FROM paired WHERE best IS NOT NULL)
+            SELECT *, least AND (least_before IS NULL OR merged < least_before OR safe AND before_run % 2 = 0 AND (i - before_run // 2) % 2 = 1) AS pick FROM runs)
         SELECT step + 1 AS step, word, pos, CASE WHEN pick THEN merged ELSE token END AS token FROM picked
         QUALIFY NOT coalesce(lag(pick) OVER (PARTITION BY word ORDER BY pos), false)))
     SELECT word, pos, token, step FROM steps QUALIFY step = max(step) OVER (PARTITION BY word)
@@ -90,9 +101,32 @@ class WordCoder:
             self.db.execute(f"CREATE TABLE {name} AS FROM given")
             self.db.unregister("given")
         self.cache = PieceCache(self.encode_pieces, 150_000)
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """For each word its ids as little-endian unsigned 32-bit integers."""
+        self.tokens, self.finder = ranks, None
+
+    def parts(self, word: bytes) -> tuple[list[bytes], int]:
+        """The word cut wherever no token in it goes over the cut, and the bytes of the longest token in it."""
+        if self.finder is None:
+            self.finder = ahocorasick.Automaton()
+            for token in self.tokens:
+                if len(token) > 1:
+                    self.finder.add_word(token.decode("latin-1"), len(token))
+            self.finder.make_automaton()
+        starts, longest = list(range(len(word))), 1  # the first byte of a token that ends at each byte
+        for end, size in self.finder.iter(word.decode("latin-1")):
+            longest = max(longest, size)
+            starts[end] = min(starts[end], end - size + 1)
+        first = np.minimum.accumulate(np.array(starts)[::-1])[::-1]
+        cuts = [*np.flatnonzero(first == np.arange(len(word))).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])], longest
+
+    def encode_long(self, word: bytes) -> bytes:
+        parts, reach = self.parts(word)
+        short = list({p for p in parts if len(p) <= LONG_WORD})
+        ids = dict(zip(short, self.encode_words(short), strict=True))
+        return b"".join([ids[p] if p in ids else self.encode_words([p], reach)[0] for p in parts])
+
+    def encode_words(self, words: list[bytes], reach: int = 0) -> list[bytes]:
+        """For each word its ids as little-endian unsigned 32-bit integers; `reach` is the longest token in a long word."""
         if not words:
             return []
         sizes = np.array([len(w) for w in words])
@@ -100,9 +134,9 @@ class WordCoder:
         starts = np.cumsum(sizes) - sizes
         word = np.repeat(np.arange(len(words)), sizes)
         pos = np.arange(len(text)) - np.repeat(starts, sizes)
-        if sizes.max() > LONG_WORD:
+        if reach:
             self.db.register("symbols", pa.table({"word": word, "pos": pos, "token": self.byte_rank[text]}))
-            found = self.fixpoint().fetchnumpy()
+            found = self.fixpoint(reach).fetchnumpy()
             word, token = found["word"], found["token"]
         else:
             self.db.register("symbols", pa.table({"place": word << 16 | pos, "token": self.byte_rank[text]}))
@@ -122,16 +156,12 @@ class WordCoder:
         kept = kept[np.argsort(steps["place"][kept], kind="stable")]
         return word[kept], steps["token"][kept]
 
-    def fixpoint(self) -> duckdb.DuckDBPyConnection:
-        """The same contraction in recursions of LONG_STEPS steps; words that end within one leave the work table.
-
-        A pair is contracted at all its places at once if no pair with the merged token has a smaller rank than it:
-        the other places would come next, from left to right, with nothing between.
-        """
+    def fixpoint(self, reach: int) -> duckdb.DuckDBPyConnection:
+        """The same contraction in recursions of LONG_STEPS steps; words that end within one leave the work table."""
         self.db.execute("CREATE OR REPLACE TEMP TABLE work AS FROM symbols")
         self.db.execute("CREATE OR REPLACE TEMP TABLE done AS FROM work LIMIT 0")
         while self.db.execute("SELECT count(*) FROM work").fetchone()[0]:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE next AS {_LONG}")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE next AS {_LONG.replace('@REACH', str(reach))}")
             self.db.execute(f"INSERT INTO done SELECT word, pos, token FROM next WHERE step < {LONG_STEPS}")
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE work AS SELECT word, pos, token FROM next WHERE step = {LONG_STEPS}")
         return self.db.execute("SELECT word, token FROM done ORDER BY word, pos")
@@ -140,8 +170,9 @@ class WordCoder:
         split = [pretokens(piece) for piece in new]
         ids = {w: self.cache.get(w) for ws in split for w in ws}
         words = [(w, w.encode()) for w, known in ids.items() if known is None]
-        for group in ([w for w in words if len(w[1]) <= LONG_WORD], *([w] for w in words if len(w[1]) > LONG_WORD)):
-            ids.update(zip((w for w, _ in group), self.encode_words([w for _, w in group]), strict=True))
+        short = [w for w in words if len(w[1]) <= LONG_WORD]
+        ids.update(zip((w for w, _ in short), self.encode_words([w for _, w in short]), strict=True))
+        ids.update((w, self.encode_long(raw)) for w, raw in words if len(raw) > LONG_WORD)
         return (b"".join([ids[w] for w in ws]) for ws in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:

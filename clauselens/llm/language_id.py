@@ -169,7 +169,8 @@ def keep_identified(docs: DataFrame, model: Broadcast, least_score: float = 0.5,
             langs, scores, rates = model.value.predict(block.column("text").to_pylist())
             yield block.filter(pa.array([lang != "und" and s >= least_score and r <= most_bits for lang, s, r in zip(langs, scores, rates, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*("text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)))  # mapInArrow takes a dot for a field
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op7_language_id(docs: DataFrame) -> DataFrame:

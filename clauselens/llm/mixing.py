@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselens.llm.shared import written
+from clauselens.llm.shared import quoted, written
 
 LEVELS = ("domain", "lang", "source")
 SEED, EPOCHS, RANGE_ROWS, HASH_BITS = 11, 3, 1000, 60
@@ -167,14 +167,14 @@ def mix(docs: DataFrame, fraction: tuple[int, int] = (1, 2), weights: Weights |
     h, last, cut_id = F.col(f"_h_{tag}"), F.col(names["cut_hash"]), F.col(names["cut_id"])
     taken = (h < last) | ((h == last) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) <= cut_id))
     mixed_in = F.struct(*(F.col(names[c]).alias(c) for c in LEVELS), F.col(f"_n_{tag}").alias("tokens"), (F.col(names["whole"]) + taken.cast("long")).alias("copies"))
-    return placed.select(*(docs[c] for c in docs.columns), mixed_in.alias(into))
+    return placed.select(*map(quoted, docs.columns), mixed_in.alias(into))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, as often as they are taken."""
     into = f"_mix_{uuid.uuid4().hex}"
     copies = mix(docs, into=into, **options).filter(F.col(f"{into}.copies") > 0)
-    return copies.withColumn(f"{into}_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{into}.copies")))).select(*docs.columns)
+    return copies.withColumn(f"{into}_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{into}.copies")))).select(*map(quoted, docs.columns))
 
 
 #: The production mix: half the tokens, English held to twice the weight of the other languages, the first domain ahead.

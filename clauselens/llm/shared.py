@@ -78,6 +78,11 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text, null for a null one."""
     return F.unhex(F.md5(text))

@@ -1,17 +1,24 @@
 """The Merkle manifest, cross-tokenizer alignment and line dedup against brute force, with odd tables."""
 
+import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
+import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from clauselens.llm import alignment, line_dedup, merkle
+from clauselens.llm import alignment, bpe, line_dedup, merkle
+from clauselens.llm.pretokens import load_ranks, pieces, pretokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tree string, pos int, rows int, `a.b` int"
 TEXTS = ["one\ntwo\nthree", None, "", "\n", "  A line \n a LINE\t\nother", "漢字 é\nÉ ü\n\n x", "x" * 3000 + "\n" + "y z " * 500, "same text", "same text", " lead  and   trail ", "tab\tand\r\nreturn\n "]
@@ -192,3 +199,42 @@ def test_twins_have_the_same_bytes():
     v = alignment.Vocabularies(public_tokenizers.path(alignment.A_FILE), public_tokenizers.path(alignment.B_FILE))
     assert all(v.b_bytes[b] == a for a, b in zip(v.a_bytes, v.same, strict=True) if b >= 0) and (v.same >= 0).sum() > 10_000
     assert v.b.id_to_piece(int(v.same[v.a.token_to_id("A")])) == "A"
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_odd_columns(spark, stage):
+    words = ["river", "stone", "under", "bright", "window", "letter", "carry", "people", "often", "small", "garden", "winter", "quiet", "along", "summer"]
+    rng = random.Random(stage)
+    rows = [(i, " ".join(rng.sample(words, 12)), "en", f"src{i % 3}", 80, i, "x", [i], None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d` string, `mix. x` array<int>, `text.lower` string")
+    name, run = corpus_pipeline.STAGES[stage]
+    kept = run(spark, docs, "")
+    assert kept.columns == docs.columns, name
+    assert all(r["a.b"] == r.doc_id and r["mix. x"] == [r.doc_id] for r in kept.collect())
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "aab", "theraing", "0123456789", "=-", "éaß漢", "abcdefghijklmnopqrstuvwxyz"])
+def test_bpe_of_long_words(alphabet):
+    """Words of up to 20,000 characters, encoded like the library does, in about linear time."""
+    ranks = load_ranks(public_tokenizers.path(bpe.RANKS))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, rng = bpe.WordCoder(public_tokenizers.path(bpe.RANKS)), random.Random(7)
+    for n in (257, 600, 3000, 20_000):
+        word = "".join(rng.choice(alphabet) for _ in range(n))
+        began = time.time()
+        assert np.frombuffer(coder.encode([word])[0], "<u4").tolist() == encoding.encode_ordinary(word)
+        assert time.time() - began < 20
+
+
+def test_bpe_of_a_megabyte_without_spaces():
+    ranks = load_ranks(public_tokenizers.path(bpe.RANKS))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = base64.b64encode(random.Random(9).randbytes(750_000)).decode()
+    began = time.time()
+    assert np.frombuffer(bpe.WordCoder(public_tokenizers.path(bpe.RANKS)).encode([text])[0], "<u4").tolist() == encoding.encode_ordinary(text)
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("text", ["x\n ", "a \n ", "  \n", "x ", "x　 ", "\t ", " \n "])
+def test_pieces_at_the_end(text):
+    assert [w for p in pieces(text) for w in pretokens(p)] == regex.findall(public_tokenizers.PATTERN, text)
