@@ -31,7 +31,6 @@ _BY_LENGTH = sorted(_CANONICAL, key=lambda a: (-len(a), a))
 ALIAS = "CASE " + " ".join(f"WHEN INSTR(said, '{a}') > 0 THEN '{a}'" for a in _BY_LENGTH) + " END"
 COMPANY = "CASE " + " ".join(f"WHEN INSTR(said, '{a}') > 0 THEN '{_CANONICAL[a]}'" for a in _BY_LENGTH) + " END"
 _SHOW = "CASE company " + " ".join(f"WHEN '{c}' THEN '{code}'" for c, code in CODES.items()) + " END"
-both("alias_resolve", f"SELECT {KEY}, alias, company, {_SHOW} AS company_code FROM (SELECT {KEY}, {ALIAS} AS alias, {COMPANY} AS company FROM {QUESTIONS} q) t")
 both("ent_product", f"SELECT q.{KEY}, s.s_suppkey, s.s_name FROM (SELECT {KEY}, {grab('said', '(Supplier#[0-9]+)')} AS product FROM {QUESTIONS} q0) q JOIN supplier s ON q.product = s.s_name")
 
 # Coverages by their name, or by the name without its ending in the question without spaces.
@@ -43,9 +42,6 @@ _BARE = "REPLACE(REPLACE(REPLACE(c, '금', ''), '비', ''), '담보', '')"
 COVERAGES = "@JOINED(@KEEP(@LIST(" + ", ".join(f"'{w}'" for w in DICTIONARY) + f"), @c INSTR(said, c) > 0 OR INSTR(packed, {_BARE}) > 0), ',')"
 _PACKED = f"(SELECT {KEY}, o_custkey, said, REPLACE(said, ' ', '') AS packed FROM {QUESTIONS} q)"
 _DISEASES = "CONCAT_WS(',', " + ", ".join(f"CASE WHEN {has('said', name, code)} THEN '{name}' END" for name, code in DISEASES.items()) + ")"
-both("ent_coverage", f"SELECT {KEY}, coverages FROM (SELECT {KEY}, {COVERAGES} AS coverages FROM {_PACKED} p) t")
-both("ent_disease", f"SELECT {KEY}, diseases FROM (SELECT {KEY}, {_DISEASES} AS diseases FROM {QUESTIONS} q) t")
-both("ent_keywords", f"SELECT {KEY}, {found('said', KEYWORDS)} AS keywords FROM {QUESTIONS} q")
 
 GENDER = f"CASE WHEN {has('said', '남')} THEN 'male' WHEN {has('said', '여')} THEN 'female' END"
 _NUMBERS = "@KEEP(@MAP(@FIND(said, '([0-9][0-9]?)(?:세|살)', 1), @c CAST(c AS INT)), @c c BETWEEN 1 AND 120)"
@@ -57,16 +53,11 @@ _OVER, _UNDER = f"({has('said', '이상')} AND {has('said', '가입')})", f"({ha
 _RANGE = f"({has('said', '~', '-')})"
 _EXACT = f"(NOT {_RANGE} AND {has('said', '세', '살', '가입')})"
 _AGES = f"(SELECT {KEY}, said, CASE WHEN {_OVER} THEN {_LEAST} WHEN {_UNDER} THEN NULL WHEN {_RANGE} THEN CASE WHEN @SIZE(ages) >= 2 THEN {_LEAST} END WHEN {_EXACT} THEN @AT(ages, 1) END AS min_age, CASE WHEN {_OVER} THEN NULL WHEN {_UNDER} THEN {_MOST} WHEN {_RANGE} THEN CASE WHEN @SIZE(ages) >= 2 THEN {_MOST} END WHEN {_EXACT} THEN @AT(ages, 1) END AS max_age FROM (SELECT {KEY}, said, CASE WHEN @SIZE(ages) > 0 THEN ages END AS ages FROM {_AGED} g0) g)"
-both("ent_gender_age", f"SELECT {KEY}, {GENDER} AS gender, min_age, max_age FROM {_AGES} a")
 
 _WIDER = ", ".join(f"CASE WHEN INSTR(said, '{w}') > 0 THEN '{','.join(more)}' END" for w, more in WIDER.items())
-both("ent_boost", f"SELECT {KEY}, @JOINED(@SORT(@DISTINCT(@SPLIT(words, ','))), ',') AS boost FROM (SELECT {KEY}, CONCAT_WS(',', {_WIDER}, NULLIF({COVERAGES}, ''), NULLIF({found('said', KEYWORDS)}, '')) AS words FROM {_PACKED} p) t")
 
 _ENTITIES = f"(SELECT {KEY}, o_custkey, said, packed, {COMPANY} AS company, {GENDER} AS gender, {parsed('said')} AS amount, {COVERAGES} AS coverages, {_DISEASES} AS diseases, {found('said', KEYWORDS)} AS keywords FROM {_PACKED} p)"
 # What a caller gives wins over what the question says.
-both("ent_filters", f"SELECT {KEY}, COALESCE(CASE WHEN o_custkey % 4 = 0 THEN '삼성' END, company) AS company, CASE WHEN o_custkey % 3 = 0 THEN 'male' ELSE gender END AS gender, CASE WHEN {has('said', '이하', '미만')} THEN NULL ELSE amount END AS min_amount, CASE WHEN {has('said', '이상')} THEN NULL ELSE amount END AS max_amount FROM {_ENTITIES} e")
-both("ent_explain", f"SELECT {KEY}, CONCAT_WS(chr(10), '회사: ' || company, '담보: ' || NULLIF(coverages, ''), '질병: ' || NULLIF(diseases, ''), '키워드: ' || NULLIF(keywords, ''), '금액: ' || CAST(amount AS VARCHAR(20)) || '원', '성별: ' || gender) AS explained FROM {_ENTITIES} e")
-both("ent_intent", f"SELECT {KEY}, coverages <> '' AS about_coverage, {like('said', '[0-9]+(?:만원|억|천만)', '금액', '얼마')} AS about_amount, {has('said', '비교', '차이')} AS compares, {has('said', '모든', '전체')} AS wants_all FROM {_ENTITIES} e")
 _BASE = "REPLACE(REPLACE(coverage, '담보', ''), '암', '')"
 _TERM = "COALESCE(" + ", ".join(f"CASE WHEN INSTR(said, '{w}') > 0 THEN '{w}' END" for w in NARROW) + ")"
 both("display_title", f"SELECT {KEY}, CASE WHEN term IS NULL THEN coverage ELSE term || ' ' || {_BASE} || '비' END AS title FROM (SELECT {KEY}, {pick('o_orderkey', WIDE)} AS coverage, {_TERM} AS term FROM {QUESTIONS} q) t")

@@ -17,7 +17,6 @@ for _name, _sql in LINES.items():
 # One text for both engines.
 SAME = {
     "filter_regex": "SELECT o_orderkey FROM orders WHERE REGEXP_EXTRACT(o_orderpriority, '^([12]-)', 1) <> ''",
-    "ent_company": "SELECT c_custkey, company FROM (SELECT q.c_custkey, d.n_name AS company, ROW_NUMBER() OVER (PARTITION BY q.c_custkey ORDER BY LENGTH(d.n_name) DESC, d.n_name) AS place FROM (SELECT c.c_custkey, CONCAT('orders of ', c.c_name, ' in ', n.n_name) AS said FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey) q JOIN (SELECT n_name FROM nation) d ON q.said LIKE CONCAT('%', d.n_name, '%')) t WHERE place = 1",
     "resume_todo": "SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL",
     "build_groups": "SELECT n_name, category, COUNT(*) AS parts FROM (SELECT DISTINCT n.n_name, SUBSTRING(p.p_type, 1, 5) AS category, p.p_partkey FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey) t GROUP BY n_name, category",
 }
