@@ -1,26 +1,28 @@
 """Vector search over any table of vectors: exact, filtered, by threshold, by cells, and hybrid search with fallback tiers.
 
-Queries are a table of their own (query_id, vector); they meet all vectors. Spark broadcasts the queries only while they
-are below its broadcast threshold and deals both sides out in blocks beyond it. The first k of a query are cut down in
-each task before rows are shuffled. Scores are rounded before they rank, ties go to the smaller id, and null vectors drop
-out.
+Queries are a table of their own (query_id, q). Exact search reads the vectors once for each PASS_BYTES of queries, which
+are broadcast; a task multiplies matrices and keeps the first k of each query, so that no pair of query and vector is ever a
+row and only k rows of each query and task are shuffled. Exact search compares all with all: it is for up to some 10^9
+pairs for each core; beyond that use `vector_index`. Scores are rounded before they rank, ties go to the smaller id, and
+vectors that are null, or of length zero under cosine, drop out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauselens.operators.rounds import written
 from clauselens.operators.tables import top_k
 
-PLACES = 6
+PLACES, PASS_BYTES, MATRIX = 6, 64 << 20, 4 << 20
 
 
 def _sum(values: Column) -> Column:
@@ -42,16 +44,72 @@ def score(a: Column, b: Column, metric: str = "cosine") -> Column:
     return F.round(dot(a, b), PLACES) if metric == "ip" else -F.round(F.sqrt(squared_distance(a, b)), PLACES)
 
 
-def scored(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Every query (query_id, q and any other columns) against every vector but its own."""
-    left = queries.filter(F.col("q").isNotNull())
-    right = vectors.filter(F.col(vector_col).isNotNull())
-    return left.join(right, F.col("query_id") != F.col(id_col)).withColumn("score", score(F.col("q"), F.col(vector_col), metric)).drop("q", vector_col)
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return np.asarray(column.flatten(), "f8").reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def likeness(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """`score` of each row of q with each row of v."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "cosine":
+            out = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+        elif metric == "ip":
+            out = q @ v.T
+        else:
+            out = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1) - 2 * (q @ v.T), 0))
+    return np.where(np.isnan(out), -np.inf, out.round(PLACES))
+
+
+def first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of each row with their ids, in order, ties to the smaller id; ids are given for each cell."""
+    if scores.shape[1] > 4 * k:
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        width = max(k, int((scores >= least).sum(1).max()))  # all that tie with the last one stay
+        some = np.argpartition(-scores, width - 1, axis=1)[:, :width] if width < scores.shape[1] else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+        scores, ids = np.take_along_axis(scores, some, 1), np.take_along_axis(ids, some, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _nearest(vectors: DataFrame, given: Broadcast, k: int, metric: str, least: float | None, query_type: str, id_type: str) -> DataFrame:
+    """The k nearest of each of the given queries among the vectors of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = given.value.column("query_id").to_numpy(zero_copy_only=False)
+        q = matrix(given.value.column("q"))
+        best, held = np.full((len(q), k), -np.inf), np.zeros((len(q), k), "i8")
+        for batch in batches:
+            ids, v = batch.column("id").to_numpy(zero_copy_only=False), matrix(batch.column("v"))
+            step = max(1, MATRIX // max(1, len(ids)))
+            for at in range(0, len(q) if len(ids) else 0, step):
+                part = slice(at, at + step)
+                scores = likeness(q[part], v, metric)
+                scores[asked[part, None] == ids] = -np.inf  # none is its own neighbour
+                best[part], held[part] = first_k(np.hstack([best[part], scores]), np.hstack([held[part], np.broadcast_to(ids, scores.shape)]), k)
+        row, place = np.nonzero(best > (-np.inf if least is None else least - 10.0 ** -(PLACES + 2)))
+        yield pa.record_batch([pa.array(asked[row]), pa.array(held[row, place]), pa.array(best[row, place])], ["query_id", "id", "score"])
+
+    return vectors.mapInArrow(run, f"query_id {query_type}, id {id_type}, score double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", least: float | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """query_id, id and score: the k nearest vectors of each query in each task, those of all tasks among them; ids are long."""
+    asked = queries.filter(F.col("q").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "q")
+    given = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    size = asked.agg(F.sum(8 + 8 * F.size("q")).alias("n")).first().n or 0
+    n = max(1, -(-size // pass_bytes))
+    passes = []
+    for i in range(n):
+        table = (asked if n == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).toArrow().combine_chunks()  # some `pass_bytes`
+        batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+        passes.append(_nearest(given, queries.sparkSession.sparkContext.broadcast(batch), k, metric, least, "long", "long"))
+    return reduce(DataFrame.unionByName, passes).withColumnRenamed("id", id_col)
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest vectors of each query, with their place from 1."""
-    return top_k(scored(queries, vectors, metric, id_col, vector_col), ["query_id"], [F.desc("score"), F.asc(id_col)], k, "place")
+    return top_k(nearest(queries, vectors, k, metric, id_col, vector_col), ["query_id"], [F.desc("score"), F.asc(id_col)], k, "place")
 
 
 def matching(vectors: DataFrame, filters: dict[str, object] | None = None, tables: dict[str, tuple[DataFrame, str, str]] | None = None, id_col: str = "vec_id") -> DataFrame:
@@ -87,29 +145,46 @@ def search_similar(vectors: DataFrame, vector: list[float], match_count: int = 1
 
 def search_all_similar(queries: DataFrame, vectors: DataFrame, match_count: int = 10, threshold: float = 0.7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """`search_similar` for a table of queries."""
-    near = scored(queries, vectors, "cosine", id_col, vector_col).filter(F.col("score") >= threshold)
+    near = nearest(queries, vectors, match_count, "cosine", id_col, vector_col, threshold)
     return top_k(near, ["query_id"], [F.desc("score"), F.asc(id_col)], match_count, "place")
 
 
-def boosted(score_: Column, text: Column, keywords: Column, each: float = 0.15, most: float = 0.5) -> Column:
-    """A score with `each` more for every keyword that a text has, `most` at most."""
-    hits = F.size(F.filter(keywords, lambda k: F.contains(text, k)))
-    return F.round(score_ + F.least(hits * F.lit(each), F.lit(most)), PLACES)
+def boosted(score_: Column, text: Column, keywords: Column, each: float = 0.15, most: float = 0.5, amounts: Column | None = None, amount_words: list[str] | None = None) -> Column:
+    """A score with `each` more for every keyword that a text has, `most` at most.
+
+    Where `amounts` holds, the question asks for an amount: a text with one of `amount_words` gets 0.15 more if it has a
+    keyword, and 0.05 in all if it has none.
+    """
+    hits = F.size(F.filter(keywords, lambda k: F.contains(text, k) | F.contains(F.lower(text), k)))
+    more = F.least(hits * F.lit(each), F.lit(most))
+    if amounts is not None and amount_words:
+        has = reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in amount_words))
+        more = F.when(amounts & has, F.when(hits > 0, more + 0.15).otherwise(0.05)).otherwise(more)
+    return F.round(score_ + F.when(F.size(keywords) > 0, more).otherwise(0.0), PLACES)
 
 
-def hybrid(queries: DataFrame, vectors: DataFrame, tiers: list[Column], text_col: str, keywords: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def hybrid(queries: DataFrame, vectors: DataFrame, tiers: list[list[tuple[str, str]]], text_col: str, keywords: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", boost: Callable[[Column, Column, Column], Column] = boosted) -> DataFrame:
     """Filtered search with fallback, over-fetch and keyword boost.
 
-    `tiers` are conditions over a query and a vector from narrow to wide, each wider than the one before. A query takes the
-    first tier in which it finds anything, fetches max(3 k, 30) there by likeness, adds the boost of its `keywords` (an
-    array column) in the text, and keeps the k best. Vectors outside all tiers are not met.
+    `tiers` go from narrow to wide: the columns of queries and of vectors that must be equal, none in a tier of all. A
+    query takes the first tier in which it finds anything: a tier sees only queries that the ones before left without. It
+    fetches max(3 k, 30) there by likeness, adds the boost of its `keywords` (an array column) in the text, and keeps the k
+    best. Texts meet only what is fetched.
     """
-    tier = reduce(lambda rest, t: F.when(t[1], t[0]).otherwise(rest), reversed(list(enumerate(tiers))), F.lit(None))
-    met = scored(queries, vectors, "cosine", id_col, vector_col).withColumn("tier", tier).filter(F.col("tier").isNotNull())
-    per_tier = top_k(met, ["query_id", "tier"], [F.desc("score"), F.asc(id_col)], max(3 * k, 30))
-    chosen = per_tier.groupBy("query_id").agg(F.min("tier").alias("_chosen"))
-    fetched = per_tier.join(chosen, "query_id").filter(F.col("tier") <= F.col("_chosen")).drop("_chosen")
-    return top_k(fetched.withColumn("final", boosted(F.col("score"), F.col(text_col), F.col(keywords))), ["query_id"], [F.desc("final"), F.asc(id_col)], k, "place")
+    fetch, found, pending = max(3 * k, 30), [], queries.filter(F.col("q").isNotNull())
+    for tier, pairs in enumerate(tiers):
+        if pairs:
+            renamed = {own: f"_tier_{i}" for i, (_, own) in enumerate(pairs)}
+            right = vectors.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col, *(F.col(c).alias(name) for c, name in renamed.items()))
+            same = reduce(lambda a, b: a & b, (F.col(asked) == F.col(renamed[own]) for asked, own in pairs))
+            met = pending.join(right, same).filter(F.col("query_id") != F.col(id_col)).select("query_id", id_col, score(F.col("q"), F.col(vector_col)).alias("score"))
+        else:
+            met = nearest(pending, vectors, fetch, "cosine", id_col, vector_col)
+        found.append(written(top_k(met.filter(F.col("score").isNotNull()), ["query_id"], [F.desc("score"), F.asc(id_col)], fetch).withColumn("tier", F.lit(tier))))
+        pending = pending.join(found[-1].select("query_id").distinct(), "query_id", "left_anti")
+    fetched = reduce(DataFrame.unionByName, found).join(queries.select("query_id", keywords), "query_id").join(vectors.select(id_col, text_col), id_col)
+    final = fetched.withColumn("final", boost(F.col("score"), F.col(text_col), F.col(keywords)))
+    return top_k(final, ["query_id"], [F.desc("final"), F.asc(id_col)], k, "place")
 
 
 def embedded(docs: DataFrame, id_col: str, text_col: str, encode: Callable[[pd.Series], list[list[float]]]) -> DataFrame:
@@ -124,22 +199,3 @@ def embedded(docs: DataFrame, id_col: str, text_col: str, encode: Callable[[pd.S
             yield pd.DataFrame({id_col: batch[id_col], "vector": encode(batch["text"])})
 
     return rows.mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, vector array<float>")
-
-
-def by_cells(queries: DataFrame, vectors: DataFrame, k: int = 10, cells: int | None = None, probes: int | None = None, fit_rows: int = 100_000, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest by inner product among the vectors of the `probes` cells nearest to each query.
-
-    There are as many cells as the root of the number of vectors, unless given. The cells are fitted on about `fit_rows`
-    vectors; every vector is put into a cell. `scanned` tells how many vectors a query met.
-    """
-    n = vectors.count()
-    cells = cells or max(2, math.isqrt(n))
-    probes = probes or cells
-    given = vectors.filter(F.col(vector_col).isNotNull()).withColumn("_features", array_to_vector(vector_col))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_features", predictionCol="_cell").fit(given.sample(min(1.0, fit_rows / max(1, n)), seed=seed) if n > fit_rows else given)
-    centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "_cell int, _centre array<double>")
-    far = top_k(queries.crossJoin(F.broadcast(centres)).withColumn("_far", squared_distance(F.col("q"), F.col("_centre"))), ["query_id"], [F.asc("_far"), F.asc("_cell")], probes)  # as many rows as cells
-    celled = model.transform(given).select(id_col, vector_col, "_cell")
-    met = far.select("query_id", "q", "_cell").join(celled, "_cell").filter(F.col("query_id") != F.col(id_col)).select("query_id", id_col, score(F.col("q"), F.col(vector_col), "ip").alias("score"))
-    scanned = met.groupBy("query_id").agg(F.count("*").alias("scanned"))
-    return top_k(met, ["query_id"], [F.desc("score"), F.asc(id_col)], k).join(scanned, "query_id")

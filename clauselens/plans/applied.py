@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselens.operators import amounts, graph, search, tables
-from clauselens.registry import ORACLE_SQL, query, table
+from clauselens.operators import amounts, graph, search, tables, vector_index
+from clauselens.plans import clauses  # noqa: F401  its clauses are rescored
+from clauselens.registry import ORACLE_SQL, QUERIES, query, table
 
 # Amounts. The tables have prices; they are written in seven forms, with a price's ten thousands as units.
 _FORMS_SQL = """
@@ -277,7 +278,7 @@ BOOSTS = ["the", "der", "License", "la", "que", "token", "and", "und"]
     + _pairs_sql("list_cosine_similarity", "true", "JOIN documents qd ON qd.doc_id = q.vec_id JOIN documents d ON d.doc_id = e.vec_id", ", qd.text AS asked, d.text AS held, CASE WHEN qd.lang = d.lang AND qd.source = d.source THEN 0 WHEN qd.lang = d.lang THEN 1 ELSE 2 END AS tier")
     + """), tiers AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS chosen FROM met),
        fetched AS (SELECT * FROM tiers WHERE tier <= chosen QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 30),
-       boosted AS (SELECT query_id, vec_id, tier, round(score + least(0.15 * (SELECT count(*) FROM given WHERE contains(asked, word) AND contains(held, word)), 0.5), 6) AS final FROM fetched)
+       boosted AS (SELECT query_id, vec_id, tier, round(score + least(0.15 * (SELECT count(*) FROM given WHERE contains(asked, word) AND (contains(held, word) OR contains(lower(held), word))), 0.5), 6) AS final FROM fetched)
        SELECT query_id, vec_id, tier, final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, vec_id) AS place FROM boosted QUALIFY place <= 10"""
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,20 +288,19 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.array(*map(F.lit, BOOSTS)), lambda w: F.contains(F.col("text"), w))
     asked = queries.join(docs, F.col("query_id") == F.col("doc_id")).select("query_id", "q", F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), words.alias("words"))
     held = vectors.join(docs, F.col("vec_id") == F.col("doc_id")).select("vec_id", "embedding", "text", "lang", "source")
-    same = F.col("q_lang") == F.col("lang")
-    found = search.hybrid(asked, held, [same & (F.col("q_source") == F.col("source")), same, F.lit(True)], "text", "words")
+    found = search.hybrid(asked, held, [[("q_lang", "lang"), ("q_source", "source")], [("q_lang", "lang")], []], "text", "words")
     return found.select("query_id", "vec_id", "tier", "final", "place")
 
 
 @query()
-def knn_ivf_recall(spark: SparkSession, sf_dir: str, share: float = 0.5) -> DataFrame:
-    """Search in a share of the cells, which number the root of the vectors: per query how many of its true ten are found."""
+def knn_ivf_recall(spark: SparkSession, sf_dir: str, share: float = 1.0, rerank: int = 50) -> DataFrame:
+    """Search in an index of cells and product codes: per query how many of its true ten are found, and the vectors compared in full."""
     queries, vectors = _vectors(spark, sf_dir)
-    cells = max(2, int(vectors.count() ** 0.5))
-    near = search.by_cells(queries, vectors, 10, cells, max(1, round(cells * share)))
+    index = vector_index.build(vectors)
+    near = vector_index.search(index, queries, 10, max(1, round(index.cells * share)), rerank)
     exact = search.knn(queries, vectors, 10, "ip").select("query_id", "vec_id")
     hits = exact.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
-    return hits.join(near.groupBy("query_id").agg(F.max("scanned").alias("scanned")), "query_id")
+    return hits.join(near.groupBy("query_id").agg(F.max("compared").alias("compared")), "query_id").withColumn("vectors", F.lit(index.vectors))
 
 
 # Graph.
@@ -367,10 +367,19 @@ def agg_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("rel").alias("kind")).agg(F.count("*").alias("n")))
 
 
-@query(f"SELECT doc_id, least(0.5, round(0.15 * len(list_filter([{', '.join(chr(39) + w + chr(39) for w in BOOSTS)}], lambda w: contains(text, w))), 6)) AS boost FROM documents")
+# What shows that a text names an amount.
+AMOUNT_SIGNS = ["가입금액:", "가입금액 :", "만원,", "천만원", "백만원"]
+CLAUSE_WORDS = ["암", "진단", "수술", "입원", "보험료", "c73"]
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber % 2 = 0 AND regexp_matches(body, '{'|'.join(AMOUNT_SIGNS)}') THEN CASE WHEN hits > 0 THEN least(0.5, 0.15 * hits) + 0.15 ELSE 0.05 END ELSE least(0.5, 0.15 * hits) END, 6) AS boost
+        FROM (SELECT *, (SELECT count(*) FROM (SELECT unnest([{', '.join(f"'{w}'" for w in CLAUSE_WORDS)}]) AS w) WHERE contains(body, w) OR contains(lower(body), w)) AS hits FROM ({ORACLE_SQL['clause_texts']}))"""
+)
 def rerank_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the words of a search add to the score of each document."""
-    return table(spark, sf_dir, "documents").select("doc_id", search.boosted(F.lit(0.0), F.col("text"), F.array(*map(F.lit, BOOSTS))).alias("boost"))
+    """What the words of a search add to the score of each clause; searches of even lines ask for an amount."""
+    words, asks = F.array(*map(F.lit, CLAUSE_WORDS)), F.col("l_linenumber") % 2 == 0
+    return QUERIES["clause_texts"](spark, sf_dir).select("l_orderkey", "l_linenumber", search.boosted(F.lit(0.0), F.col("body"), words, amounts=asks, amount_words=AMOUNT_SIGNS).alias("boost"))
 
 
 def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

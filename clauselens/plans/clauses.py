@@ -5,6 +5,8 @@ from clauselens.plans.policy_tables import CARRIERS, CLAUSES, NAMES, ROWS, both,
 
 KEY = "l_orderkey, l_linenumber"
 
+both("clause_texts", f"SELECT {KEY}, l_suppkey, title, body FROM {CLAUSES} c")
+
 # Articles: lines of documents stand for marked articles; the marker is a parameter.
 both("articles", "SELECT doc_id, i AS article_no, TRIM(@AT(parts, i)) AS body FROM (SELECT doc_id, parts, @EXPLODE(@UPTO(@SIZE(parts))) AS i FROM (SELECT doc_id, @SPLIT(text, '\\n') AS parts FROM documents) a) b WHERE i > 1 AND TRIM(@AT(parts, i)) <> ''")
 _MARKED = f"(SELECT {KEY}, CONCAT('제 ', CAST(l_linenumber AS VARCHAR(9)), ' 조 ', CASE n % 3 WHEN 0 THEN '(' || title || ')' WHEN 1 THEN title ELSE '' END, chr(10), body) AS article FROM {CLAUSES} c)"

@@ -127,7 +127,7 @@ def test_search(spark):
 def test_hybrid_falls_back(spark):
     queries = spark.createDataFrame([(100, [1.0, 0.0], "fr", ["x"]), (200, [1.0, 0.0], "it", ["x"])], "query_id int, q array<float>, q_lang string, words array<string>")
     vectors = spark.createDataFrame([(1, [1.0, 0.0], "en", "a"), (2, [0.9, 0.1], "fr", "x"), (3, [0.8, 0.5], "en", "x x")], "vec_id int, embedding array<float>, lang string, text string")
-    found = search.hybrid(queries, vectors, [F.col("q_lang") == F.col("lang"), F.lit(True)], "text", "words", 2)
+    found = search.hybrid(queries, vectors, [[("q_lang", "lang")], []], "text", "words", 2)
     assert {(r.query_id, r.vec_id, r.place) for r in found.collect()} == {(100, 2, 1), (200, 2, 1), (200, 1, 2)}
 
 

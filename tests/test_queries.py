@@ -36,12 +36,6 @@ def test_same_as_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_recall_by_cells(spark):
-    found = registry.QUERIES["knn_ivf_recall"](spark, "/root/testdata/sf0.01").toPandas()
-    assert found["found"].sum() >= 0.9 * found["wanted"].sum() > 0
-
-
-
 def test_layouts_give_back_what_was_laid_out(spark):
     from clauselens.plans.amounts import TEXTS
 
