@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,18 +10,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import LongType
 
+from clauselens.functions.unicode import nfc
 from clauselens.operators import linking, search
 from clauselens.registry import QUERIES, query, table
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode composed form; null stays null."""
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
 def partial_ratio(short: str, long: str) -> int:
     """Likeness in percent of the shorter text to the best window of its length in the longer one."""
     short, long = sorted((short, long), key=len)

@@ -26,6 +26,27 @@ def edges(relations: dict[str, tuple[DataFrame, str, Column, str, Column]], amon
     return out.select("rel", "src_label", "src", "dst_label", "dst")
 
 
+def merged(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """keys and `properties` of the rows of all parts: of each property the last part that has it counts, a null is none.
+
+    Of several rows of one part with one key the largest value counts. A key without properties stays.
+    """
+    rows = reduce(DataFrame.unionByName, (df.select(*keys, F.lit(i).alias("_order"), F.explode_outer("properties").alias("_name", "_value")) for i, df in enumerate(parts)))
+    last = rows.groupBy(*keys, "_name").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct("_order", "_value"))).alias("_last"))
+    entry = F.when(F.col("_name").isNotNull() & F.col("_last").isNotNull(), F.struct(F.col("_name").alias("key"), F.col("_last._value").alias("value")))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("properties"))  # as many as properties
+
+
+def merged_nodes(sources: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
+    """(label, id, properties) from (label, rows, key, map of properties), later sources over earlier ones."""
+    return merged([df.select(F.lit(label).alias("label"), key.cast("string").alias("id"), props.alias("properties")) for label, df, key, props in sources], ["label", "id"])
+
+
+def merged_edges(sources: list[tuple[str, DataFrame, Column, Column, Column]]) -> DataFrame:
+    """(rel, src, dst, properties) from (rel, rows, source key, target key, map of properties), once for each pair of ends."""
+    return merged([df.select(F.lit(rel).alias("rel"), src.cast("string").alias("src"), dst.cast("string").alias("dst"), props.alias("properties")) for rel, df, src, dst, props in sources], ["rel", "src", "dst"])
+
+
 def paths(edges: DataFrame, most_hops: int, roots: DataFrame | None = None) -> DataFrame:
     """(src, dst, hops, path) of all walks of 1 to `most_hops` edges, from the nodes of `roots` (src) if given.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauselens.functions.unicode import nfc
+
 # Carriers and kinds of documents in file names, kinds in the order in which they are looked for, variants.
 CARRIERS = {"삼성": "samsung", "DB": "db", "롯데": "lotte", "한화": "hanwha", "현대": "hyundai", "KB": "kb", "메리츠": "meritz", "흥국": "heungkuk"}
 DOC_TYPES = {"약관": "terms", "사업방법서": "business_spec", "사업설명서": "business_spec", "상품요약서": "product_summary", "쉬운요약서": "easy_summary", "가입설계서": "proposal"}
@@ -26,9 +28,19 @@ def _first(options: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda rest, option: F.when(option[0], option[1]).otherwise(rest), reversed(options), F.lit(None))
 
 
+def json_of(reply: Column) -> Column:
+    """The JSON of a reply as a VARIANT: that of the first fenced block, else the text from the first brace to the last; null if it is none."""
+    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    bare = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    return F.try_parse_json(F.when(fenced != "", fenced).otherwise(bare))
+
+
 def file_metadata(name: Column) -> Column:
-    """struct(carrier, doc_type, doc_subtype) of names like carrier_kind(variant)_yymm.pdf; an unknown carrier is its own code."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    """struct(carrier, doc_type, doc_subtype) of names like carrier_kind(variant)_yymm.pdf; an unknown carrier is its own code.
+
+    Names are composed first, as some file systems give them decomposed.
+    """
+    stem = F.regexp_replace(nfc(name), r"\.[^.]*$", "")
     first = F.split(stem, "_")[0]
     carrier = F.coalesce(_first([(first == said, F.lit(code)) for said, code in CARRIERS.items()]), F.lower(first))
     bare = F.regexp_replace(stem, r"\([^)]*\)", "")

@@ -81,12 +81,38 @@ def optional(df: DataFrame, **values) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, asked)) if asked else df
 
 
-def percentile_rank(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """Per key the value at place floor(n * share) from 0 of its n sorted values, from counts of equal values alone."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(key).orderBy(value)
-    placed = counted.withColumn("_until", F.sum("_n").over(run)).withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
-    return placed.filter(F.col("_until") > F.least(F.floor(F.col("_all") * F.lit(share)), F.col("_all") - 1)).groupBy(key).agg(F.min(value).alias("at_share"))
+def quantile(df: DataFrame, key: str, value: str, share: float, accuracy: int = 10_000) -> DataFrame:
+    """Per key `at_share`, the value at place floor(n * share) from 0 of its n sorted values, exactly; nulls do not count.
+
+    A sketch, whose places are off by n / accuracy at most, gives a range of values around the place. Values below the
+    range are only counted; those within, some 4 / accuracy of them and those equal to its ends, are counted by value. So
+    no task sorts a key's values, however many there are.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    low, high = max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)
+    ends = rows.groupBy(key).agg(F.percentile_approx("_v", [low, high], accuracy).alias("_ends"), F.count("*").alias("_n"))
+    place = F.least(F.floor(F.col("_n") * F.lit(share)), F.col("_n") - 1)
+    # At the ends of all values the sketch's first and last are the ends of the range.
+    ends = ends.select(F.col(key).alias("_key"), F.when(F.lit(low > 0), F.col("_ends")[0]).alias("_low"), F.when(F.lit(high < 1), F.col("_ends")[1]).alias("_high"), place.alias("_place"))
+    met = rows.join(ends, F.col(key).eqNullSafe(F.col("_key"))).filter(F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
+    counted = met.groupBy(key, "_place", F.when(F.col("_low").isNull() | (F.col("_v") >= F.col("_low")), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    listed = counted.groupBy(key, "_place").agg(F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0)).alias("_below"), F.array_sort(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_v", "_c")))).alias("_in"))
+    step = F.aggregate("_in", F.struct(F.col("_below").alias("until"), F.lit(None).cast(df.schema[value].dataType).alias("v")), lambda s, x: F.when(s["until"] > F.col("_place"), s).otherwise(F.struct((s["until"] + x["_c"]).alias("until"), x["_v"].alias("v"))))
+    return listed.select(key, step["v"].alias("at_share"))
+
+
+def sketches(df: DataFrame, key: str, value: str, k: int = 200) -> DataFrame:
+    """Per key a sketch of the values, to be kept and merged with those of other tables (`merged_sketches`)."""
+    return df.groupBy(key).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame, key: str) -> DataFrame:
+    return parts.groupBy(key).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def from_sketch(sketch: Column, share: float) -> Column:
+    """The value at a share of the values of a sketch, about."""
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(share))
 
 
 def not_unique(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselens.operators import amounts, graph, search, tables, vector_index
+from clauselens.operators import amounts, graph, search, tables, vector_index, writes
+from clauselens.operators.rounds import folder
 from clauselens.plans import clauses  # noqa: F401  its clauses are rescored
 from clauselens.registry import ORACLE_SQL, QUERIES, query, table
 
@@ -137,10 +138,13 @@ def expanded(df: DataFrame, column: str) -> DataFrame:
        UNION ALL SELECT user_id, event_type, value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE user_id NOT IN (SELECT c_custkey FROM customer)"""
 )
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with the last event of each user written over them."""
+    """Customers, as a stored table, with the last event of each user written over them."""
     target = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("state"), F.col("c_acctbal").alias("amount"))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("state"), F.col("value").alias("amount"), "ts", "event_id")
-    return tables.upsert(target, rows, ["c_custkey"], [F.col("ts"), F.col("event_id")])
+    path = folder(spark)
+    writes.create(target, path, ["c_custkey"], 16)
+    writes.merge_latest(spark, path, rows, ["c_custkey"], [F.col("ts"), F.col("event_id")], 16)
+    return writes.read(spark, path)
 
 
 @query(
@@ -148,9 +152,11 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT doc_id, NULL FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 )
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels, with a row without a verdict for each document that has none."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("int").alias("quality"))
-    return tables.insert_if_absent(table(spark, sf_dir, "labels").select("doc_id", "quality"), rows, ["doc_id"], [F.col("doc_id")])
+    """Labels, as a stored table, with a row without a verdict for each document that has none."""
+    rows, path = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("int").alias("quality")), folder(spark)
+    writes.create(table(spark, sf_dir, "labels").select("doc_id", "quality"), path, ["doc_id"], 16)
+    writes.merge_absent(spark, path, rows, ["doc_id"], [F.col("doc_id")], 16)
+    return writes.read(spark, path)
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL) AND length(text) >= 50")
@@ -188,7 +194,7 @@ def agg_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smallest, largest and 95th-percentile value of each type, the last by place among the sorted values."""
     events = table(spark, sf_dir, "events").select("event_type", "value")
     ends = events.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    return ends.join(tables.percentile_rank(events, "event_type", "value", 0.95).withColumnRenamed("at_share", "p95"), "event_type")
+    return ends.join(tables.quantile(events, "event_type", "value", 0.95).withColumnRenamed("at_share", "p95"), "event_type")
 
 
 @query(
@@ -382,6 +388,44 @@ def rerank_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["clause_texts"](spark, sf_dir).select("l_orderkey", "l_linenumber", search.boosted(F.lit(0.0), F.col("body"), words, amounts=asks, amount_words=AMOUNT_SIGNS).alias("boost"))
 
 
+def _text_of(**columns: str) -> F.Column:
+    return F.create_map(*(x for name, c in columns.items() for x in (F.lit(name), F.col(c).cast("string"))))
+
+
+def _listed(props: str) -> F.Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(props)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias(props)
+
+
+@query(
+    """SELECT 'Company' AS label, n_nationkey::VARCHAR AS id, 'name=' || n_name || ';region=' || r_name || ';suppliers=' || coalesce(s.n, 0) AS properties FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY ALL) s ON s_nationkey = n_nationkey
+       UNION ALL SELECT 'Coverage', p_partkey::VARCHAR, 'brand=' || p_brand || ';name=' || coalesce(upper(p_name), p_name) || ';size=' || p_size FROM part
+       UNION ALL SELECT 'Document', d.doc_id::VARCHAR, 'lang=' || d.lang || CASE WHEN l.quality IS NOT NULL THEN ';quality=' || l.quality ELSE '' END || ';source=' || d.source || CASE WHEN l.toxic = 1 THEN ';toxic=1' ELSE '' END FROM documents d LEFT JOIN labels l USING (doc_id)"""
+)
+def graph_node_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with the properties that several tables give them; those of later tables win, and nulls leave what is there."""
+    t = {name: table(spark, sf_dir, name) for name in ("region", "nation", "supplier", "part", "documents", "labels")}
+    nations = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).withColumn("none", F.lit(0))
+    counted = t["supplier"].groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    shout = t["part"].withColumn("p_name", F.upper("p_name")).withColumn("p_brand", F.lit(None).cast("string"))
+    toxic = t["labels"].withColumn("toxic", F.when(F.col("toxic") == 1, 1)).join(t["documents"].select("doc_id"), "doc_id", "left_semi")
+    found = graph.merged_nodes([
+        ("Company", nations, F.col("n_nationkey"), _text_of(name="n_name", region="r_name", suppliers="none")), ("Company", counted, F.col("s_nationkey"), _text_of(suppliers="n")),
+        ("Coverage", t["part"], F.col("p_partkey"), _text_of(name="p_name", brand="p_brand", size="p_size")), ("Coverage", shout, F.col("p_partkey"), _text_of(name="p_name", brand="p_brand")),
+        ("Document", t["documents"], F.col("doc_id"), _text_of(lang="lang", source="source")), ("Document", toxic, F.col("doc_id"), _text_of(quality="quality", toxic="toxic")),
+    ])
+    return found.select("label", "id", _listed("properties"))
+
+
+@query(
+    """SELECT 'OFFERS' AS rel, l_suppkey::VARCHAR AS src, l_partkey::VARCHAR AS dst, 'lines=' || count(*) || CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN ';returned=' || count(*) FILTER (l_returnflag = 'R') ELSE '' END AS properties FROM lineitem GROUP BY ALL"""
+)
+def graph_edge_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of products and coverages, with how many lines there are of each and how many came back."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"), F.nullif(F.count_if(F.col("l_returnflag") == "R"), F.lit(0)).alias("back"))
+    found = graph.merged_edges([("OFFERS", lines, F.col("l_suppkey"), F.col("l_partkey"), _text_of(lines="n")), ("OFFERS", lines, F.col("l_suppkey"), F.col("l_partkey"), _text_of(returned="back"))])
+    return found.select("rel", "src", "dst", _listed("properties"))
+
+
 def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region, company, and its products and persons, as edges with prefixed ids."""
     def named(name: str, a: str, src: str, b: str, dst: str) -> DataFrame:

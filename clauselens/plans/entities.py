@@ -66,9 +66,6 @@ both("coverage_key", f"SELECT {KEY}, {canon('first_one')} AS key FROM (SELECT {K
 # Replies: number of the answer, confidence, and what is inside a fenced block.
 _REPLY = "(SELECT conv_id, turn, LENGTH(text) AS n, CASE WHEN LENGTH(text) % 5 = 0 THEN 'ANSWER: NONE' ELSE CONCAT('ANSWER: ', CAST(1 + LENGTH(text) % 4 AS VARCHAR(9)), chr(10), 'CONFIDENCE: 0.', CAST(LENGTH(text) % 10 AS VARCHAR(9))) END AS reply FROM conversations WHERE role = 'assistant')"
 both("reply_parse", f"SELECT conv_id, turn, answer, confidence, CASE WHEN confidence >= 0.7 THEN @AT(@LIST('first', 'second', 'third'), CAST(answer AS INT)) END AS chosen FROM (SELECT conv_id, turn, TRY_CAST({grab('reply', 'ANSWER: *([0-9]+)')} AS BIGINT) AS answer, TRY_CAST({grab('reply', 'CONFIDENCE: *([0-9.]+)')} AS DOUBLE) AS confidence FROM {_REPLY} r) t")
-_FENCED = "(SELECT conv_id, turn, CONCAT('Here:', chr(10), '```', CASE WHEN turn % 2 = 0 THEN 'json' ELSE '' END, chr(10), '@OPEN\"turn\": ', CAST(turn AS VARCHAR(9)), '@CLOSE', chr(10), '```') AS reply FROM conversations WHERE role = 'assistant')"
-both("reply_json", f"SELECT conv_id, turn, CAST(@JSON(block, '$.turn') AS BIGINT) AS answer FROM (SELECT conv_id, turn, TRIM({grab('reply', '(?s)```(?:json)?(.*?)```')}) AS block FROM {_FENCED} r) t")
-
 # Seed rows, with what the tables hold of each.
 _SEEDS = "(" + " UNION ALL ".join([f"SELECT 'category' AS kind, '{code}' AS code, '{name}' AS name" for code, name in CATEGORIES.items()] + [f"SELECT 'disease_set', '{code}', '{name}'" for name, code in DISEASES.items()] + [f"SELECT 'company', '{code}', '{name}'" for name, code in CODES.items()]) + ")"
 _SAID_ALIAS = "@AT(@KEEP(@LIST(" + ", ".join(f"'{a}'" for a in _BY_LENGTH) + "), @c INSTR(said, c) > 0), 1)"

@@ -156,16 +156,13 @@ _ID = "[0-9][0-9][0-9][0-9][0-9][0-9]-"
 VALUE_LIKE = f"({like('c', '[0-9].*원', '원.*[0-9]', '^[0-9][0-9][0-9][0-9][.][0-9][0-9][.][0-9][0-9]', '^[0-9]+[급세명]$', '^[남여] */ *[0-9]+세', _ID, '[0-9].*년', '년.*[0-9]')} OR {like('c', '^[-0-9,. ]*[0-9][-,. ]*[0-9][-0-9,. ]*$')})"
 NOT_KEY = f"({has('c', '세만기', '년납', '년/100세', '종_', '플랜')} OR c IN ('월납', '연납', '일시납', '-') OR {like('c', '^[0-9][0-9][0-9][0-9][.][0-9][0-9][.][0-9][0-9]', _ID, '[0-9].*원', '원.*[0-9]', '^[0-9]+[급세명]$', '^[남여] */ *[0-9]+세')})"
 KEY_LIKE = f"(NOT {NOT_KEY} AND ({has('c', *KEYS)} OR (LENGTH(c) < 15 AND NOT {like('c', '^[-0-9,. ]+$')} AND INSTR(c, '원') = 0)))"
+both("form_rows", f"SELECT o_orderkey, row_no, cells FROM {FORMS} f")
 both("cell_kind", f"SELECT o_orderkey, row_no, c AS cell, {VALUE_LIKE} AS value_like, {KEY_LIKE} AS key_like FROM (SELECT o_orderkey, row_no, @EXPLODE(cells) AS c FROM {FORMS} f) t WHERE c <> ''")
 _FILLED = "@KEEP(cells, @c TRIM(c) <> '')"
 _KV = f"CASE WHEN @SIZE({_FILLED}) BETWEEN 2 AND 6 AND @SIZE(@KEEP(@SLICE({_FILLED}, 1, @SIZE({_FILLED}) - 1), @c {has('c', *KEYS)})) > 0 THEN 1 ELSE 0 END"
 both("is_form_table", "SELECT o_orderkey, n_rows >= 5 AND 10 * empty >= 6 * total AND columns_n >= 5 AND kv >= 3 AND terms < 2 AS is_form FROM "
      f"(SELECT o_orderkey, COUNT(*) AS n_rows, SUM(@SIZE(cells)) AS total, SUM(@SIZE(@KEEP(cells, @c c = ''))) AS empty, MAX(CASE WHEN row_no = 0 THEN @SIZE(cells) END) AS columns_n, SUM({_KV}) AS kv, "
      + " + ".join(f"MAX(CASE WHEN INSTR(@JOINED(cells, ' '), '{w}') > 0 THEN 1 ELSE 0 END)" for w in TERMS) + f" AS terms FROM {FORMS} f GROUP BY o_orderkey) t")
-_SECTIONED = f"(SELECT o_orderkey, row_no, cells, MAX(CASE WHEN @SIZE({_FILLED}) = 1 THEN row_no END) OVER (PARTITION BY o_orderkey ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_row, CASE WHEN @SIZE({_FILLED}) = 1 THEN @AT({_FILLED}, 1) END AS heading FROM {FORMS} f)"
-_HEADED = f"(SELECT s.*, MAX(heading) OVER (PARTITION BY o_orderkey, section_row) AS section FROM {_SECTIONED} s)"
-_FIRST_KEY, _FIRST_VALUE = f"@AT(@KEEP({_FILLED}, @c {KEY_LIKE}), 1)", f"@AT(@KEEP({_FILLED}, @c NOT {KEY_LIKE}), 1)"
-both("form_kv", f"SELECT o_orderkey, row_no, CASE WHEN section IS NULL THEN k ELSE section || '_' || k END AS field, v AS value FROM (SELECT o_orderkey, row_no, section, {_FIRST_KEY} AS k, {_FIRST_VALUE} AS v FROM {_HEADED} h WHERE @SIZE({_FILLED}) >= 2) t WHERE k IS NOT NULL AND v IS NOT NULL")
 _LINE = f"(SELECT o_orderkey, row_no, @JOINED({_FILLED}, ' ') AS line FROM {FORMS} f)"
 _PERIODS = [("([0-9]+) *년납? */ *([0-9]+) *세", 1, 2), ("([0-9]+) *세만기 */ *([0-9]+) *년납", 2, 1), ("([0-9]+) *년납 *([0-9]+) *세만기", 1, 2)]
 _PAY, _INS = (f"COALESCE({', '.join(grab('line', p[0], p[i]) for p in _PERIODS)})" for i in (1, 2))

@@ -63,22 +63,14 @@ def src_pages_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(sizes, "table_id", "left").select("doc_id", "page", "char_count", "table_id", "n_cells")
 
 
-@query(f"SELECT table_id, c.pos AS col_no, c.cell FROM (SELECT table_id, unnest(list_transform(range(len(cells)), lambda i: struct_pack(pos := i, cell := cells[i + 1]))) AS c FROM {_TABLES})")
+@query(f"SELECT doc_id, table_id, c.pos AS col_no, c.cell FROM (SELECT table_id, unnest(list_transform(range(len(cells)), lambda i: struct_pack(pos := i, cell := cells[i + 1]))) AS c, doc_id FROM {_TABLES})")
 def src_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the grid files of each document, which is named by the folder that its files are in."""
     path = folder(spark)
-    grids(spark, sf_dir).select("table_id", "cells").write.json(path)
-    rows = spark.read.schema(GRID).json(path).select("table_id", F.explode("cells").alias("row"))
-    return rows.select("table_id", F.posexplode("row").alias("col_no", "cell"))
-
-
-@query("SELECT lang, source, COUNT(*) AS documents FROM documents GROUP BY lang, source")
-def scan_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders of converted documents, listed by path alone, with what is known of each."""
-    docs, path = table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), folder(spark)
-    docs.repartition("lang", "source").write.partitionBy("lang", "source").json(path)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path")
-    named = listed.select(F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("lang"), F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source")).distinct()
-    return named.join(docs.groupBy("lang", "source").agg(F.count("*").alias("documents")), ["lang", "source"])
+    grids(spark, sf_dir).select(F.col("doc_id").alias("document"), "table_id", "cells").write.partitionBy("document").json(path)
+    rows = spark.read.schema(GRID).option("recursiveFileLookup", True).json(path)
+    owner = F.regexp_extract(F.col("_metadata.file_path"), "/document=([^/]+)/", 1).cast("long")
+    return rows.select(owner.alias("doc_id"), "table_id", F.explode("cells").alias("row")).select("doc_id", "table_id", F.posexplode("row").alias("col_no", "cell"))
 
 
 @query(f"SELECT 'pages' AS part, COUNT(*) AS n, SUM(length(text))::BIGINT AS size FROM {_PAGES} UNION ALL SELECT 'tables', COUNT(*), SUM(len(cells))::BIGINT FROM {_TABLES}")

@@ -86,7 +86,7 @@ def test_windows(spark):
     assert {(r.g, r.i, r.turn) for r in tables.interleave(rows, ["g"], [F.desc("i")], 2).collect()} == {("a", 5, 1), ("a", 4, 2), ("b", 0, 1)}
     assert [(r.i, r.matches) for r in tables.found_of(rows, F.col("g") == "a", [F.col("i")], 2).collect()] == [(0, 6), (1, 6)]
     assert tables.optional(rows, g=None, i=[1, 2]).count() == 2 and tables.optional(rows).count() == 7
-    ranked = tables.percentile_rank(rows, "g", "i", 0.5).collect()
+    ranked = tables.quantile(rows, "g", "i", 0.5).collect()
     assert {(r.g, r.at_share) for r in ranked} == {("a", 3), ("b", 0)}
 
 
@@ -94,7 +94,7 @@ def test_no_single_partition_window(spark):
     rows = spark.range(100).selectExpr("id", "id % 3 AS g", "id % 7 AS v")
     plan = tables.found_of(rows, F.col("v") > 2, [F.col("id")], 5)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
-    plan = tables.percentile_rank(rows, "g", "v", 0.95)._jdf.queryExecution().executedPlan().toString()
+    plan = tables.quantile(rows, "g", "v", 0.95)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "SinglePartition" not in plan
 
 
