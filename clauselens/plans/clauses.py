@@ -83,19 +83,12 @@ both("compare_parse", f"SELECT {KEY}, {COMPARED} AS amount, {number('body', '보
 # Links of clauses to coverages of the same product; later tiers only for clauses without a link.
 _COVERAGES = f"(SELECT DISTINCT l_suppkey AS sk, l_partkey AS pk, name AS coverage, {canon('name')} AS canon_name FROM {ROWS} w)"
 _NAMED = f"(SELECT {KEY}, l_suppkey, title, body, {canon('said')} AS said FROM (SELECT {KEY}, l_suppkey, title, body, TRIM({grab('body', '^([^,]+), 가입금액')}) AS said FROM {CLAUSES} c) q WHERE said IS NOT NULL)"
-_EXACT = f"(SELECT {KEY}, pk, 1.0E0 AS score, 1 AS tier FROM (SELECT {KEY}, pk, ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY pk) AS place FROM {_NAMED} a JOIN {_COVERAGES} v ON a.l_suppkey = v.sk AND a.said = v.canon_name) e WHERE place = 1)"
-_TITLED = f"(SELECT {KEY}, pk, 0.8E0 AS score, 2 AS tier FROM (SELECT {KEY}, l_suppkey, SUBSTRING(title, 1, 3) AS head FROM {CLAUSES} c WHERE {has('title', '정의')}) a JOIN (SELECT sk, pk, SUBSTRING(coverage, 1, 3) AS head FROM {_COVERAGES} v0) v ON a.l_suppkey = v.sk AND a.head = v.head)"
-_PRODUCT = f"(SELECT {KEY}, pk, 0.7E0 AS score, 3 AS tier FROM (SELECT {KEY}, l_suppkey FROM {CLAUSES} c WHERE {has('title', '지급하지')}) a JOIN {_COVERAGES} v ON a.l_suppkey = v.sk)"
-_TIERS = f"(SELECT * FROM {_EXACT} x1 UNION ALL SELECT * FROM {_TITLED} x2 UNION ALL SELECT * FROM {_PRODUCT} x3)"
-_CHILDREN = f"(SELECT t.*, MIN(tier) OVER (PARTITION BY {KEY}) AS best FROM {_TIERS} t)"
 _PARENTS = f"(SELECT pk AS child, MIN(other) AS parent FROM (SELECT m.p_partkey AS pk, p.first_of AS other FROM {NAMES} m JOIN (SELECT SUBSTRING(name, 1, 2) AS head, MIN(p_partkey) AS first_of FROM {NAMES} m2 GROUP BY SUBSTRING(name, 1, 2)) p ON SUBSTRING(m.name, 1, 2) = p.head WHERE m.p_partkey <> p.first_of) h GROUP BY pk)"
-_LINKS = f"SELECT {KEY}, pk AS l_partkey, score, tier FROM (SELECT {KEY}, pk, score, tier, ROW_NUMBER() OVER (PARTITION BY {KEY}, pk ORDER BY tier) AS place FROM (SELECT {KEY}, pk, score, tier FROM {_CHILDREN} k WHERE tier = best UNION ALL SELECT {KEY}, h.parent, 0.9E0, 4 FROM {_CHILDREN} k JOIN {_PARENTS} h ON k.pk = h.child WHERE tier = best) u) z WHERE place = 1"
-both("build_links", _LINKS)
-_RATIO = "CASE WHEN said = canon_name OR INSTR(said, canon_name) > 0 THEN 100 ELSE CAST(FLOOR(100.0E0 * (1 - CAST(levenshtein(said, canon_name) AS DOUBLE) / GREATEST(LENGTH(said), LENGTH(canon_name)))) AS BIGINT) END"
-# Each distinct text of a product is scored once.
-_SAID = f"(SELECT {KEY}, l_suppkey, CONCAT(SUBSTRING(said, 1, 2), CASE WHEN l_linenumber % 2 = 0 THEN '_' ELSE '' END, SUBSTRING(said, 3)) AS said FROM {_NAMED} d)"
-_LIKEST = f"(SELECT sk, said, pk, ratio FROM (SELECT sk, said, pk, ratio, ROW_NUMBER() OVER (PARTITION BY sk, said ORDER BY ratio DESC, pk) AS place FROM (SELECT sk, said, pk, {_RATIO} AS ratio FROM (SELECT DISTINCT l_suppkey, said FROM {_SAID} m) a JOIN (SELECT sk, canon_name, MIN(pk) AS pk FROM {_COVERAGES} v0 GROUP BY sk, canon_name) v ON a.l_suppkey = v.sk) s WHERE ratio >= 80) r WHERE place = 1)"
-both("link_fuzzy", f"SELECT {KEY}, pk AS l_partkey, ratio FROM (SELECT {KEY}, pk, ratio, ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY ratio DESC, pk) AS place FROM {_SAID} c JOIN {_LIKEST} b ON c.l_suppkey = b.sk AND c.said = b.said) z WHERE place = 1")
+both("name_parents", f"SELECT child AS l_partkey, parent FROM {_PARENTS} p")
+both("offered_names", f"SELECT sk AS l_suppkey, pk AS l_partkey, coverage AS name, canon_name FROM {_COVERAGES} c")
+# Even lines have a slip of the pen in the name that they say.
+_WRITTEN = f"(SELECT {KEY}, l_suppkey, title, CASE WHEN l_linenumber % 2 = 0 THEN SUBSTRING(said, 1, 2) || '_' || SUBSTRING(said, 3) ELSE said END AS said FROM (SELECT {KEY}, l_suppkey, title, {canon('said')} AS said FROM (SELECT {KEY}, l_suppkey, title, TRIM({grab('body', '^([^,]+), 가입금액')}) AS said FROM {CLAUSES} c) q) w)"
+both("link_clauses", f"SELECT {KEY}, l_suppkey, MIN(title) AS title, MIN(said) AS said FROM {_WRITTEN} w GROUP BY {KEY}, l_suppkey")
 
 # Parents: by the head of a standard code, and by the longest other name of the brand that a name contains.
 # Code of a coverage and code of its parent.

@@ -151,25 +151,28 @@ def test_layouts(spark):
     assert {(r.carrier, r.name, r.amount, r.premium) for r in layouts.parse(rows, "carrier", "cells").collect()} == {("db", "상해사망·후유장해(20-100%)", "1백만원", "132"), ("kb", "암", "3천만원", None)}
 
 
-@pytest.mark.parametrize("least", [80, 50])
+@pytest.mark.parametrize("least", [90, 80, 70, 50])
 def test_fuzzy_links_against_brute_force(spark, least):
+    """Nothing that reaches the score is left out: names and texts of one character and more, repeats, cut ends."""
     import random
 
-    random.seed(4)
-    names = [(1, i, f"{a}{b}") for i, (a, b) in enumerate((a, b) for a in ("일반암", "유사암", "뇌졸중", "abc def") for b in ("진단비", "수술비", "통원 치료비", ""))]
-    said = [(k, 1 + k % 2, "".join(c for c in random.choice(names)[2] + " 특약" if random.random() > 0.08) + random.choice(["", " 갱신형"])) for k in range(60)] + [(99, 1, ""), (98, 1, None)]
+    random.seed(least)
+    names = [(1, i, f"{a}{b}") for i, (a, b) in enumerate((a, b) for a in ("일반암", "유사암", "뇌졸중", "abc def", "aaaa") for b in ("진단비", "수술비", "통원 치료비", ""))] + [(1, 50, "암"), (1, 51, "ab"), (2, 52, "일반")]
+    names += [(2, 100 + i, "".join(random.choice("abc") for _ in range(random.randrange(1, 12)))) for i in range(40)]
+    said = [(k, 1 + k % 2, "".join(c for c in random.choice(names)[2] + random.choice(["", " 특약"]) if random.random() > 0.1) + random.choice(["", " 갱신형", "a"])) for k in range(120)] + [(999, 1, ""), (998, 1, None), (997, 2, "ab"), (996, 2, "c"), (995, 1, "x 일반암진")]
     clauses, table = spark.createDataFrame(said, "k int, scope int, said string"), spark.createDataFrame(names, "scope int, name_id int, name string")
     found = {r.k: (r.name_id, r.ratio) for r in linking.fuzzy(clauses, table, ["scope"], ["k"], partial_ratio_of, least).collect()}
     for k, scope, text in said:
-        best = None
-        for s, i, name in names:
-            if s == scope and text is not None:
-                within = name in text or text in name
-                shares = {text[j : j + 3] for j in range(max(1, len(text) - 2))} & {name[j : j + 3] for j in range(max(1, len(name) - 2))}
-                ratio = 100 if within else partial_ratio(text, name) if shares else 0
-                if ratio >= least and (best is None or (ratio, -i) > (best[1], -best[0])):
-                    best = (i, ratio)
-        assert found.get(k) == best, (text, best)
+        rated = [(partial_ratio(text, name), -i) for s, i, name in names if s == scope and text]
+        ratio, i = max(rated, default=(0, 0))
+        assert found.get(k) == ((-i, ratio) if ratio >= least else None), text
+
+
+def test_fuzzy_meets_few_pairs(spark):
+    """Names that share only frequent pairs with a text are not scored."""
+    names = spark.createDataFrame([(1, i, "".join(chr(0xAC00 + 40 * i + j) for j in range(8)) + "진단비") for i in range(100)], "scope int, name_id int, name string")
+    texts = names.filter("name_id < 20").select("scope", F.col("name").alias("said"))
+    assert linking._gram_pairs(texts, names, ["scope"], "said", "name", 80).count() == 20
 
 
 def test_containment(spark):
@@ -178,7 +181,32 @@ def test_containment(spark):
     assert {(r.k, r.name) for r in linking.contained(texts, names, ["k"]).collect()} == {(1, "cat"), (1, "category")}
 
 
-def test_first_tier(spark):
-    rows = spark.createDataFrame([(1, 7), (2, 8)], "k int, t int")
-    more = spark.createDataFrame([(1, 9), (3, 5), (3, 6)], "k int, t int")
-    assert {(r.k, r.t, r.tier) for r in linking.first_tier([(1, 1.0, rows), (2, 0.8, more)], ["k"], "t").collect()} == {(1, 7, 1), (2, 8, 1), (3, 5, 2), (3, 6, 2)}
+@pytest.fixture(scope="module")
+def offered(spark):
+    return spark.createDataFrame([(1, 10, "암진단비"), (1, 11, "수술비"), (1, 12, "암진단비"), (2, 20, "암")], "scope int, name_id int, name string")
+
+
+def test_tiers(spark, offered):
+    """A clause that a tier links is not seen by the ones after it; parents come in addition."""
+    clauses = spark.createDataFrame([(1, 1, " 암진단비 ", "x"), (2, 1, "암진단", "x"), (3, 1, "other", "수술비에 관한"), (4, 1, "other", "none"), (5, 2, "other", "none"), (6, 3, "암", "암")], "k int, scope int, said string, title string")
+    replies = spark.createDataFrame([(1, 2, 0.9), (4, 2, 0.7), (5, 1, 0.5), (5, 9, 0.9)], "k int, answer int, confidence double")
+    seen = []
+
+    def tier(f):
+        def run(left):
+            seen.append({r.k for r in left.collect()})
+            return f(left)
+
+        return run
+
+    found = linking.tiered(clauses, ["k"], "name_id", [
+        ("exact", tier(lambda left: linking.exact(left, offered, ["scope"], ["k"]).withColumn("score", F.lit(1.0)))),
+        ("fuzzy", tier(lambda left: linking.fuzzy(left, offered, ["scope"], ["k"], partial_ratio_of).withColumn("score", F.col("ratio") / 100))),
+        ("reply", tier(lambda left: linking.by_reply(left, replies, offered, ["scope"], ["k"]))),
+        ("title", tier(lambda left: linking.by_title(left, offered, ["scope"], ["k"], "title").withColumn("score", F.lit(0.8)))),
+    ])
+    assert {tuple(r) for r in found.collect()} == {(1, 10, 1.0, "exact"), (2, 10, 1.0, "fuzzy"), (4, 11, 0.7, "reply"), (3, 11, 0.8, "title")}
+    assert seen == [{1, 2, 3, 4, 5, 6}, {2, 3, 4, 5, 6}, {3, 4, 5, 6}, {3, 5, 6}]
+    parents = spark.createDataFrame([(10, 11), (11, 10)], "name_id int, parent int")
+    up = linking.with_parents(found.filter("k < 3"), parents, ["k"], "name_id")
+    assert {(r.k, r.name_id, r.tier) for r in up.collect()} == {(1, 10, "exact"), (1, 11, "parent"), (2, 10, "fuzzy"), (2, 11, "parent")}
