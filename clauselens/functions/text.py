@@ -71,12 +71,6 @@ def embed_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ", "), F.lit("]")).alias("vector"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE md5(doc_id::VARCHAR) < '2'")
-def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample that stays the same: an eighth of the rows, by a hash of their key."""
-    return table(spark, sf_dir, "documents").filter(F.md5(F.col("doc_id").cast("string")) < "2").select("doc_id", "lang")
-
-
 # What tables and columns must be there.
 EXPECTED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "labels": ["doc_id", "quality", "toxic"], "embeddings": ["vec_id", "embedding", "label"]}
 

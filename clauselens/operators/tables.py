@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauselens.operators.rounds import written
+
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
@@ -75,6 +77,47 @@ def found_of(df: DataFrame, where: Column, order: list[Column], n: int) -> DataF
     return hits.orderBy(*order).limit(n).crossJoin(hits.agg(F.count("*").alias("matches")))  # one row
 
 
+def narrowest(df: DataFrame, keys: list[str], tier: Column) -> DataFrame:
+    """Adds `tier` and keeps, of each key, the rows of the smallest one that it has; nulls count as none.
+
+    The smallest tier of a key comes from counts by map-side aggregation and is joined back, so that no task gets a key's rows.
+    """
+    rows = df.withColumn("tier", tier).filter(F.col("tier").isNotNull())
+    best = rows.groupBy(*keys).agg(F.min("tier").alias("_best")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_best")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("tier") == F.col("_best"))
+    return rows.join(best, same).select(*rows.columns)
+
+
+def numbered_lists(df: DataFrame, key: str, value: str, size: int = 1000) -> DataFrame:
+    """(key, part, values): the sorted values of a key in lists of at most `size`, the parts in order.
+
+    Values are dealt by ranges of all (key, value), so that a key of any size is spread, and each list is built from its
+    own rows; see `quantile` for single places.
+    """
+    run = Window.partitionBy(key).orderBy("_range")
+    ranged = written(df.select(key, value).repartitionByRange(key, value).withColumn("_range", F.spark_partition_id()))
+    held = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(run) - F.col("_n"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(value)) - 1
+    placed = ranged.withColumn("_i", inside).join(held.select(key, "_range", "_before"), [key, "_range"]).withColumn("part", F.floor((F.col("_before") + F.col("_i")) / size))
+    return placed.groupBy(key, "part").agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def selected(df: DataFrame, n: int, key: Column, seed: int = 0) -> DataFrame:
+    """n rows that stay the same: those with the smallest hashes of a key; no more than n are kept by a task."""
+    return df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_key", key).orderBy("_h", "_key").limit(n).drop("_h", "_key")
+
+
+def extremes(df: DataFrame, keys: list[str], best: Column, value: Column, name: str, largest: bool = True) -> DataFrame:
+    """Per key the `best` of the rows by a value, as (name, name_value), with all_equal and enough (two values or more).
+
+    Rows without a value do not count; ties go to the smaller one.
+    """
+    rows = df.withColumn("_v", value).withColumn("_b", best).filter(F.col("_v").isNotNull())
+    rank = F.struct((-F.col("_v") if largest else F.col("_v")).alias("_r"), F.col("_b").alias("_b"))
+    out = rows.groupBy(*keys).agg(F.min(rank)["_b"].alias(name), (F.max("_v") if largest else F.min("_v")).alias(f"{name}_value"), (F.min("_v") == F.max("_v")).alias("all_equal"), (F.count("*") >= 2).alias("enough"))
+    return out
+
+
 def optional(df: DataFrame, **values) -> DataFrame:
     """Rows that equal each given value; None asks nothing, a list asks for one of its values."""
     asked = [F.col(c).isin(v) if isinstance(v, (list, tuple, set)) else F.col(c) == v for c, v in values.items() if v is not None]

@@ -198,15 +198,42 @@ def agg_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH per AS (SELECT l_suppkey, l_partkey, sum(l_quantity)::BIGINT AS sold FROM lineitem GROUP BY ALL)
-       SELECT l_suppkey, arg_max(l_partkey, (sold, -l_partkey)) AS best, max(sold) AS best_sold, arg_min(l_partkey, (sold, l_partkey)) AS least, min(sold) AS least_sold FROM per GROUP BY l_suppkey"""
+    """WITH per AS (SELECT l_suppkey, l_partkey, max(CASE WHEN l_returnflag <> 'R' THEN l_quantity END)::BIGINT AS amount, min(CASE WHEN l_tax > 0.02 THEN l_quantity END)::BIGINT AS premium FROM lineitem GROUP BY ALL),
+       a AS (SELECT l_suppkey, min(l_partkey) FILTER (amount = m) AS most, any_value(m) AS most_value, any_value(e) AS all_equal, any_value(c >= 2) AS enough FROM (SELECT *, max(amount) OVER w AS m, min(amount) OVER w = max(amount) OVER w AS e, count(amount) OVER w AS c FROM per WHERE amount IS NOT NULL WINDOW w AS (PARTITION BY l_suppkey)) GROUP BY ALL),
+       p AS (SELECT l_suppkey, min(l_partkey) FILTER (premium = m) AS cheapest, any_value(m) AS cheapest_value, any_value(e) AS same_premium FROM (SELECT *, min(premium) OVER w AS m, min(premium) OVER w = max(premium) OVER w AS e FROM per WHERE premium IS NOT NULL WINDOW w AS (PARTITION BY l_suppkey)) GROUP BY ALL)
+       SELECT l_suppkey, most, most_value, all_equal, enough, cheapest, cheapest_value, same_premium FROM a FULL JOIN p USING (l_suppkey)"""
 )
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each product the coverages sold most and least, ties to the smaller key."""
-    sold = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("sold"))
-    best, least = F.max(F.struct("sold", -F.col("l_partkey"))), F.min(F.struct("sold", "l_partkey"))
-    out = sold.groupBy("l_suppkey").agg(best.alias("b"), least.alias("l"))
-    return out.select("l_suppkey", (-F.col("b.col2")).alias("best"), F.col("b.sold").alias("best_sold"), F.col("l.l_partkey").alias("least"), F.col("l.sold").alias("least_sold"))
+    """Of each product the coverage with the largest amount and that with the smallest premium, whether all are alike, and whether two can be told apart; what has none does not count."""
+    lines = table(spark, sf_dir, "lineitem")
+    per = lines.groupBy("l_suppkey", "l_partkey").agg(F.max(F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))).cast("long").alias("amount"), F.min(F.when(F.col("l_tax") > 0.02, F.col("l_quantity"))).cast("long").alias("premium"))
+    most = tables.extremes(per, ["l_suppkey"], F.col("l_partkey"), F.col("amount"), "most")
+    least = tables.extremes(per, ["l_suppkey"], F.col("l_partkey"), F.col("premium"), "cheapest", largest=False).withColumnRenamed("all_equal", "same_premium").drop("enough")
+    return most.join(least, "l_suppkey", "full_outer").select("l_suppkey", "most", "most_value", "all_equal", "enough", "cheapest", "cheapest_value", "same_premium")
+
+
+@query(
+    """SELECT source, tier, doc_id FROM (SELECT source, doc_id, CASE WHEN lang = 'de' AND n_chars > 5000 THEN 1 WHEN lang = 'de' THEN 2 ELSE 3 END AS tier FROM documents)
+       QUALIFY tier = min(tier) OVER (PARTITION BY source)"""
+)
+def fallback_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long German documents of a source, else its German ones, else all."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", "n_chars")
+    german = F.coalesce(F.col("lang") == "de", F.lit(False))
+    return tables.narrowest(docs, ["source"], F.when(german & (F.col("n_chars") > 5000), 1).when(german, 2).otherwise(3)).select("source", "tier", "doc_id")
+
+
+@query("SELECT s_nationkey, part, array_to_string(list(s_suppkey ORDER BY s_suppkey), ',') AS codes FROM (SELECT s_nationkey, s_suppkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 3 AS part FROM supplier) GROUP BY ALL")
+def agg_collect_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of each nation, sorted, in lists of three."""
+    lists = tables.numbered_lists(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", 3)
+    return lists.select("s_nationkey", "part", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("codes"))
+
+
+@query()
+def sample_n(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
+    """A hundred documents that stay the same, drawn by a hash of their key."""
+    return tables.selected(table(spark, sf_dir, "documents").select("doc_id", "lang"), n, F.col("doc_id"))
 
 
 # Vectors. Queries are the vectors whose vec_id is divisible by 50.

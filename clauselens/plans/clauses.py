@@ -44,7 +44,7 @@ EVENTS = {
     "treatment": ("medium", ["항암방사선치료", "항암약물치료", "항암화학치료", "표적항암", "면역항암", "호르몬치료", "양성자방사선", "중입자방사선", "다빈치로봇"], ["항암.*치료.*정의", "표적항암.*정의", "면역항암.*정의"]),
     "hospitalization": ("low", ["입원", "종합병원"], ["입원.*정의"]),
 }
-_CODES = ["C[0-9][0-9](?:-C[0-9][0-9])?", "I6[0-9](?:-I[0-9][0-9])?", "I2[0-5](?:-I[0-9][0-9])?", "S[0-9][0-9](?:-S[0-9][0-9])?", "T[0-9][0-9](?:-T[0-9][0-9])?"]
+_CODES = ["C[0-9]{2}(?:-C[0-9]{2})?", "I6[0-9](?:-I[0-9]{2})?", "I2[0-5](?:-I[0-9]{2})?", "S[0-9]{2}(?:-S[0-9]{2})?", "T[0-9]{2}(?:-T[0-9]{2})?"]
 _ALL_CODES = "flatten(@LIST(" + ", ".join(f"@FIND(body, '({c})', 1)" for c in _CODES) + "))"
 _LABELS = "CONCAT_WS(',', " + ", ".join(f"CASE WHEN {like('title', *titles)} OR {like('CONCAT(title, chr(32), body)', *texts)} THEN '{kind}' END" for kind, (_, texts, titles) in EVENTS.items()) + ")"
 _EVENT_NAME = "SUBSTRING(TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(title, '의 *정의.*$', ''), ' *정의.*$', ''), '[(].*[)]', '')), 1, 100)"

@@ -28,7 +28,6 @@ both("questions", f"SELECT {KEY}, o_custkey, said FROM {QUESTIONS} q")
 
 _CANONICAL = {a: c for c, names in ALIASES.items() for a in names} | {c: c for c in CODES}
 _BY_LENGTH = sorted(_CANONICAL, key=lambda a: (-len(a), a))
-ALIAS = "CASE " + " ".join(f"WHEN INSTR(said, '{a}') > 0 THEN '{a}'" for a in _BY_LENGTH) + " END"
 COMPANY = "CASE " + " ".join(f"WHEN INSTR(said, '{a}') > 0 THEN '{_CANONICAL[a]}'" for a in _BY_LENGTH) + " END"
 _SHOW = "CASE company " + " ".join(f"WHEN '{c}' THEN '{code}'" for c, code in CODES.items()) + " END"
 both("ent_product", f"SELECT q.{KEY}, s.s_suppkey, s.s_name FROM (SELECT {KEY}, {grab('said', '(Supplier#[0-9]+)')} AS product FROM {QUESTIONS} q0) q JOIN supplier s ON q.product = s.s_name")
@@ -44,17 +43,7 @@ _PACKED = f"(SELECT {KEY}, o_custkey, said, REPLACE(said, ' ', '') AS packed FRO
 _DISEASES = "CONCAT_WS(',', " + ", ".join(f"CASE WHEN {has('said', name, code)} THEN '{name}' END" for name, code in DISEASES.items()) + ")"
 
 GENDER = f"CASE WHEN {has('said', '남')} THEN 'male' WHEN {has('said', '여')} THEN 'female' END"
-_NUMBERS = "@KEEP(@MAP(@FIND(said, '([0-9][0-9]?)(?:세|살)', 1), @c CAST(c AS INT)), @c c BETWEEN 1 AND 120)"
-_LOOSE = "@KEEP(@MAP(@FIND(ages_in, '([0-9][0-9]?)(?:세|살)?', 1), @c CAST(c AS INT)), @c c BETWEEN 1 AND 120)"
-# The number of a product is no age.
-_AGED = f"(SELECT {KEY}, said, CASE WHEN {has('said', '만원', '억', '천만', '백만')} THEN {_NUMBERS} ELSE {_LOOSE} END AS ages FROM (SELECT {KEY}, said, REGEXP_REPLACE(said, 'Supplier#[0-9]+', ''@ALL) AS ages_in FROM {QUESTIONS} q) a)"
-_LEAST, _MOST = "@AT(@SORT(ages), 1)", "@AT(@SORT(ages), @SIZE(ages))"
-_OVER, _UNDER = f"({has('said', '이상')} AND {has('said', '가입')})", f"({has('said', '이하', '미만')} AND {has('said', '가입')})"
-_RANGE = f"({has('said', '~', '-')})"
-_EXACT = f"(NOT {_RANGE} AND {has('said', '세', '살', '가입')})"
-_AGES = f"(SELECT {KEY}, said, CASE WHEN {_OVER} THEN {_LEAST} WHEN {_UNDER} THEN NULL WHEN {_RANGE} THEN CASE WHEN @SIZE(ages) >= 2 THEN {_LEAST} END WHEN {_EXACT} THEN @AT(ages, 1) END AS min_age, CASE WHEN {_OVER} THEN NULL WHEN {_UNDER} THEN {_MOST} WHEN {_RANGE} THEN CASE WHEN @SIZE(ages) >= 2 THEN {_MOST} END WHEN {_EXACT} THEN @AT(ages, 1) END AS max_age FROM (SELECT {KEY}, said, CASE WHEN @SIZE(ages) > 0 THEN ages END AS ages FROM {_AGED} g0) g)"
 
-_WIDER = ", ".join(f"CASE WHEN INSTR(said, '{w}') > 0 THEN '{','.join(more)}' END" for w, more in WIDER.items())
 
 _ENTITIES = f"(SELECT {KEY}, o_custkey, said, packed, {COMPANY} AS company, {GENDER} AS gender, {parsed('said')} AS amount, {COVERAGES} AS coverages, {_DISEASES} AS diseases, {found('said', KEYWORDS)} AS keywords FROM {_PACKED} p)"
 # What a caller gives wins over what the question says.

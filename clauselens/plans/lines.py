@@ -27,7 +27,6 @@ _USED = f"SELECT doc_id, line_no, @size AS n_cells, @join AS cells FROM @lines t
 sql_query("grid_clean", _USED.replace("@size", f"size({SPARK_CELLS})").replace("@join", f"array_join({SPARK_CELLS}, '|')").replace("@lines", SPARK_LINES), _USED.replace("@size", f"len({DUCK_CELLS})").replace("@join", f"array_to_string({DUCK_CELLS}, '|')").replace("@lines", DUCK_LINES))
 sql_query("name_cell", f"SELECT doc_id, line_no, try_element_at(filter(slice({SPARK_CELLS}, 1, 3), c -> length(c) > 2 AND NOT c RLIKE '^[0-9.,]+$'), 1) AS name FROM {SPARK_LINES} t WHERE line LIKE '%|%'", f"SELECT doc_id, line_no, list_filter(({DUCK_CELLS})[1:3], lambda c: length(c) > 2 AND NOT regexp_matches(c, '^[0-9.,]+$'))[1] AS name FROM {DUCK_LINES} t WHERE line LIKE '%|%'")
 sql_query("agg_array_filter", "SELECT l_orderkey, array_join(transform(sort_array(collect_set(CASE WHEN l_returnflag = 'R' THEN l_partkey END)), x -> CAST(x AS STRING)), ',') AS parts FROM lineitem GROUP BY l_orderkey", "SELECT l_orderkey, COALESCE(array_to_string(list_sort(list(DISTINCT l_partkey) FILTER (l_returnflag = 'R')), ','), '') AS parts FROM lineitem GROUP BY l_orderkey")
-sql_query("agg_collect_codes", "SELECT s_nationkey, array_join(transform(sort_array(collect_list(s_suppkey)), x -> CAST(x AS STRING)), ',') AS codes FROM supplier GROUP BY s_nationkey", "SELECT s_nationkey, array_to_string(list_sort(list(s_suppkey)), ',') AS codes FROM supplier GROUP BY s_nationkey")
 sql_query("nest_children", "SELECT conv_id, array_join(transform(sort_array(collect_list(struct(turn, role))), x -> concat(CAST(x.turn AS STRING), ':', x.role)), ',') AS turns FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(concat(turn, ':', role), ',' ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id")
 sql_query("filter_array_overlap", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING arrays_overlap(collect_set(l_linenumber), array(6, 7))", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING list_has_any(list(l_linenumber), [6, 7])")
 sql_query("age_asof", "SELECT o_orderkey, CAST(FLOOR(months_between(DATE '2024-01-01', CAST(o_orderdate AS DATE)) / 12) AS BIGINT) AS years FROM orders", "SELECT o_orderkey, CAST(date_sub('year', CAST(o_orderdate AS DATE), DATE '2024-01-01') AS BIGINT) AS years FROM orders")

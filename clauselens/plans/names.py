@@ -33,17 +33,17 @@ RULES = {
     "short_words": like("x", "^[가-힣][가-힣]?(?: [가-힣][가-힣]?)+$"),
     "syllables": like("x", "[가-힣] [가-힣] [가-힣]"),
     "contents": f"{has('x', '위험보장', '지급내용')} AND LENGTH(x) - LENGTH(REPLACE(x, ' ', '')) <= 2",
-    "date": like("x", "^[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"),
+    "date": like("x", "^[0-9]{4}-[0-9]{2}-[0-9]{2}"),
     "number": like("x", "^[0-9,.]+$"),
     "money": like("x", "^[0-9,.]+ *만?원$"),
-    "phone": like("x", "^[0-9][0-9][0-9][0-9]-[0-9][0-9][0-9][0-9]$"),
-    "code": like("x", "^[A-Z][A-Z][0-9][0-9]-[0-9]+$"),
+    "phone": like("x", "^[0-9]{4}-[0-9]{4}$"),
+    "code": like("x", "^[A-Z]{2}[0-9]{2}-[0-9]+$"),
     "url": has("x", "www.", "http", ".co.kr", ".com"),
     "brackets": "x LIKE '[%]'",
     "not_paid": "x LIKE '비급여(전액본인부담%'",
     "plan": f"{has('x', '_')} AND {has('x', '세)', '만기', '%')}",
-    "month": like("x", "^[0-9][0-9][0-9][0-9]-[0-9][0-9]?$"),
-    "design": like("x", "^[0-9][0-9][0-9][0-9][0-9][0-9][0-9][0-9]+-[0-9]+-[0-9]+-[0-9]+$"),
+    "month": like("x", "^[0-9]{4}-[0-9]{1,2}$"),
+    "design": like("x", "^[0-9]{8,}-[0-9]+-[0-9]+-[0-9]+$"),
     "torn": like("x", "^[^ ]*[]][가-힣]+ *[(][0-9]+"),
     "product": "x LIKE '무배당 %' OR (LENGTH(x) > 20 AND x LIKE '%보험%' AND x LIKE '%종합%')",
     "footnote": has("x", *FOOTNOTES),
@@ -152,9 +152,9 @@ _FORM = [
 ]
 #: Forms: six rows of six cells for each order, most of them empty.
 FORMS = "(" + " UNION ALL ".join(f"SELECT {_KEY}, {i} AS row_no, {cells} AS cells FROM orders" for i, cells in enumerate(_FORM)) + ")"
-_ID = "[0-9][0-9][0-9][0-9][0-9][0-9]-"
-VALUE_LIKE = f"({like('c', '[0-9].*원', '원.*[0-9]', '^[0-9][0-9][0-9][0-9][.][0-9][0-9][.][0-9][0-9]', '^[0-9]+[급세명]$', '^[남여] */ *[0-9]+세', _ID, '[0-9].*년', '년.*[0-9]')} OR {like('c', '^[-0-9,. ]*[0-9][-,. ]*[0-9][-0-9,. ]*$')})"
-NOT_KEY = f"({has('c', '세만기', '년납', '년/100세', '종_', '플랜')} OR c IN ('월납', '연납', '일시납', '-') OR {like('c', '^[0-9][0-9][0-9][0-9][.][0-9][0-9][.][0-9][0-9]', _ID, '[0-9].*원', '원.*[0-9]', '^[0-9]+[급세명]$', '^[남여] */ *[0-9]+세')})"
+_ID = "[0-9]{6}-"
+VALUE_LIKE = f"({like('c', '[0-9].*원', '원.*[0-9]', '^[0-9]{4}[.][0-9]{2}[.][0-9]{2}', '^[0-9]+[급세명]$', '^[남여] */ *[0-9]+세', _ID, '[0-9].*년', '년.*[0-9]')} OR {like('c', '^[-0-9,. ]*[0-9][-,. ]*[0-9][-0-9,. ]*$')})"
+NOT_KEY = f"({has('c', '세만기', '년납', '년/100세', '종_', '플랜')} OR c IN ('월납', '연납', '일시납', '-') OR {like('c', '^[0-9]{4}[.][0-9]{2}[.][0-9]{2}', _ID, '[0-9].*원', '원.*[0-9]', '^[0-9]+[급세명]$', '^[남여] */ *[0-9]+세')})"
 KEY_LIKE = f"(NOT {NOT_KEY} AND ({has('c', *KEYS)} OR (LENGTH(c) < 15 AND NOT {like('c', '^[-0-9,. ]+$')} AND INSTR(c, '원') = 0)))"
 both("form_rows", f"SELECT o_orderkey, row_no, cells FROM {FORMS} f")
 both("cell_kind", f"SELECT o_orderkey, row_no, c AS cell, {VALUE_LIKE} AS value_like, {KEY_LIKE} AS key_like FROM (SELECT o_orderkey, row_no, @EXPLODE(cells) AS c FROM {FORMS} f) t WHERE c <> ''")

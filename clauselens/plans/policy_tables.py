@@ -18,8 +18,8 @@ WORDS = {
 
 
 def both(name: str, sql: str) -> None:
-    """Registers one text in the dialects of both engines."""
-    for_spark = for_duck = sql
+    """Registers one text in the dialects of both engines. Braces of patterns are doubled for Spark, which formats its text."""
+    for_spark, for_duck = sql.replace("{", "{{").replace("}", "}}"), sql
     for word, (spark, duck) in WORDS.items():
         for_spark, for_duck = for_spark.replace(word, spark), for_duck.replace(word, duck)
     sql_query(name, for_spark, for_duck)

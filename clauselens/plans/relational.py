@@ -56,7 +56,6 @@ QUERIES = {
     "top1_priority": "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%ECONOMY%' THEN 0 ELSE 1 END, LENGTH(p_name), p_retailprice DESC NULLS LAST, p_partkey) AS rn FROM part) t WHERE rn = 1",
     "top5_case": "SELECT p_brand, p_partkey, rn FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%PROMO%' THEN 1 WHEN p_type LIKE '%MEDIUM%' THEN 2 ELSE 3 END, p_partkey) AS rn FROM part) t WHERE rn <= 5",
     "win_gap": "SELECT o_custkey, o_totalprice - following AS gap FROM (SELECT o_custkey, o_totalprice, LEAD(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS following, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn = 1 AND following IS NOT NULL",
-    "fallback_tiers": "SELECT source, tier, doc_id FROM (SELECT source, tier, doc_id, MIN(tier) OVER (PARTITION BY source) AS best FROM (SELECT source, CASE WHEN lang = 'de' AND n_chars > 5000 THEN 1 WHEN lang = 'de' THEN 2 ELSE 3 END AS tier, doc_id FROM documents) u) t WHERE tier = best",
     "candidate_merge": "SELECT doc_id, origin FROM (SELECT doc_id, origin, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY origin) AS rn FROM (SELECT doc_id, 1 AS origin FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 2 FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 3 FROM documents WHERE lang = 'es') u) t WHERE rn = 1",
     "topn_amount": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice IS NOT NULL ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10",
     "carry_last_topic": "SELECT conv_id, turn, MAX(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user_turn FROM conversations",

@@ -141,3 +141,31 @@ def test_json_of_replies(spark):
     rows = spark.createDataFrame(list(enumerate(said)), "i int, t string")
     found = rows.select("i", F.try_variant_get(parsing.json_of(F.col("t")), "$.a", "int").alias("a")).orderBy("i").collect()
     assert [r.a for r in found] == [1, 2, 3, None, None, None, None, None, None]
+
+
+def test_narrowest_tier(spark):
+    rows = spark.createDataFrame([("a", 1, 3), ("a", 2, 2), ("a", 3, 2), ("b", 4, 5), (None, 5, 1), (None, 6, 4), ("c", 7, None)], "g string, i int, t int")
+    found = tables.narrowest(rows, ["g"], F.col("t"))
+    assert {(r.g, r.i) for r in found.collect()} == {("a", 2), ("a", 3), ("b", 4), (None, 5)}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_bounded_size(spark):
+    rows = spark.createDataFrame([("big", i // 2) for i in range(101)] + [("small", 5)], "g string, v int").repartition(4)
+    found = {(r.g, r.part): r.values for r in tables.numbered_lists(rows, "g", "v", 10).collect()}
+    assert found[("small", 0)] == [5] and [v for k in sorted(found) if k[0] == "big" for v in found[k]] == [i // 2 for i in range(101)]
+    assert all(len(v) == 10 for k, v in found.items() if k[0] == "big" and k[1] < 10)
+
+
+def test_sample_is_of_n_rows_and_stays(spark):
+    rows = spark.range(1000)
+    drawn = [{r.id for r in tables.selected(rows.repartition(p), 50, F.col("id")).collect()} for p in (1, 7)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 50 and {r.id for r in tables.selected(rows, 50, F.col("id"), 1).collect()} != drawn[0]
+    assert tables.selected(rows.limit(3), 50, F.col("id")).count() == 3
+
+
+def test_extremes(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 9), ("a", 4, None), ("b", 5, 7), ("c", 6, 2), ("c", 7, 2), ("d", 8, None)], "g string, i int, v int")
+    found = {r.g: tuple(r)[1:] for r in tables.extremes(rows, ["g"], F.col("i"), F.col("v"), "top").collect()}
+    assert found == {"a": (2, 9, False, True), "b": (5, 7, True, False), "c": (6, 2, True, True)}
+    assert {r.g: r.low for r in tables.extremes(rows, ["g"], F.col("i"), F.col("v"), "low", largest=False).collect()} == {"a": 1, "b": 5, "c": 6}
