@@ -7,7 +7,8 @@ pairs of other groups are counted by shuffle. A pair that the array holds goes t
 a document counts once for it.
 
 Texts are cut where neither tokenizer can join what is left and right: before a single space that a visible character
-follows and no space precedes. Parts are encoded and aligned once for each worker, in a bounded cache.
+follows and no space precedes. Parts are encoded and aligned once for each worker, in a bounded cache. Texts are encoded
+once: the links of each document are written to the shared folder, packed, some 2 kB for 3 kB of text.
 
 To give the counts back to the documents, the vectors (one number for each id of A) and the HEAD most frequent pairs are
 broadcast, a few MB at any size of the corpus; the documents' other, rare pairs are joined by shuffle. No pair that many
@@ -25,6 +26,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clauselens.llm.pretokens import PieceCache
-from clauselens.llm.shared import blocks, discard, held, id_and_text, shared_folder, written
+from clauselens.llm.shared import blocks, delete_folder, held, id_and_text, shared_folder, written
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 HEAD, BINS, HELD_PAIRS = 1 << 18, 8, 1 << 21
@@ -82,7 +84,7 @@ class Vocabularies:
 class Aligner:
     """Alignments of parts of texts, kept in a bounded cache.
 
-    A part's value is None if its bytes do not come back, else its counts (n_a, n_b, n_groups, n_links), the groups as
+    A part's value is False if its bytes do not come back, else its counts (n_a, n_b, n_groups, n_links), the groups as
     text, each followed by `;`, the codes of its links (A id << shift | B id) and how often it has each.
     """
 
@@ -95,16 +97,32 @@ class Aligner:
         for start in range(0, len(parts), 20_000):
             yield from self._align(parts[start : start + 20_000])
 
-    def _align(self, parts: list[str]) -> list[tuple]:
-        v, full = self.v, [" " + p for p in parts]
-        ids_a = [e.ids for e in v.a.encode_batch(full, add_special_tokens=False)]
+    def _encoded(self, parts: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
+        """Which parts come back from the bytes of their tokens, and the ids of those under A and B."""
+        v, full = self.v, [(" " + p) for p in parts]
+        ids_a = [e.ids for e in v.a.encode_batch_fast(full, add_special_tokens=False)]
         ids_b = v.b.encode(parts, num_threads=1)
-        good = [i for i, (text, a, b) in enumerate(zip(full, ids_a, ids_b, strict=True)) if (raw := text.encode()) == b"".join([v.a_bytes[x] for x in a]) and raw == b"".join([v.b_bytes[x] for x in b])]
-        out: list = [(None,)] * len(parts)
+        raw = [text.encode() for text in full]
+        joined = b"".join(raw)
+        if all(b"".join([v_bytes[x] for x in chain.from_iterable(ids)]) == joined and self._sizes(ids, size) == [len(r) for r in raw] for ids, v_bytes, size in ((ids_a, v.a_bytes, v.a_size), (ids_b, v.b_bytes, v.b_size))):
+            return list(range(len(parts))), ids_a, ids_b
+        good = [i for i, (r, a, b) in enumerate(zip(raw, ids_a, ids_b, strict=True)) if r == b"".join([v.a_bytes[x] for x in a]) == b"".join([v.b_bytes[x] for x in b])]
+        return good, [ids_a[i] for i in good], [ids_b[i] for i in good]
+
+    @staticmethod
+    def _sizes(ids: list[list[int]], size: np.ndarray) -> list[int]:
+        ends = np.cumsum([0, *map(len, ids)])
+        before = np.append(0, size[np.fromiter(chain.from_iterable(ids), "i8", ends[-1])].cumsum())
+        return np.diff(before[ends]).tolist()
+
+    def _align(self, parts: list[str]) -> list[tuple | bool]:
+        v = self.v
+        good, ids_a, ids_b = self._encoded(parts)
+        out: list = [False] * len(parts)
         if not good:
             return out
-        a, b = (np.array([x for i in good for x in ids[i]], "i8") for ids in (ids_a, ids_b))
-        part_a, part_b = (np.repeat(np.arange(len(good)), [len(ids[i]) for i in good]) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(ids), "i8") for ids in (ids_a, ids_b))
+        part_a, part_b = (np.repeat(np.arange(len(good)), [*map(len, ids)]) for ids in (ids_a, ids_b))
         end_a, end_b = v.a_size[a].cumsum(), v.b_size[b].cumsum()
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
@@ -119,9 +137,9 @@ class Aligner:
         links, times = np.unique(links, return_counts=True)
         ends = np.searchsorted(links, np.arange(1, len(good) + 1) << 40).tolist()
         codes, times = (links & (1 << 40) - 1).astype("<u4").tobytes(), times.astype("<u4").tobytes()
-        before = 0
+        counts, before = counts.astype("<i8").tobytes(), 0
         for k, (i, end) in enumerate(zip(good, ends, strict=True)):
-            out[i] = (counts[k].astype("<i8").tobytes(), texts[k], codes[4 * before : 4 * end], times[4 * before : 4 * end])
+            out[i] = (counts[32 * k : 32 * k + 32], texts[k], codes[4 * before : 4 * end], times[4 * before : 4 * end])
             before = end
         return out
 
@@ -136,13 +154,13 @@ class Aligner:
         ends = part_ends.tolist()
         return ["".join(tokens[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def of(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
-        """For each text the values of its parts, None if it has no tokens."""
+    def of(self, texts: list[str | None]) -> Iterator[tuple[tuple, ...] | None]:
+        """For each text the counts, texts, codes and times of its parts, None if it has no tokens."""
         split = [parts_of(t) if t else [] for t in texts]
         known = self.cache.of({p for parts in split for p in parts})
         for parts in split:
-            values = [known[p] for p in parts]
-            yield values if values and all(len(x) > 1 for x in values) else None
+            values = list(map(known.__getitem__, parts))
+            yield tuple(zip(*values, strict=True)) if values and False not in values else None
 
 
 def _aligner(a_path: str, b_path: str) -> Aligner:
@@ -158,10 +176,10 @@ class PairCounts:
     """Documents of each pair within a task: a vector for same-bytes pairs, sorted codes for the others."""
 
     def __init__(self, v: Vocabularies):
-        self.v, self.vector, self.codes, self.n, self.more = v, np.zeros(len(v.a_bytes), "i8"), np.zeros(0, "u4"), np.zeros(0, "i8"), []
+        self.v, self.vector, self.codes, self.n, self.more = v, np.zeros(len(v.a_bytes), "i8"), np.zeros(0, "i8"), np.zeros(0, "i8"), []
 
-    def add(self, doc: np.ndarray, code: np.ndarray) -> None:
-        code = (np.unique(doc << 32 | code) & 0xFFFFFFFF).astype("i8")
+    def add(self, code: np.ndarray) -> None:
+        """Adds pairs, each once for each document that holds it."""
         a = code >> self.v.shift
         same = self.v.same[a] == (code & (1 << self.v.shift) - 1)
         self.vector += np.bincount(a[same], minlength=len(self.vector))
@@ -174,32 +192,72 @@ class PairCounts:
         self.codes, place = np.unique(codes, return_inverse=True)
         self.n, self.more = np.bincount(place, n, len(self.codes)).astype("i8"), []
 
-    def rows(self, all_of_them: bool) -> Iterator[pa.RecordBatch]:
-        """The pairs, when they are many or `all_of_them` are asked for, and then the vector: a, b (null in the vector) and n."""
-        if all_of_them or len(self.codes) + sum(len(c) for c, _ in self.more) > HELD_PAIRS:
+    def rows(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """The pairs as packed codes and counts, when they are many or it is the `last` time, and then the vector."""
+        if last:
             self.merge()
-            a, b = self.codes.astype("i8") >> self.v.shift, self.codes.astype("i8") & (1 << self.v.shift) - 1
-            yield pa.record_batch([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(self.n)], ["a", "b", "n"])
+            yield _record(VECTOR, codes=[b""], times=[self.vector.astype("<i8").tobytes()])
+        if last or len(self.codes) > HELD_PAIRS:
+            for k in range(0, len(self.codes), PACK):
+                yield _record(PAIRS, codes=[self.codes[k : k + PACK].astype("<u4").tobytes()], times=[self.n[k : k + PACK].astype("<i8").tobytes()])
             self.codes, self.n = self.codes[:0], self.n[:0]
-        if all_of_them:
-            met = np.flatnonzero(self.vector)
-            yield pa.record_batch([pa.array(met, pa.int32()), pa.nulls(len(met), pa.int32()), pa.array(self.vector[met])], ["a", "b", "n"])
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """a, b and n of each task: documents that hold a link of a and b; b is null where it is the same-bytes id of a."""
+DOC, PAIRS, VECTOR, PACK = 0, 1, 2, 1 << 16
+FIELDS = {"doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "codes": pa.binary(), "times": pa.binary()}
+SCHEMA = "kind int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary"
+
+
+def _record(kind: int, **columns) -> pa.RecordBatch:
+    n = len(columns["codes"])
+    return pa.record_batch([pa.array(np.full(n, kind, "i4")), *(pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in FIELDS.items())], ["kind", *FIELDS])
+
+
+def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Per document (kind DOC) its counts, the digest of its groups, the codes of its links and how often it has each.
+
+    Each task adds the documents of its irregular pairs (kind PAIRS, packed) and its vector (kind VECTOR).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a_path, b_path)
         counts = PairCounts(aligner.v)
         for block in blocks(batches):
-            codes = [b"".join({x[2] for x in values}) for values in aligner.of(block.column("text").to_pylist()) if values]
-            doc = np.repeat(np.arange(len(codes)), [len(c) // 4 for c in codes])
-            counts.add(doc, np.frombuffer(b"".join(codes), "<u4").astype("i8"))
+            sums, digests, code, times = [], [], [], []
+            for found in aligner.of(block.column("text").to_pylist()):
+                c, t, k, n = found or ((), (), (), ())
+                sums.append(np.frombuffer(b"".join(c), "<i8").reshape(-1, 4).sum(0))
+                digests.append(sha256("".join(t)[:-1].encode()).hexdigest() if t else "")
+                code.append(b"".join(k))
+                times.append(b"".join(n))
+            doc = np.repeat(np.arange(len(code)), [len(k) // 4 for k in code]) << 32
+            links, place = np.unique(doc | np.frombuffer(b"".join(code), "<u4").astype("i8"), return_inverse=True)
+            n = np.bincount(place, np.frombuffer(b"".join(times), "<u4"), len(links)).astype("<u4").tobytes()
+            ends = np.searchsorted(links, np.arange(len(code) + 1) << 32).tolist()
+            links = links & 0xFFFFFFFF
+            counts.add(links)
+            packed = links.astype("<u4").tobytes()
+            sums = np.stack(sums)
+            spans = list(zip(ends, ends[1:]))
+            yield _record(DOC, doc_id=block.column("doc_id"), n_a=sums[:, 0], n_b=sums[:, 1], n_groups=sums[:, 2], n_links=sums[:, 3], groups_sha256=digests, codes=[packed[4 * x : 4 * y] for x, y in spans], times=[n[4 * x : 4 * y] for x, y in spans])
             yield from counts.rows(False)
         yield from counts.rows(True)
 
-    return docs.select("text").mapInArrow(run, "a int, b int, n long")
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def unpacked(counted: DataFrame, shift: int) -> DataFrame:
+    """a, b and n of rows of kind PAIRS; of kind VECTOR a and n, b null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, codes, times in zip(*(batch.column(c).to_pylist() for c in ("kind", "codes", "times")), strict=True):
+                n = np.frombuffer(times, "<i8")
+                code = np.frombuffer(codes, "<u4").astype("i8") if kind == PAIRS else np.flatnonzero(n)
+                a, b, n = (code >> shift, pa.array(code & (1 << shift) - 1, pa.int32()), n) if kind == PAIRS else (code, pa.nulls(len(code), pa.int32()), n[code])
+                yield pa.record_batch([pa.array(a, pa.int32()), b, pa.array(n)], ["a", "b", "n"])
+
+    return counted.select("kind", "codes", "times").mapInArrow(run, "a int, b int, n long")
 
 
 def head_of(pairs: DataFrame, limit: int) -> int:
@@ -221,42 +279,31 @@ class Known:
         self.same, self.best, self.head, self.n = same, best, head, n
 
 
-def aligned(docs: DataFrame, known, a_path: str, b_path: str) -> DataFrame:
-    """Per document its counts, the digest and text of its groups, and what the head gives; `rest` has its rare pairs."""
+def scored(docs: DataFrame, known, a_path: str, b_path: str) -> DataFrame:
+    """Rows of `aligned` with what the vectors and the head say of their links; `rest` has their rare pairs."""
+    v = Vocabularies(a_path, b_path)
+    shared = docs.sparkSession.sparkContext.broadcast((v.same, v.shift))
+    kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, k = _aligner(a_path, b_path), known.value
-        v = aligner.v
-        for block in blocks(batches):
-            found = list(aligner.of(block.column("text").to_pylist()))
-            has = [values or [] for values in found]
-            of_doc = np.repeat(np.arange(len(has)), [len(x) for x in has])
-            sums = np.zeros((len(has), 4), "i8")
-            np.add.at(sums, of_doc, np.frombuffer(b"".join([x[0] for values in has for x in values]), "<i8").reshape(-1, 4))
-            texts = ["".join([x[1] for x in values])[:-1] for values in has]
-            code = np.frombuffer(b"".join([x[2] for values in has for x in values]), "<u4").astype("i8")
-            times = np.frombuffer(b"".join([x[3] for values in has for x in values]), "<u4").astype("i8")
-            doc = np.repeat(np.arange(len(has)), [sum([len(x[2]) for x in values]) // 4 for values in has])
-            a = code >> v.shift
-            same = v.same[a] == (code & (1 << v.shift) - 1)
-            at = np.searchsorted(k.head, code)
+        k, (twin, shift) = known.value, shared.value
+        for block in blocks(batches, "codes"):
+            codes, times = (block.column(c).to_pylist() for c in ("codes", "times"))
+            code, times = (np.frombuffer(b"".join(x), "<u4").astype("i8") for x in (codes, times))
+            doc = np.repeat(np.arange(len(codes)), [len(x) // 4 for x in codes])
+            a, b = code >> shift, code & (1 << shift) - 1
+            same, at = twin[a] == b, np.searchsorted(k.head, code)
             n = np.where(same, k.same[a], k.n[at])
             sure = same | (k.head[at] == code)
-            n_best = np.bincount(doc[sure], (times * (n == k.best[a]))[sure], len(has)).astype("i8")
-            total = np.zeros(len(has), "i8")
+            n_best = np.bincount(doc[sure], (times * (n == k.best[a]))[sure], len(codes)).astype("i8")
+            total = np.zeros(len(codes), "i8")
             np.add.at(total, doc[sure], (times * n)[sure])
-            rare, place = np.unique(doc[~sure] << 32 | code[~sure], return_inverse=True)
-            rest_n = np.bincount(place, times[~sure], len(rare)).astype("i8")
-            ends = np.searchsorted(rare, np.arange(len(has) + 1) << 32).astype("i4")
-            rare = rare & 0xFFFFFFFF
-            rest = pa.StructArray.from_arrays([pa.array(rare >> v.shift, pa.int32()), pa.array(rare & (1 << v.shift) - 1, pa.int32()), pa.array(rest_n)], ["a", "b", "times"])
-            yield pa.record_batch(
-                [block.column("doc_id"), *(pa.array(sums[:, c]) for c in range(4)), pa.array(n_best), pa.array(total), pa.array([sha256(t.encode()).hexdigest() if t else "" for t in texts]), pa.ListArray.from_arrays(pa.array(ends), rest)],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "rest"],
-            )
+            rest = pa.StructArray.from_arrays([pa.array(a[~sure], pa.int32()), pa.array(b[~sure], pa.int32()), pa.array(times[~sure])], ["a", "b", "times"])
+            ends = np.searchsorted(doc[~sure], np.arange(len(codes) + 1)).astype("i4")
+            yield pa.record_batch([*(block.column(c) for c in kept), pa.array(n_best), pa.array(total), pa.ListArray.from_arrays(pa.array(ends), rest)], [*kept, "n_best", "count_sum", "rest"])
 
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, rest array<struct<a:int,b:int,times:long>>"
-    return docs.mapInArrow(run, schema)
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, rest array<struct<a:int,b:int,times:long>>"
+    return docs.select(*kept, "codes", "times").mapInArrow(run, schema)
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None, head: int = HEAD) -> tuple[DataFrame, DataFrame]:
@@ -267,10 +314,12 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_pat
     spark = docs.sparkSession
     a_path, b_path = a_path or public_tokenizers.path(A_FILE), b_path or public_tokenizers.path(B_FILE)
     rows, shift = id_and_text(docs, id_col, text_col), _shift(a_path, b_path)
-    counted = written(pair_counts(rows, a_path, b_path))
+    path = shared_folder(spark)
+    aligned(rows, a_path, b_path).write.partitionBy("kind").parquet(path)
+    found = spark.read.schema(SCHEMA.removeprefix("kind int, ") + ", kind int").parquet(path)
+    counted = unpacked(found.filter(F.col("kind") != DOC), shift)
     other = written(counted.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")))
     same = counted.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).toPandas()  # one row for each id of A at most
-    discard(counted)
     best = other.groupBy("a").agg(F.max("n").alias("n")).toPandas()  # likewise
     least = head_of(other, head)
     top = other.filter(F.col("n") >= least).select((F.shiftleft(F.col("a").cast("long"), shift) + F.col("b")).alias("code"), "n").toPandas().sort_values("code")  # `head` rows at most
@@ -286,12 +335,11 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_pat
     twins = spark.createDataFrame([(i, int(b), int(n)) for i, (b, n) in enumerate(zip(v.same, vectors[0], strict=True)) if n], "a int, b int, n long")
     pairs = other.unionByName(twins).join(F.broadcast(highest), "a").select("a", "b", "n", (F.col("n") == F.col("best")).alias("is_best"))
 
-    path = shared_folder(spark)
-    aligned(rows, known, a_path, b_path).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    found = spark.read.parquet(path)
+    found = written(scored(found.filter(F.col("kind") == DOC), known, a_path, b_path).withColumn("row", F.monotonically_increasing_id()))
+    delete_folder(spark, path)
     rare = found.select("row", F.inline("rest"))
-    scored = rare.join(pairs.filter(F.col("n") < least), ["a", "b"]).groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more"), F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("more_best"))
-    out = found.join(scored, "row", "left")
+    rest = rare.join(pairs.filter(F.col("n") < least), ["a", "b"]).groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more"), F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("more_best"))
+    out = found.join(rest, "row", "left")
     added = {"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more", F.lit(0))}
     return out.withColumns(added).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), pairs
 
