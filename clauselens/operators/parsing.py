@@ -61,20 +61,39 @@ def headings(lines: DataFrame, line: str = "line", patterns: list[tuple[str, str
     return lines.withColumn("_found", found).filter(F.col("_found").isNotNull()).select(*lines.columns, "_found.*")
 
 
-def chunks(docs: DataFrame, key: str, text: str, doc_type: str, routes: dict[str, str], other: str = "hybrid", marker: str = "\n", least: int = 20) -> DataFrame:
+def chunks(docs: DataFrame, key: str, text: str, doc_type: str, routes: dict[str, str], other: str = "hybrid", marker: str = "\n", least: int = 20, keep: list[str] | None = None) -> DataFrame:
     """(key, parser, part_no, kind, body, title) of documents, each by the parser of its type.
 
     `text` cuts a text at a marker; `table` takes the cells of lines with bars; `hybrid` takes those, and of the other
-    lines those of `least` characters or more. A first line below 100 characters is the title.
+    lines those of `least` characters or more. A first line below 100 characters is the title. `keep` names
+    more columns to be kept; `cells` has all cells of a line.
     """
     parser = F.coalesce(_first([(F.col(doc_type) == t, F.lit(p)) for t, p in routes.items()]), F.lit(other))
-    lines = docs.select(key, parser.alias("parser"), F.posexplode(F.split(text, marker)).alias("part_no", "line")).withColumn("line", F.trim("line"))
+    more = [c for c in keep or [] if c != "cells"]
+    lines = docs.select(key, *more, parser.alias("parser"), F.posexplode(F.split(text, marker)).alias("part_no", "line")).withColumn("line", F.trim("line"))
     barred = F.col("line").contains("|")
     cells = F.filter(F.transform(F.split("line", r"\|"), lambda c: F.trim(c)), lambda c: c != "")
     kind = F.when(F.col("parser") == "text", F.when(F.col("line") != "", "article")).when(barred, F.when(F.size(cells) > 0, "row")).when((F.col("parser") == "hybrid") & (F.length("line") >= least), "block")
     body = F.when(F.col("kind") == "row", F.array_join(cells, ", ")).otherwise(F.col("line"))
     out = lines.withColumn("kind", kind).filter(F.col("kind").isNotNull()).withColumn("body", body)
-    return out.select(key, "parser", F.col("part_no").cast("long").alias("part_no"), "kind", "body", F.when((F.col("kind") != "row") & (F.length("body") < 100), F.col("body")).alias("title"))
+    if "cells" in (keep or []):
+        out, more = out.withColumn("cells", F.transform(F.split("line", r"\|"), lambda c: F.trim(c))), [*more, "cells"]
+    return out.select(key, *more, "parser", F.col("part_no").cast("long").alias("part_no"), "kind", "body", F.when((F.col("kind") != "row") & (F.length("body") < 100), F.col("body")).alias("title"))
+
+
+def clauses(docs: DataFrame, key: str, text: str, doc_type: str, carrier: str, routes: dict[str, str], layouts: Layouts, marker: str = "\n") -> DataFrame:
+    """Clauses of documents: those of `chunks`, by the parser of each type of document, with their rows read by the layout of the carrier.
+
+    (key, doc_type, parser, part_no, kind, title, name, amount, premium, clause_text). A row that its carrier's layout fits
+    has name, amount and premium, and a text made of them; another row has its cells. NUL characters are dropped.
+    """
+    clean = docs.select(key, F.col(doc_type).alias("doc_type"), F.col(carrier).alias("carrier"), F.translate(F.col(text), "\x00", "").alias("_text"))
+    parts = chunks(clean, key, "_text", "doc_type", routes, marker=marker, keep=["doc_type", "carrier", "cells"])
+    read = layouts.parse(parts.filter("kind = 'row'"), "carrier", "cells", keep=True)
+    read = read.withColumn("body", F.when(F.col("name").isNotNull(), row_text(F.col("name"), F.col("amount"), F.col("premium"), F.lit(None).cast("string"))).otherwise(F.col("body")))
+    none = F.lit(None).cast("string")
+    other = parts.filter("kind <> 'row'").select("*", none.alias("name"), none.alias("amount"), none.alias("premium"))
+    return read.unionByName(other).select(key, "doc_type", "parser", "part_no", "kind", "title", "name", "amount", "premium", F.col("body").alias("clause_text"))
 
 
 def row_text(name: Column, amount: Column, premium: Column, period: Column) -> Column:
@@ -93,12 +112,17 @@ class Layouts:
         self.rows.append((carrier, name_at, amount_at, premium_at, least, most, drop_empty))
         return self
 
-    def parse(self, rows: DataFrame, carrier: str, cells: str) -> DataFrame:
-        """Rows of registered carriers with `name`, `amount` and `premium`; rows that no layout fits drop out."""
-        table = rows.sparkSession.createDataFrame(self.rows, f"{carrier} string, _name int, _amount int, _premium int, _least int, _most int, _drop boolean")
-        joined = rows.join(F.broadcast(table), carrier)  # as many rows as were registered
+    def parse(self, rows: DataFrame, carrier: str, cells: str, keep: bool = False) -> DataFrame:
+        """Rows of registered carriers with `name`, `amount` and `premium`; rows that no layout fits drop out, or with `keep` have nulls.
+
+        Layouts of one carrier should differ in the numbers of cells that they fit.
+        """
+        table = rows.sparkSession.createDataFrame(self.rows, "_carrier string, _name int, _amount int, _premium int, _least int, _most int, _drop boolean")
+        n, filled = F.size(cells), F.size(F.filter(cells, lambda c: F.trim(c) != ""))
+        fits = (F.col(carrier) == F.col("_carrier")) & F.when(F.col("_drop"), filled).otherwise(n).between(F.col("_least"), F.col("_most"))
+        joined = rows.join(F.broadcast(table), fits, "left" if keep else "inner")  # as many rows as were registered
         packed = F.when(F.col("_drop"), F.filter(cells, lambda c: F.trim(c) != "")).otherwise(F.col(cells))
-        joined = joined.withColumn("_cells", packed).filter(F.size("_cells").between(F.col("_least"), F.col("_most")))
+        joined = joined.withColumn("_cells", packed)
 
         def at(place: str) -> Column:
             return F.when(F.col(place) > 0, F.try_element_at("_cells", F.col(place)))

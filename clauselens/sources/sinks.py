@@ -15,9 +15,9 @@ CLAUSES = registry.ORACLE_SQL["build_clauses"]
 
 @query(CLAUSES)
 def sink_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses without NUL characters, as Parquet by type of document."""
+    """Clauses, which have no NUL characters, as Parquet by type of document."""
     clauses, path = build_clauses(spark, sf_dir), folder(spark)
-    clauses.withColumn("clause_text", F.translate("clause_text", "\x00", "")).write.partitionBy("doc_type").parquet(path)
+    clauses.write.partitionBy("doc_type").parquet(path)
     return spark.read.schema(clauses.schema).parquet(path).select(clauses.columns)
 
 
