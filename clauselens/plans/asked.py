@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselens.operators import dictionary, entities
+from clauselens.operators import comparing, dictionary, entities
+from clauselens.plans import clauses  # noqa: F401  their offers are compared
 from clauselens.plans.entities import CODES, DICTIONARY, DISEASES, KEYWORDS, WIDER
 from clauselens.plans.policy_tables import ALIASES
 from clauselens.registry import ORACLE_SQL, QUERIES, query, table
@@ -172,3 +173,22 @@ def ent_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = starts.select(F.lit("passage").alias("kind"), "word", F.lit(0).alias("place"), F.col("word").alias("form"), F.lit("text").alias("within"))
     hits = dictionary.found(table(spark, sf_dir, "documents").select("doc_id", "text"), forms, ["doc_id"])
     return hits.select("doc_id", F.explode("found").alias("hit")).select("doc_id", F.col("hit.word").alias("name"), F.col("hit.at").alias("first_at"))
+
+
+@query(
+    f"""WITH {_COMMON}, offers AS (SELECT * FROM ({ORACLE_SQL['offers_of_companies']})), everyone AS (SELECT DISTINCT company FROM offers),
+    named AS (SELECT o_orderkey, o_orderkey % 10 = 0 AS every, companies, unnest(coverages) AS coverage FROM said_of),
+    pairs AS (SELECT DISTINCT o_orderkey, unnest(companies) AS company, coverage FROM named WHERE NOT every UNION SELECT o_orderkey, company, coverage FROM named, everyone WHERE every),
+    own AS (SELECT company, name AS coverage, max(amount) AS amount, min(premium) AS premium, count(*) AS offers FROM offers GROUP BY ALL),
+    broad AS (SELECT company, name[1:3] AS head, max(amount) AS amount, min(premium) AS premium, count(*) AS offers FROM offers GROUP BY ALL),
+    found AS (SELECT o_orderkey, company, coverage, coalesce(own.amount, CASE WHEN own.offers IS NULL THEN broad.amount END) AS amount, coalesce(own.premium, CASE WHEN own.offers IS NULL THEN broad.premium END) AS premium, coalesce(own.offers, broad.offers, 0) AS offers,
+        CASE WHEN own.offers IS NOT NULL THEN 'success' WHEN broad.offers IS NOT NULL THEN 'related' ELSE 'no_data' END AS status
+        FROM pairs LEFT JOIN own USING (company, coverage) LEFT JOIN broad ON broad.company = pairs.company AND broad.head = pairs.coverage[1:3])
+    SELECT *, coalesce(count(amount) OVER w > 1 AND min(amount) OVER w < max(amount) OVER w AND amount = max(amount) OVER w, false) AS best,
+        coalesce(count(premium) OVER w > 1 AND min(premium) OVER w < max(premium) OVER w AND premium = min(premium) OVER w, false) AS cheapest FROM found WINDOW w AS (PARTITION BY o_orderkey, coverage)"""
+)
+def compare_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the companies that a question names offer for its coverages; every tenth question asks for all companies."""
+    said, offers = extracted(spark, sf_dir, "company", "coverage"), QUERIES["offers_of_companies"](spark, sf_dir)
+    pairs = comparing.asked_pairs(said, KEY, offers.select("company").distinct(), F.col(KEY) % 10 == 0)
+    return comparing.compared(pairs, offers, KEY, F.substring("name", 1, 3))

@@ -108,9 +108,7 @@ both("comparison_rows", f"SELECT company, name, l_orderkey, shown FROM (SELECT c
 _PACKED = f"(SELECT l_suppkey, {KEY}, title, body, score, place, SUM(LENGTH(body)) OVER (PARTITION BY l_suppkey ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {_RANKED} r WHERE place <= 20)"
 both("assemble_context", f"SELECT p.l_suppkey, s.s_name, p.place AS citation, p.title, p.score FROM {_PACKED} p LEFT JOIN supplier s ON p.l_suppkey = s.s_suppkey WHERE p.used <= 400")
 both("agg_context_meta", f"SELECT l_suppkey, COUNT(*) AS clauses, COUNT(DISTINCT title) AS titles, round(AVG(score), 4) AS mean_score FROM {_PACKED} p WHERE used <= 400 GROUP BY l_suppkey")
-_ASKED = "(SELECT '삼성' AS company, '일반암진단비' AS asked UNION ALL SELECT '한화', '뇌출혈수술비' UNION ALL SELECT '현대', '골절진단비' UNION ALL SELECT 'KB', '없는담보')"
-_BEST = f"(SELECT company, name, MAX(v) AS amount, MIN(premium) AS premium, COUNT(*) AS offers FROM {_STAR} s GROUP BY company, name)"
-both("compare_products", f"SELECT a.company, a.asked AS coverage, b.amount, b.premium, COALESCE(b.offers, 0) AS offers, CASE WHEN b.company IS NULL THEN 'no_data' ELSE 'success' END AS status FROM {_ASKED} a LEFT JOIN {_BEST} b ON a.company = b.company AND a.asked = b.name")
+both("offers_of_companies", f"SELECT company, name, v AS amount, premium FROM {_STAR} s")
 both("compare_age", f"SELECT l_suppkey, info FROM (SELECT l_suppkey, info, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY n DESC, first_key, info) AS place FROM (SELECT l_suppkey, info, COUNT(*) AS n, MIN(l_orderkey) AS first_key FROM (SELECT l_suppkey, l_orderkey, {FACTS['fact_age']} AS info FROM {CLAUSES} c) t WHERE info IS NOT NULL GROUP BY l_suppkey, info) u) w WHERE place = 1")
 _TYPES = {"start_date": ("보장개시", "fact_start_date"), "limit": ("한도", "fact_limit"), "exclusions": ("보상하지", "fact_exclusions"), "renewal": ("갱신", "fact_renewal"), "age": ("가입나이", "fact_age")}
 _INFO = " UNION ALL ".join(f"SELECT l_suppkey, {KEY}, '{t}' AS info_type, CASE WHEN {has('title', w)} THEN 1 ELSE 2 END AS tier, {FACTS[f]} AS info FROM {CLAUSES} c WHERE {has('title', w)} OR {has('body', w)}" for t, (w, f) in _TYPES.items())
