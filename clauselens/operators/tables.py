@@ -104,7 +104,8 @@ def numbered_lists(df: DataFrame, key: str, value: str, size: int = 1000) -> Dat
 
 def selected(df: DataFrame, n: int, key: Column, seed: int = 0) -> DataFrame:
     """n rows that stay the same: those with the smallest hashes of a key; no more than n are kept by a task."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_key", key).orderBy("_h", "_key").limit(n).drop("_h", "_key")
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+    return df.withColumn("_h", F.md5(text)).orderBy("_h").limit(n).drop("_h")
 
 
 def extremes(df: DataFrame, keys: list[str], best: Column, value: Column, name: str, largest: bool = True) -> DataFrame:

@@ -230,7 +230,7 @@ def agg_collect_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("s_nationkey", "part", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("codes"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '')) LIMIT 100")
 def sample_n(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
     """A hundred documents that stay the same, drawn by a hash of their key."""
     return tables.selected(table(spark, sf_dir, "documents").select("doc_id", "lang"), n, F.col("doc_id"))

@@ -143,11 +143,6 @@ def update_from_join(t: Tables) -> DataFrame:
     return found.select("doc_id", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("quality", "toxic")))
 
 
-@frame
-def link_parent(t: Tables) -> DataFrame:
-    return t.sold().select("l_orderkey", c("n_regionkey").alias("parent")).distinct().withColumn("score", F.lit(0.9))
-
-
 # Aggregations.
 @frame
 def agg_link_stats(t: Tables) -> DataFrame:

@@ -18,7 +18,6 @@ for _name, _sql in LINES.items():
 SAME = {
     "filter_regex": "SELECT o_orderkey FROM orders WHERE REGEXP_EXTRACT(o_orderpriority, '^([12]-)', 1) <> ''",
     "resume_todo": "SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL",
-    "build_groups": "SELECT n_name, category, COUNT(*) AS parts FROM (SELECT DISTINCT n.n_name, SUBSTRING(p.p_type, 1, 5) AS category, p.p_partkey FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey) t GROUP BY n_name, category",
 }
 for _name, _sql in SAME.items():
     sql_query(_name, _sql)

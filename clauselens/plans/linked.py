@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauselens.operators import linking
+from clauselens.operators import linking, tables
 from clauselens.operators.rounds import written
-from clauselens.plans import clauses  # noqa: F401  its clauses and names are linked
+from clauselens.plans import clauses, names  # noqa: F401  their clauses and names are linked
 from clauselens.registry import ORACLE_SQL, QUERIES, query, table
 
 KEYS, TARGET = ["l_orderkey", "l_linenumber", "l_suppkey"], "l_partkey"
@@ -79,3 +79,79 @@ def build_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     product = linking.fan_out_counts(open_, offered.select("l_suppkey", TARGET), ["l_suppkey"], TARGET)
     product = product.select(*KEYS, F.lit(None).cast("long").alias(TARGET), F.lit(0.7).alias("score"), F.lit("product").alias("tier"), "n")
     return linking.with_parents(found, QUERIES["name_parents"](spark, sf_dir), KEYS, TARGET).withColumn("n", F.lit(1).cast("long")).unionByName(product)
+
+
+_FIRST_SQL = f"SELECT {_K}, min(l_partkey) AS l_partkey FROM c JOIN v USING (l_suppkey) WHERE said = name GROUP BY ALL"
+
+
+@query(f"WITH {_COMMON}, v2 AS (SELECT DISTINCT l_suppkey, l_partkey, name[1:4] AS head FROM v WHERE name <> '') SELECT DISTINCT {_K}, l_partkey FROM c JOIN v2 USING (l_suppkey) WHERE contains(title, head)")
+def join_title_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses and the coverages of their product whose name begins with what stands in the title."""
+    said, offered = _tables(spark, sf_dir)
+    return linking.by_title(said, offered, ["l_suppkey"], KEYS, "title", 4, name_id=TARGET)
+
+
+@query(f"WITH {_COMMON}, first AS ({_FIRST_SQL}) SELECT DISTINCT {_K}, parent AS l_partkey, 0.9 AS score FROM first JOIN ({ORACLE_SQL['name_parents']}) USING (l_partkey)")
+def link_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of clauses to the parents of the coverages that they name."""
+    said, offered = _tables(spark, sf_dir)
+    found = linking.exact(said, offered, ["l_suppkey"], KEYS, name_id=TARGET, form=lambda c: c).select(*KEYS, TARGET, F.lit(1.0).alias("score"), F.lit("exact").alias("tier"))
+    return linking.with_parents(found, QUERIES["name_parents"](spark, sf_dir), KEYS, TARGET).filter("tier = 'parent'").drop("tier")
+
+
+@query(
+    f"""WITH {_COMMON}, first AS ({_FIRST_SQL}),
+    met AS (SELECT l_partkey, {_K}, 1.0 AS score FROM first UNION ALL SELECT p.l_partkey, {_K}, 0.9 FROM ({ORACLE_SQL['name_parents']}) p JOIN first f ON f.l_partkey = p.parent)
+    SELECT l_partkey, {_K}, score, place FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, {_K}) AS place FROM met) WHERE place <= 5"""
+)
+def hierarchy_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five clauses of each coverage: its own before those of its parent."""
+    said, offered = _tables(spark, sf_dir)
+    found = linking.exact(said, offered, ["l_suppkey"], KEYS, name_id=TARGET, form=lambda c: c).select(TARGET, *KEYS)
+    first = written(tables.top_k(found, [TARGET], [*map(F.asc, KEYS)], 5))  # no coverage takes more of them, so parents meet their children with five
+    of_parent = QUERIES["name_parents"](spark, sf_dir).join(first.withColumnRenamed(TARGET, "parent"), "parent").select(TARGET, *KEYS, F.lit(0.9).alias("score"))
+    own = first.withColumn("score", F.lit(1.0))
+    return tables.top_k(own.unionByName(of_parent), [TARGET], [F.desc("score"), *map(F.asc, KEYS)], 5, "place")
+
+
+@query(
+    f"""SELECT n_name, category, count(DISTINCT l_partkey) AS parts, dense_rank() OVER (PARTITION BY n_name ORDER BY category) AS group_no
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN ({ORACLE_SQL['coverage_category']}) ON p_partkey = l_partkey GROUP BY n_name, category"""
+)
+def build_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of coverages: the categories of each company, numbered, with how many coverages they have."""
+    sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    company = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
+    category = QUERIES["coverage_category"](spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "category")
+    groups = sold.join(company, "l_suppkey").join(category, "l_partkey").select("n_name", "category", "l_partkey").distinct().groupBy("n_name", "category").agg(F.count("*").alias("parts"))
+    return groups.withColumn("group_no", F.dense_rank().over(Window.partitionBy("n_name").orderBy("category")))  # as many as categories
+
+
+# What the title or the text of a clause on each topic has.
+TOPICS = {
+    "risk_event": ("정의.*(암|뇌|심근|화상|골절|입원|치료)|(암|뇌|심근|화상|골절|입원|치료).*정의", None), "exclusion": ("지급하지 않|면책", "보험금을 지급하지 않습니다"),
+    "condition": ("보장개시|면책기간|가입나이|가입연령", "일이 지난 날"), "coverage": ("보험금|담보", "보험금|담보|보장|진단|수술|입원|치료"),
+}
+_DEFINED = "(암|뇌출혈|뇌졸중|심근경색)"
+
+
+def topics(title: Column, text: Column) -> Column:
+    """The topics of a clause, in their order; a definition is of a risk event also by its text."""
+
+    def has(topic: str) -> Column:
+        in_title, in_text = TOPICS[topic]
+        out = title.rlike(in_title)
+        return out | text.rlike(in_text) if in_text else out | (title.contains("정의") & text.rlike(_DEFINED))
+
+    return F.array_compact(F.array(*(F.when(has(t), F.lit(t)) for t in TOPICS)))
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, l_suppkey, array_to_string(list_filter([CASE WHEN contains(title, '정의') AND (regexp_matches(title, '암|뇌|심근|화상|골절|입원|치료') OR regexp_matches(body, '{_DEFINED}')) THEN 'risk_event' END,
+        CASE WHEN contains(title, '지급하지 않') OR contains(title, '면책') OR contains(body, '보험금을 지급하지 않습니다') THEN 'exclusion' END,
+        CASE WHEN regexp_matches(title, '보장개시|면책기간|가입나이|가입연령') OR contains(body, '일이 지난 날') THEN 'condition' END,
+        CASE WHEN regexp_matches(title, '보험금|담보') OR regexp_matches(body, '보험금|담보|보장|진단|수술|입원|치료') THEN 'coverage' END], lambda t: t IS NOT NULL), ',') AS topics FROM ({ORACLE_SQL['clause_texts']})"""
+)
+def clause_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clauses are on: risk events, exclusions, conditions, coverages."""
+    return QUERIES["clause_texts"](spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", F.array_join(topics(F.col("title"), F.col("body")), ",").alias("topics"))

@@ -16,19 +16,16 @@ QUERIES = {
     "like_any": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%' OR p_name LIKE '%bolt'",
     "not_like_except": "SELECT p_partkey, p_type FROM part WHERE p_type NOT LIKE '%M%' OR p_type LIKE '%MEDIUM%'",
     "min_or_null": "SELECT l_orderkey, l_linenumber, NULLIF(l_discount, 0.0) AS discount FROM lineitem WHERE NULLIF(l_discount, 0.0) >= 0.05 OR NULLIF(l_discount, 0.0) IS NULL",
-    "clause_topic": "SELECT doc_id FROM documents WHERE text LIKE '%License%' OR LOWER(text) LIKE '%copyright%'",
     # joins
     "join_star": f"SELECT l.l_orderkey, l.l_linenumber, s.s_name, n.n_name, p.p_name FROM {STAR}",
     "join_left_enrich": "SELECT d.doc_id, b.quality, b.toxic FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id",
     "join_anti": "SELECT d.doc_id FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id WHERE b.doc_id IS NULL",
     "join_semi_multi": "SELECT s_suppkey, s_name FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R') AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_discount >= 0.1)",
-    "join_title_prefix": "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_name LIKE CONCAT('%', SUBSTRING(b.p_name, 1, 4), '%') WHERE a.p_partkey <> b.p_partkey",
     "join_name_only": "SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_name IS NOT NULL",
     "join_pairs": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_acctbal > 5000 AND b.s_acctbal > 5000",
     "join_two_company": f"WITH t AS (SELECT n.n_name AS company, p.p_brand AS brand, MAX(l.l_extendedprice) AS best FROM {STAR} GROUP BY n.n_name, p.p_brand) SELECT a.brand, a.company AS company_a, b.company AS company_b, a.best AS best_a, b.best AS best_b FROM t a JOIN t b ON a.brand = b.brand AND a.company < b.company",
     "join_codes": "SELECT s.s_suppkey, n.n_name, r.r_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey",
     "update_from_join": "SELECT d.doc_id, COALESCE(b.quality, 0) AS quality, COALESCE(b.toxic, 0) AS toxic FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id",
-    "link_parent": "SELECT DISTINCT l.l_orderkey, n.n_regionkey AS parent, 0.9E0 AS score FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey",
     # aggregations
     "agg_link_stats": f"SELECT l_shipmode, n, total / n AS mean FROM (SELECT l_returnflag AS l_shipmode, COUNT(*) AS n, {MONEY.format('l_quantity')} AS total FROM lineitem GROUP BY l_returnflag) t",
     "agg_by_type": "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type",

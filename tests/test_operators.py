@@ -95,7 +95,7 @@ def test_no_single_partition_window(spark):
     plan = tables.found_of(rows, F.col("v") > 2, [F.col("id")], 5)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     plan = tables.quantile(rows, "g", "v", 0.95)._jdf.queryExecution().executedPlan().toString()
-    assert "collect_list" not in plan and "SinglePartition" not in plan
+    assert "Window" not in plan and "SinglePartition" not in plan
 
 
 def test_evaluation(spark):

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from clauselens import registry
-from clauselens.plans import amounts, applied, asked, catalogue, clauses, entities, framed, graph, linked, lines, names, parsed, relational, stored, vectors  # noqa: F401
+from clauselens.plans import amounts, applied, asked, catalogue, clauses, entities, framed, linked, lines, names, parsed, relational, stored, vectors  # noqa: F401
 from clauselens.functions import text  # noqa: F401
 from clauselens.sources import nested, sinks  # noqa: F401
 from clauselens.streaming import ingest  # noqa: F401
