@@ -46,13 +46,13 @@ def gender(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("남")), "male").when(F.contains(text, F.lit("여")), "female")
 
 
-def extracted(questions: DataFrame, entries: DataFrame, key: str, said: str = "said", product: str = r"Supplier#[0-9]+") -> DataFrame:
-    """Adds to questions (`key` is unique) an array for each kind, product, amount and age (structs of min and max), and gender.
+def extracted(questions: DataFrame, entries: DataFrame, key: str, said: str = "said", product: str = r"Supplier#[0-9]+", facts: bool = True) -> DataFrame:
+    """Adds to questions (`key` is unique) an array for each kind, and with `facts` product, amount and age (structs of min and max), and gender.
 
     Digits of the product's name are no age.
     """
     text = F.col(said)
-    known = {"product": F.nullif(F.regexp_extract(text, f"({product})", 1), F.lit("")), "amount": amounts.amount_filter(text), "age": amounts.age_filter(F.regexp_replace(text, product, "")), "gender": gender(text)}
+    known = {} if not facts else {"product": F.nullif(F.regexp_extract(text, f"({product})", 1), F.lit("")), "amount": amounts.amount_filter(text), "age": amounts.age_filter(F.regexp_replace(text, product, "")), "gender": gender(text)}
     asked = questions.select(F.col(key), text.alias("said"), F.replace(text, F.lit(" "), F.lit("")).alias("packed"), F.lower(text).alias("lower"), *(c.alias(name) for name, c in known.items()))
     hits = dictionary.found(asked, entries, [key, "said", *known])
     arrays = [dictionary.words(F.col("found"), kind).alias(name) for name, kind in KINDS.items()]

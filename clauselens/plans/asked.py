@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselens.operators import comparing, dictionary, entities
+from clauselens.operators.rounds import written
 from clauselens.plans import clauses  # noqa: F401  their offers are compared
 from clauselens.plans.entities import CODES, DICTIONARY, DISEASES, KEYWORDS, WIDER
 from clauselens.plans.policy_tables import ALIASES
@@ -27,14 +28,14 @@ FIXED = {
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of coverages: those of the table, and the names of a second list that it does not have."""
-    own = QUERIES["coverage_clean"](spark, sf_dir).filter("is_valid").select("name").distinct()
+    own = written(QUERIES["coverage_clean"](spark, sf_dir).filter("is_valid").select("name").distinct())
     return own.unionByName(spark.createDataFrame([(n,) for n in DICTIONARY], "name string").join(own, "name", "left_anti"))
 
 
-def extracted(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """The entities of all questions, of some kinds."""
+def extracted(spark: SparkSession, sf_dir: str, *kinds: str, facts: bool = False) -> DataFrame:
+    """The entities of all questions, of some kinds, with or without amounts and ages."""
     tables = [dictionary.entries(spark, k, FIXED[k]) for k in kinds if k != "coverage"] + ([entities.coverage_forms(names(spark, sf_dir))] if "coverage" in kinds else [])
-    return entities.extracted(QUERIES["questions"](spark, sf_dir), reduce(DataFrame.unionByName, tables), KEY)
+    return entities.extracted(QUERIES["questions"](spark, sf_dir), reduce(DataFrame.unionByName, tables), KEY, facts=facts)
 
 
 def _joined(name: str) -> F.Column:
@@ -107,7 +108,7 @@ def ent_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql("gender, youngest AS min_age, oldest AS max_age"))
 def ent_gender_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(spark, sf_dir, "company").select(KEY, "gender", F.col("age.min").alias("min_age"), F.col("age.max").alias("max_age"))
+    return extracted(spark, sf_dir, "company", facts=True).select(KEY, "gender", F.col("age.min").alias("min_age"), F.col("age.max").alias("max_age"))
 
 
 _WIDER_SQL = "MAP {" + ", ".join(f"'{c}': [{', '.join(f"'{w}'" for w in words)}]" for c, words in WIDER.items()) + "}"
@@ -129,7 +130,7 @@ _EVERY = "(contains(said, '전체 보험사') OR contains(said, '전체보험사
 ))
 def ent_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filters of the search that a question asks for; those that its caller gives, by customer, win."""
-    said = extracted(spark, sf_dir, "company", "concept", "coverage", "keyword").join(table(spark, sf_dir, "orders").select(KEY, "o_custkey"), KEY)
+    said = extracted(spark, sf_dir, "company", "concept", "coverage", "keyword", facts=True).join(table(spark, sf_dir, "orders").select(KEY, "o_custkey"), KEY)
     k = F.col("o_custkey")
     given = {"company": F.when(k % 4 == 0, "삼성"), "gender": F.when(k % 3 == 0, "male"), "doc_type": F.when(k % 5 == 0, "terms")}
     f = said.select(KEY, entities.filters(F.col("said"), entities.boosts(WIDER), given).alias("f"))
@@ -141,7 +142,7 @@ def ent_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def ent_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a question wants."""
-    return extracted(spark, sf_dir, "company", "coverage").select(KEY, entities.intent(F.col("said")).alias("i")).select(KEY, "i.*")
+    return extracted(spark, sf_dir, "company", "coverage", facts=True).select(KEY, entities.intent(F.col("said")).alias("i")).select(KEY, "i.*")
 
 
 def _span_sql(low: str, high: str, unit: str) -> str:
@@ -160,7 +161,7 @@ def _list_sql(label: str, name: str) -> str:
 ))
 def ent_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entities of a question in words."""
-    return extracted(spark, sf_dir, "company", "coverage", "disease", "keyword").select(KEY, entities.explained().alias("explained"))
+    return extracted(spark, sf_dir, "company", "coverage", "disease", "keyword", facts=True).select(KEY, entities.explained().alias("explained"))
 
 
 _FORMS_SQL = "SELECT DISTINCT array_to_string(string_split(text, ' ')[1:k], ' ') AS name FROM benchmark, (SELECT unnest([1, 2, 3, 8]) AS k)"
