@@ -156,7 +156,7 @@ _ID = "[0-9]{6}-"
 VALUE_LIKE = f"({like('c', '[0-9].*원', '원.*[0-9]', '^[0-9]{4}[.][0-9]{2}[.][0-9]{2}', '^[0-9]+[급세명]$', '^[남여] */ *[0-9]+세', _ID, '[0-9].*년', '년.*[0-9]')} OR {like('c', '^[-0-9,. ]*[0-9][-,. ]*[0-9][-0-9,. ]*$')})"
 NOT_KEY = f"({has('c', '세만기', '년납', '년/100세', '종_', '플랜')} OR c IN ('월납', '연납', '일시납', '-') OR {like('c', '^[0-9]{4}[.][0-9]{2}[.][0-9]{2}', _ID, '[0-9].*원', '원.*[0-9]', '^[0-9]+[급세명]$', '^[남여] */ *[0-9]+세')})"
 KEY_LIKE = f"(NOT {NOT_KEY} AND ({has('c', *KEYS)} OR (LENGTH(c) < 15 AND NOT {like('c', '^[-0-9,. ]+$')} AND INSTR(c, '원') = 0)))"
-both("form_rows", f"SELECT o_orderkey, row_no, cells FROM {FORMS} f")
+both("form_rows", f"SELECT o_orderkey, row_no, @JOINED(cells, '|') AS cells FROM {FORMS} f")
 both("cell_kind", f"SELECT o_orderkey, row_no, c AS cell, {VALUE_LIKE} AS value_like, {KEY_LIKE} AS key_like FROM (SELECT o_orderkey, row_no, @EXPLODE(cells) AS c FROM {FORMS} f) t WHERE c <> ''")
 _FILLED = "@KEEP(cells, @c TRIM(c) <> '')"
 _KV = f"CASE WHEN @SIZE({_FILLED}) BETWEEN 2 AND 6 AND @SIZE(@KEEP(@SLICE({_FILLED}, 1, @SIZE({_FILLED}) - 1), @c {has('c', *KEYS)})) > 0 THEN 1 ELSE 0 END"

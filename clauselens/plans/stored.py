@@ -59,7 +59,7 @@ def form_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
         6: ["성별", "나이", "", "면적", "", ""], 7: [F.concat(F.lit("남 / "), age), "", age, "", F.concat(F.col("o_custkey").cast("string"), F.lit("0")), ""], 8: ["추가 사항", "", "", "", "", ""],
         9: ["", "직업", "", F.concat((1 + F.col("o_orderkey") % 3).cast("string"), F.lit("급")), "", ""], 10: ["※ 참고", "", "", "", "", ""],
     }
-    rows = QUERIES["form_rows"](spark, sf_dir)
+    rows = QUERIES["form_rows"](spark, sf_dir).withColumn("cells", F.split("cells", "[|]"))
     for row_no, cells in more.items():
         rows = rows.unionByName(orders.select("o_orderkey", F.lit(row_no).alias("row_no"), F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells)).alias("cells")))
     return forms.key_values(rows, ["o_orderkey"])
