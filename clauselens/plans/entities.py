@@ -1,8 +1,15 @@
 """Entities of questions: carriers, products, coverages, diseases, amounts, ages, and the filters they make."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clauselens.operators.rounds import once, spread
 from clauselens.plans.amounts import parsed
 from clauselens.plans.names import canon
 from clauselens.plans.policy_tables import ALIASES, KINDS, QUESTIONS, SUBJECTS, both, found, grab, has, like, pick
+from clauselens.registry import on_spark, table
 
 KEY = "o_orderkey"
 
@@ -52,6 +59,26 @@ _TERM = "COALESCE(" + ", ".join(f"CASE WHEN INSTR(said, '{w}') > 0 THEN '{w}' EN
 both("display_title", f"SELECT {KEY}, CASE WHEN term IS NULL THEN coverage ELSE term || ' ' || {_BASE} || '비' END AS title FROM (SELECT {KEY}, {pick('o_orderkey', WIDE)} AS coverage, {_TERM} AS term FROM {QUESTIONS} q) t")
 both("coverage_key", f"SELECT {KEY}, {canon('first_one')} AS key FROM (SELECT {KEY}, @AT(@SPLIT(coverages, ','), 1) AS first_one FROM {_ENTITIES} e) t")
 
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions, made by all cores and once for each order."""
+    orders = spread(table(spark, sf_dir, "orders").select(KEY, "o_custkey"), KEY)
+    said = spark.sql(f"SELECT {KEY}, o_custkey, said AS _said FROM {QUESTIONS.replace('FROM orders', 'FROM {orders} AS orders')} q", orders=orders)
+    return once(said, said=F.col("_said")).drop("_said")
+
+
+def bare(name: str) -> str:
+    return name.replace("금", "").replace("비", "").replace("담보", "")
+
+
+@on_spark
+def coverage_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of the first coverage of the dictionary that a question names; no word is looked up once one is found."""
+    said, packed = F.col("said"), F.col("packed")
+    first = F.coalesce(*(F.when(F.contains(said, F.lit(w)) | F.contains(packed, F.lit(bare(w))), w) for w in DICTIONARY), F.lit(""))
+    found = once(once(asked(spark, sf_dir), packed=F.replace(said, F.lit(" "), F.lit(""))).select(KEY, "said", "packed"), first_one=first)
+    return found.select(KEY, F.expr(canon("first_one")).alias("key"))
+
 # Replies: number of the answer, confidence, and what is inside a fenced block.
 _REPLY = "(SELECT conv_id, turn, LENGTH(text) AS n, CASE WHEN LENGTH(text) % 5 = 0 THEN 'ANSWER: NONE' ELSE CONCAT('ANSWER: ', CAST(1 + LENGTH(text) % 4 AS VARCHAR(9)), chr(10), 'CONFIDENCE: 0.', CAST(LENGTH(text) % 10 AS VARCHAR(9))) END AS reply FROM conversations WHERE role = 'assistant')"
 both("reply_parse", f"SELECT conv_id, turn, answer, confidence, CASE WHEN confidence >= 0.7 THEN @AT(@LIST('first', 'second', 'third'), CAST(answer AS INT)) END AS chosen FROM (SELECT conv_id, turn, TRY_CAST({grab('reply', 'ANSWER: *([0-9]+)')} AS BIGINT) AS answer, TRY_CAST({grab('reply', 'CONFIDENCE: *([0-9.]+)')} AS DOUBLE) AS confidence FROM {_REPLY} r) t")
