@@ -21,3 +21,16 @@ def test_questions_are_made_once_and_by_all_cores(spark, name):
     optimized, physical = plan(spark, name).split("== Physical Plan ==")
     assert optimized.count("Supplier#") == 1
     assert "Exchange hashpartitioning(o_orderkey" in physical
+
+
+def test_written_tables_are_not_broadcast(spark):
+    """Two million rows in a file of a few KB are no small table."""
+    from pyspark.sql import functions as F
+
+    from clauselens.operators.rounds import written
+
+    names = written(spark.range(2_000_000, numPartitions=1).select((F.col("id") % 3).alias("scope"), (F.col("id") % 7).alias("name_id")))
+    joined = spark.range(10).select((F.col("id") % 3).alias("scope"), "id").join(names, "scope")
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        joined.explain()
+    assert "SortMergeJoin" in out.getvalue() and "Broadcast" not in out.getvalue()
