@@ -34,3 +34,22 @@ def test_written_tables_are_not_broadcast(spark):
     with contextlib.redirect_stdout(io.StringIO()) as out:
         joined.explain()
     assert "SortMergeJoin" in out.getvalue() and "Broadcast" not in out.getvalue()
+
+
+def test_fuzzy_scores_a_pair_once_in_all_scopes(spark):
+    from pyspark.sql import functions as F
+
+    from clauselens.operators import linking
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def score(a, b):
+        seen.add(1)
+        return 100 if a == b else 90
+
+    clauses = spark.range(200).select("id", (F.col("id") % 100).alias("scope"), F.lit("abcdef").alias("said"))
+    names = spark.range(200).select((F.col("id") % 100).alias("scope"), F.when(F.col("id") < 100, "abcdef").otherwise("abcdeg").alias("name"), F.col("id").alias("name_id"))
+    found = linking.fuzzy(clauses, names, ["scope"], ["id"], score, 80).collect()
+    assert sorted(tuple(r) for r in found) == [(i, i % 100, 100) for i in range(200)]
+    assert seen.value == 2
