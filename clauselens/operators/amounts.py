@@ -6,6 +6,7 @@ a question). Null texts, and texts that a rule does not know, give null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -101,22 +102,33 @@ def _all(text: Column, pattern: str, *worths: int) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), (group(k, worth) for k, worth in enumerate(worths, 1)))
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def amount_filter(text: Column) -> Column:
     """What a question asks of amounts, as struct(min, max): from, up to, between, or just one; null without an amount."""
+    empty = F.array().cast("array<bigint>")
+    eok, man = F.contains(text, F.lit("억")), F.contains(text, F.lit("만원"))  # patterns are tried where their units are
     found = F.concat(
-        _all(text, r"(\d+)억(?:(\d+)천)?(?:(\d+)백)?만?원?", EOK, CHEONMAN, 1_000_000),
-        _all(text, r"(\d+)천(?:(\d+)백)?만원", CHEONMAN, 1_000_000),
-        _all(text, r"(\d{1,4},?\d{3})만원", MAN),
+        F.when(eok, _all(text, r"(\d+)억(?:(\d+)천)?(?:(\d+)백)?만?원?", EOK, CHEONMAN, 1_000_000)).otherwise(empty),
+        F.when(man & F.contains(text, F.lit("천")), _all(text, r"(\d+)천(?:(\d+)백)?만원", CHEONMAN, 1_000_000)).otherwise(empty),
+        F.when(man, _all(text, r"(\d{1,4},?\d{3})만원", MAN)).otherwise(empty),
     )
-    low, high, first, none = F.array_min(found), F.array_max(found), found[0], F.lit(None).cast("long")
-    spans = (text.contains("~") | text.contains("-") | text.contains("에서")) & (F.size(found) > 1)
-    bounds = _first([
-        (text.contains("이상"), F.struct(low.alias("min"), none.alias("max"))),
-        (text.contains("이하") | text.contains("미만"), F.struct(none.alias("min"), high.alias("max"))),
-        (spans, F.struct(low.alias("min"), high.alias("max"))),
-        (F.lit(True), F.struct(first.alias("min"), first.alias("max"))),
-    ])
-    return F.when(F.size(found) > 0, bounds)
+
+    def bounds(found: Column) -> Column:
+        low, high, first, none = F.array_min(found), F.array_max(found), found[0], F.lit(None).cast("long")
+        spans = (text.contains("~") | text.contains("-") | text.contains("에서")) & (F.size(found) > 1)
+        asked = _first([
+            (text.contains("이상"), F.struct(low.alias("min"), none.alias("max"))),
+            (text.contains("이하") | text.contains("미만"), F.struct(none.alias("min"), high.alias("max"))),
+            (spans, F.struct(low.alias("min"), high.alias("max"))),
+            (F.lit(True), F.struct(first.alias("min"), first.alias("max"))),
+        ])
+        return F.when(F.size(found) > 0, asked)
+
+    return _held(found, bounds)
 
 
 def age_filter(text: Column) -> Column:

@@ -31,3 +31,9 @@ def test_amount_reads_what_the_text_reads(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").selectExpr("i", "c", f"{parsed('c')} AS theirs")
     for r in rows.withColumn("ours", rendered.amount(rendered.packed(rows.c))).collect():
         assert r.ours == r.theirs, r.c
+
+
+def test_amounts_of_a_question_are_read_once(spark):
+    plan = physical(registry.QUERIES["ent_amount"](spark, DATA))
+    assert plan.count("regexp_extract_all") <= 6  # one for each group of the three patterns
+    assert "Exchange hashpartitioning(l_orderkey" in plan
