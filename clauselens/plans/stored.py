@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselens.operators import forms, parsing
-from clauselens.operators.rounds import folder
-from clauselens.plans import names  # noqa: F401  its forms are parsed
-from clauselens.registry import ORACLE_SQL, QUERIES, query, table
+from clauselens.operators.rounds import folder, spread
+from clauselens.plans import names, rendered
+from clauselens.registry import ORACLE_SQL, query, table
 from clauselens.sources import files, nested
 
 # Listings.
@@ -53,15 +53,15 @@ _FORM_SQL = """
 @query(_FORM_SQL)
 def form_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of forms with sections, keys beside values, header rows over data rows (a row of labels takes the row below it), and a second section."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
     age = F.concat((20 + F.col("o_custkey") % 50).cast("string"), F.lit("세"))
     more = {
         6: ["성별", "나이", "", "면적", "", ""], 7: [F.concat(F.lit("남 / "), age), "", age, "", F.concat(F.col("o_custkey").cast("string"), F.lit("0")), ""], 8: ["추가 사항", "", "", "", "", ""],
         9: ["", "직업", "", F.concat((1 + F.col("o_orderkey") % 3).cast("string"), F.lit("급")), "", ""], 10: ["※ 참고", "", "", "", "", ""],
     }
-    rows = QUERIES["form_rows"](spark, sf_dir).withColumn("cells", F.split("cells", "[|]"))
-    for row_no, cells in more.items():
-        rows = rows.unionByName(orders.select("o_orderkey", F.lit(row_no).alias("row_no"), F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells)).alias("cells")))
+    cells = {i: F.expr(rendered.in_spark(row)) for i, row in enumerate(names._FORM)} | {i: F.array(*(F.lit(c) if isinstance(c, str) else c for c in row)) for i, row in more.items()}
+    # A form's rows are made where its order is, so that no row is shuffled.
+    rows = orders.select("o_orderkey", F.inline(F.array(*(F.struct(F.lit(i).alias("row_no"), row.alias("cells")) for i, row in cells.items()))))
     return forms.key_values(rows, ["o_orderkey"])
 
 

@@ -37,3 +37,8 @@ def test_amounts_of_a_question_are_read_once(spark):
     plan = physical(registry.QUERIES["ent_amount"](spark, DATA))
     assert plan.count("regexp_extract_all") <= 6  # one for each group of the three patterns
     assert "Exchange hashpartitioning(l_orderkey" in plan
+
+
+def test_rows_of_forms_are_made_where_their_order_is(spark):
+    plan = physical(registry.QUERIES["form_kv"](spark, DATA))
+    assert plan.count("orders.parquet") == 1 and plan.count("Exchange ") == 1
