@@ -49,7 +49,8 @@ def ingest_new(spark: SparkSession, source: str, schema: StructType, transform:
 def stream_ingest_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are delivered twice, in other files the second time: the second delivery adds nothing."""
     docs, path = table(spark, sf_dir, "documents"), folder(spark)
-    for delivery, parts in (("a", 2), ("b", 3)):
+    files = docs.count() // 20_000 + 2  # some MB of text in each, however many documents there are
+    for delivery, parts in (("a", files), ("b", files + 1)):
         docs.repartition(parts, "doc_id").write.parquet(f"{path}/in/{delivery}")
         ingest_new(spark, f"{path}/in", docs.schema, lambda d: d.select("doc_id", "lang", "source", F.length("text").alias("n")), f"{path}/out", f"{path}/progress", ["doc_id"])
     return spark.read.schema("doc_id long, lang string, source string, n int").parquet(f"{path}/out").select("doc_id", "lang", "source", "n")

@@ -42,3 +42,19 @@ def test_amounts_of_a_question_are_read_once(spark):
 def test_rows_of_forms_are_made_where_their_order_is(spark):
     plan = physical(registry.QUERIES["form_kv"](spark, DATA))
     assert plan.count("orders.parquet") == 1 and plan.count("Exchange ") == 1
+
+
+def test_ingest_deals_documents_to_files_by_their_number(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from clauselens.streaming import ingest
+
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, made = [], ingest.folder
+    try:
+        ingest.folder = lambda s: seen.append(f"{tmp_path}/work") or seen[-1]
+        assert ingest.stream_ingest_new(spark, str(tmp_path)).count() == 70_000
+    finally:
+        ingest.folder = made
+    assert [len(list((tmp_path / "work/in" / d).glob("part-*.parquet"))) for d in "ab"] == [5, 6]
