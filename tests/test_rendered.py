@@ -5,8 +5,9 @@ import io
 
 import pytest
 
+import __spark_entry__  # noqa: F401  it registers all queries
 from clauselens import registry
-from clauselens.plans import linked, rendered  # noqa: F401  what Spark runs for the shared texts
+from clauselens.plans import rendered
 
 DATA = "/root/testdata/sf0.001"
 
@@ -58,3 +59,15 @@ def test_ingest_deals_documents_to_files_by_their_number(spark, tmp_path):
     finally:
         ingest.folder = made
     assert [len(list((tmp_path / "work/in" / d).glob("part-*.parquet"))) for d in "ab"] == [5, 6]
+
+
+def test_seeds_make_questions_once_and_by_all_cores(spark):
+    plan = physical(registry.QUERIES["seed_dim"](spark, DATA))
+    assert plan.count("Supplier#") == 1 and "Exchange hashpartitioning(o_orderkey" in plan
+
+
+def test_vector_search_holds_small_matrices():
+    from clauselens.operators import search, vector_index
+
+    assert 10 * 8 * search.MATRIX <= 32 << 20
+    assert vector_index.MEETINGS * 32 * vector_index.CODES * 8 <= 8 << 20
