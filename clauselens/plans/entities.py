@@ -88,3 +88,15 @@ _SAID_ALIAS = "@AT(@KEEP(@LIST(" + ", ".join(f"'{a}'" for a in _BY_LENGTH) + "),
 _NAMED = "(" + " UNION ALL ".join(f"SELECT '{a}' AS alias, '{c}' AS company" for a, c in _CANONICAL.items()) + ")"
 _USES = f"(SELECT y.company AS name, CAST(SUM(u.n) AS BIGINT) AS n FROM (SELECT alias, COUNT(*) AS n FROM (SELECT {_SAID_ALIAS} AS alias FROM {QUESTIONS} q) a GROUP BY alias) u JOIN {_NAMED} y ON u.alias = y.alias GROUP BY y.company)"
 both("seed_dim", f"SELECT s.kind, s.code, s.name, COALESCE(u.n, 0) AS questions FROM {_SEEDS} s LEFT JOIN {_USES} u ON s.kind = 'company' AND s.name = u.name")
+
+
+@on_spark
+def seed_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed rows; companies with how many questions name them. A question is made once, by all cores, and no alias is looked up once one is found."""
+    alias = F.coalesce(*(F.when(F.contains("said", F.lit(a)), a) for a in _BY_LENGTH))
+    used = once(asked(spark, sf_dir).select("said"), alias=alias).groupBy("alias").agg(F.count("*").alias("n"))
+    known = spark.createDataFrame([(a, c) for a, c in _CANONICAL.items()], "alias string, name string")
+    uses = used.join(F.broadcast(known), "alias").groupBy("name").agg(F.sum("n").alias("n"))  # one row for each alias of the list
+    seeds = [("category", code, name) for code, name in CATEGORIES.items()] + [("disease_set", code, name) for name, code in DISEASES.items()] + [("company", code, name) for name, code in CODES.items()]
+    rows = spark.createDataFrame(seeds, "kind string, code string, name string")
+    return rows.join(uses.withColumn("kind", F.lit("company")), ["kind", "name"], "left").select("kind", "code", "name", F.coalesce("n", F.lit(0)).cast("long").alias("questions"))
