@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselens.operators.rounds import written
+from clauselens.operators.rounds import spread, written
 
 
 def nodes(labels: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
@@ -29,9 +29,11 @@ def edges(relations: dict[str, tuple[DataFrame, str, Column, str, Column]], amon
 def merged(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """keys and `properties` of the rows of all parts: of each property the last part that has it counts, a null is none.
 
-    Of several rows of one part with one key the largest value counts. A key without properties stays.
+    Of several rows of one part with one key the largest value counts. A key without properties stays. Rows are dealt by
+    their keys once, and merged where they are; small numbers shuffle to few bytes, so that partitions by bytes would be large.
     """
-    rows = reduce(DataFrame.unionByName, (df.select(*keys, F.lit(i).alias("_order"), F.explode_outer("properties").alias("_name", "_value")) for i, df in enumerate(parts)))
+    given = spread(reduce(DataFrame.unionByName, (df.select(*keys, F.lit(i).alias("_order"), "properties") for i, df in enumerate(parts))), *keys)
+    rows = given.select(*keys, "_order", F.explode_outer("properties").alias("_name", "_value"))
     last = rows.groupBy(*keys, "_name").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct("_order", "_value"))).alias("_last"))
     entry = F.when(F.col("_name").isNotNull() & F.col("_last").isNotNull(), F.struct(F.col("_name").alias("key"), F.col("_last._value").alias("value")))
     return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("properties"))  # as many as properties
