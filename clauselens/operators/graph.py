@@ -6,24 +6,45 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from clauselens.operators.rounds import spread, written
 
 
+def _key(df: DataFrame, key: Column) -> Column:
+    """A key as it is grouped and joined: whole numbers as numbers, all else as text."""
+    return key.cast("long" if isinstance(df.select(key).schema[0].dataType, ByteType | ShortType | IntegerType | LongType) else "string")
+
+
 def nodes(labels: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
     """(label, id, name) of the rows of each table, once for each label and id."""
-    parts = [df.select(F.lit(label).alias("label"), key.cast("string").alias("id"), name.cast("string").alias("name")) for label, (df, key, name) in labels.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("label", "id").agg(F.min("name").alias("name"))
+    parts = []
+    for label, (df, key, name) in labels.items():
+        own = df.select(_key(df, key).alias("id"), name.cast("string").alias("name")).groupBy("id").agg(F.min("name").alias("name"))
+        parts.append(own.select(F.lit(label).alias("label"), F.col("id").cast("string").alias("id"), "name"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def edges(relations: dict[str, tuple[DataFrame, str, Column, str, Column]], among: DataFrame) -> DataFrame:
-    """(rel, src_label, src, dst_label, dst), once each, of those whose two ends are among the nodes (label, id)."""
-    parts = [df.select(F.lit(rel).alias("rel"), F.lit(a).alias("src_label"), src.cast("string").alias("src"), F.lit(b).alias("dst_label"), dst.cast("string").alias("dst")) for rel, (df, a, src, b, dst) in relations.items()]
-    out = reduce(DataFrame.unionByName, parts).distinct()
-    for end in ("src", "dst"):
-        ends = among.select(F.col("label").alias(f"{end}_label"), F.col("id").alias(end))
-        out = out.join(ends, [f"{end}_label", end], "left_semi")
-    return out.select("rel", "src_label", "src", "dst_label", "dst")
+def edges(relations: dict[str, tuple[DataFrame, str, Column, str, Column]], labels: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
+    """(rel, src_label, src, dst_label, dst), once each, of those whose two ends are among the nodes that `nodes` makes of the labels.
+
+    Each relation meets the nodes of its two labels by their keys alone, which become text when all is done; an end that
+    is the key of its label's own rows is among them. Last comes the source, by which the pairs are dealt by number, and
+    made different where they are.
+    """
+    parts = []
+    for rel, (df, a, src, b, dst) in relations.items():
+        pairs = df.select(_key(df, src).alias("src"), _key(df, dst).alias("dst")).dropna()
+        for end, label, column in (("dst", b, dst), ("src", a, src)):
+            rows, key, _ = labels[label]
+            if rows is df and str(key) == str(column):
+                continue
+            ends = rows.select(_key(rows, key).alias(end)).distinct()
+            if ends.schema[end].dataType != pairs.schema[end].dataType:
+                ends, pairs = ends.withColumn(end, F.col(end).cast("string")), pairs.withColumn(end, F.col(end).cast("string"))
+            pairs = (pairs if end == "dst" else spread(pairs, end)).join(ends, end, "left_semi")
+        parts.append(pairs.select("src", "dst").distinct().select(F.lit(rel).alias("rel"), F.lit(a).alias("src_label"), F.col("src").cast("string").alias("src"), F.lit(b).alias("dst_label"), F.col("dst").cast("string").alias("dst")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merged(parts: list[DataFrame], keys: list[str]) -> DataFrame:

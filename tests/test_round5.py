@@ -20,3 +20,16 @@ def test_properties_are_dealt_once(spark):
     found = graph.merged_edges([("R", first, F.col("a"), F.col("b"), props), ("R", second, F.col("a"), F.col("b"), props)])
     assert {(r.src, r.dst): r.properties for r in found.collect()} == {("1", "2"): {"n": "1"}, ("5", "6"): {}, ("7", "8"): {"n": "9"}}
     assert plan(found).count("Exchange hashpartitioning") == plan(found).count("REPARTITION_BY_NUM") == 1
+
+
+def test_edges_meet_nodes_by_their_keys(spark):
+    """All edges were one table of texts, shuffled for each end; a key of a label's own rows needs no join at all."""
+    people = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (3, None)], "p long, city string")
+    bought = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (9, 7), (1, 8), (None, 7)], "p int, item int")
+    items = spark.createDataFrame([("7", "seven"), ("a", None)], "item string, name string")
+    labels = {"P": (people, F.col("p"), F.col("city")), "C": (people, F.col("city"), F.col("city")), "I": (items, F.col("item"), F.col("name"))}
+    own = graph.edges({"IN": (people, "P", F.col("p"), "C", F.col("city"))}, labels)
+    both = graph.edges({"IN": (people, "P", F.col("p"), "C", F.col("city")), "HAS": (bought, "P", F.col("p"), "I", F.col("item"))}, labels)
+    assert "Join" not in plan(own)
+    assert sorted(map(tuple, both.collect())) == [("HAS", "P", "1", "I", "7"), ("HAS", "P", "2", "I", "7"), ("IN", "P", "1", "C", "x"), ("IN", "P", "2", "C", "y")]
+    assert {(r.label, r.id, r["name"]) for r in graph.nodes(labels).collect()} >= {("P", None, "z"), ("P", "3", None), ("C", None, None), ("I", "7", "seven")}
