@@ -42,7 +42,7 @@ def edges(relations: dict[str, tuple[DataFrame, str, Column, str, Column]], labe
             ends = rows.select(_key(rows, key).alias(end)).distinct()
             if ends.schema[end].dataType != pairs.schema[end].dataType:
                 ends, pairs = ends.withColumn(end, F.col(end).cast("string")), pairs.withColumn(end, F.col(end).cast("string"))
-            pairs = (pairs if end == "dst" else spread(pairs, end)).join(ends, end, "left_semi")
+            pairs = pairs.join(ends, end, "left_semi") if end == "dst" else spread(pairs, end).join(ends, end)  # a semi-join would be done before the rows are dealt
         parts.append(pairs.select("src", "dst").distinct().select(F.lit(rel).alias("rel"), F.lit(a).alias("src_label"), F.col("src").cast("string").alias("src"), F.lit(b).alias("dst_label"), F.col("dst").cast("string").alias("dst")))
     return reduce(DataFrame.unionByName, parts)
 
