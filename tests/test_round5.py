@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselens.operators import graph
+from clauselens.operators import graph, linking
+from clauselens.plans import linked  # noqa: F401  its queries are looked up
+from clauselens.registry import QUERIES
 
 
 def plan(df) -> str:
@@ -30,6 +32,20 @@ def test_edges_meet_nodes_by_their_keys(spark):
     labels = {"P": (people, F.col("p"), F.col("city")), "C": (people, F.col("city"), F.col("city")), "I": (items, F.col("item"), F.col("name"))}
     own = graph.edges({"IN": (people, "P", F.col("p"), "C", F.col("city"))}, labels)
     both = graph.edges({"IN": (people, "P", F.col("p"), "C", F.col("city")), "HAS": (bought, "P", F.col("p"), "I", F.col("item"))}, labels)
-    assert "Join" not in plan(own)
+    assert "Join" not in plan(own) and plan(both).count("REPARTITION_BY_NUM") == 1
     assert sorted(map(tuple, both.collect())) == [("HAS", "P", "1", "I", "7"), ("HAS", "P", "2", "I", "7"), ("IN", "P", "1", "C", "x"), ("IN", "P", "2", "C", "y")]
     assert {(r.label, r.id, r["name"]) for r in graph.nodes(labels).collect()} >= {("P", None, "z"), ("P", "3", None), ("C", None, None), ("I", "7", "seven")}
+
+
+def test_titles_meet_beginnings_once_and_links_are_not_compared(spark):
+    """Links of clauses of one title were made different as one table; and pieces of a title were made for each scope."""
+    clauses = spark.createDataFrame([(1, 10, "abc def"), (1, 11, "abc def"), (2, 10, "xyz"), (2, 12, "abc def"), (1, 13, None), (2, 10, "say xyzw")], "s int, k int, title string")
+    names = spark.createDataFrame([(1, "abc dx", 100), (1, "de", 101), (1, "deg", 102), (2, "xyz", 200), (2, "xy", 200), (2, "abc dx", 201), (3, "abc", 300)], "s int, name string, name_id int")
+    found = linking.by_title(clauses, names, ["s"], ["s", "k"], "title", 4)
+    assert sorted(map(tuple, found.collect())) == [(1, 10, 100), (1, 10, 101), (1, 11, 100), (1, 11, 101), (2, 10, 200), (2, 12, 201)]
+    assert "_titles" in plan(found)
+
+
+def test_groups_deal_lines_by_coverage(spark):
+    """Products and coverages were made different in the tasks that read the lines, each with millions."""
+    assert plan(QUERIES["build_groups"](spark, "/root/testdata/sf0.001")).count("REPARTITION_BY_NUM") == 1
