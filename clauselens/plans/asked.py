@@ -190,6 +190,6 @@ def ent_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compare_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the companies that a question names offer for its coverages; every tenth question asks for all companies."""
-    said, offers = extracted(spark, sf_dir, "company", "coverage"), QUERIES["offers_of_companies"](spark, sf_dir)
+    said, offers = extracted(spark, sf_dir, "company", "coverage"), comparing.summed(QUERIES["offers_of_companies"](spark, sf_dir))
     pairs = comparing.asked_pairs(said, KEY, offers.select("company").distinct(), F.col(KEY) % 10 == 0)
     return comparing.compared(pairs, offers, KEY, F.substring("name", 1, 3))

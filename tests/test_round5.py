@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselens.operators import graph, linking
+from clauselens.operators import comparing, graph, linking
 from clauselens.plans import linked  # noqa: F401  its queries are looked up
 from clauselens.registry import QUERIES
 
@@ -49,3 +49,15 @@ def test_titles_meet_beginnings_once_and_links_are_not_compared(spark):
 def test_groups_deal_lines_by_coverage(spark):
     """Products and coverages were made different in the tasks that read the lines, each with millions."""
     assert plan(QUERIES["build_groups"](spark, "/root/testdata/sf0.001")).count("REPARTITION_BY_NUM") == 1
+
+
+def test_companies_are_compared_without_joins_of_pairs(spark, monkeypatch):
+    """Pairs were shuffled for each of four joins; now they are dealt once, whether offers go to all tasks or are joined."""
+    pairs = spark.createDataFrame([(1, "A", "abcd"), (1, "B", "abcd"), (1, "C", "abcd"), (2, "A", "abcx"), (2, "B", "zzz")], "q long, company string, coverage string")
+    offers = spark.createDataFrame([("A", "abcd", 5, 9), ("A", "abcd", 7, None), ("B", "abcd", 3, 2), ("B", "abce", 8, 1)], "company string, name string, amount long, premium long")
+    want = [(1, "A", "abcd", 7, 9, 2, "success", True, False), (1, "B", "abcd", 3, 2, 1, "success", False, True), (1, "C", "abcd", None, None, 0, "no_data", False, False), (2, "A", "abcx", 7, 9, 2, "related", False, False), (2, "B", "zzz", None, None, 0, "no_data", False, False)]
+    for few in (0, 100):
+        monkeypatch.setattr(comparing, "FEW", few)
+        found = comparing.compared(pairs, offers, "q", F.substring("name", 1, 3))
+        assert plan(found).count("Join") == 2
+        assert sorted(map(tuple, found.collect())) == want
