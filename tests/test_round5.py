@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselens.operators import comparing, graph, linking
+from clauselens.operators import comparing, graph, linking, search
 from clauselens.plans import linked  # noqa: F401  its queries are looked up
 from clauselens.registry import QUERIES
 
@@ -61,3 +61,15 @@ def test_companies_are_compared_without_joins_of_pairs(spark, monkeypatch):
         found = comparing.compared(pairs, offers, "q", F.substring("name", 1, 3))
         assert plan(found).count("Join") == 2
         assert sorted(map(tuple, found.collect())) == want
+
+
+def test_a_tier_multiplies_within_its_groups(spark):
+    """A tier was a join of all queries and vectors of a group, a row for each pair, and a large group was one task."""
+    rows = [(0, [1.0, 0.0], "a", "x"), (1, [0.9, 0.1], "a", "x"), (2, [1.0, 0.1], "a", "y"), (3, [1.0, 0.0], None, "x"), (4, [0.0, 0.0], "a", "x"), (5, None, "a", "x")]
+    vectors = spark.createDataFrame([(i, v, a, b, "text") for i, v, a, b in rows], "vec_id long, embedding array<double>, lang string, source string, text string")
+    queries = vectors.filter("vec_id in (0, 2, 3)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), F.array().cast("array<string>").alias("words"))
+    near = search.nearest(queries, vectors, 5, same=[("q_lang", "lang"), ("q_source", "source")])
+    assert "Join" not in plan(near)
+    assert {(r.query_id, r.vec_id) for r in near.collect()} == {(0, 1)}
+    found = search.hybrid(queries, vectors, [[("q_lang", "lang"), ("q_source", "source")], [("q_lang", "lang")], []], "text", "words", 2)
+    assert {(r.query_id, r.vec_id, r.tier) for r in found.collect()} == {(0, 1, 0), (2, 0, 1), (2, 1, 1), (3, 0, 2), (3, 2, 2)}
