@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselens.operators import comparing, graph, linking, search
-from clauselens.plans import linked  # noqa: F401  its queries are looked up
+from clauselens.plans import linked, parsed  # noqa: F401  their queries are looked up
 from clauselens.registry import QUERIES
 
 
@@ -73,3 +73,36 @@ def test_a_tier_multiplies_within_its_groups(spark):
     assert {(r.query_id, r.vec_id) for r in near.collect()} == {(0, 1)}
     found = search.hybrid(queries, vectors, [[("q_lang", "lang"), ("q_source", "source")], [("q_lang", "lang")], []], "text", "words", 2)
     assert {(r.query_id, r.vec_id, r.tier) for r in found.collect()} == {(0, 1, 0), (2, 0, 1), (2, 1, 1), (3, 0, 2), (3, 2, 2)}
+
+
+def plan_tables(spark, folder):
+    orders = [(1, 3, 1000.7), (2, 4, None), (3, None, 5.0), (5, -30, 12345678.0), (7, 55, 1.0), (None, 1, 1.0)]
+    lines = [(1, 1, 10.9), (1, 1, 5.5), (1, 2, 7.0), (1, 9, 100.0), (2, 1, None), (3, 2, 3.2), (5, 4, 2.0), (8, 1, 1.0), (None, 1, 1.0), (7, None, 1.0), (7, 9, 1.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_extendedprice double").write.parquet(f"{folder}/lineitem.parquet")
+    parts = [(p, "Brand#1", 1, 1.0) for p in (1, 2, 2, 4, 9)]  # 9 has a noise for a name, 2 is there twice
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{folder}/part.parquet")
+
+
+def test_plans_are_those_of_the_sql(spark, tmp_path):
+    """Null keys, customers and prices, negative ages, parts twice, names that are not valid."""
+    import duckdb
+
+    from clauselens.registry import ORACLE_SQL
+
+    plan_tables(spark, tmp_path)
+    db = duckdb.connect()
+    for name in ("orders", "lineitem", "part"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for query in ("plan_metadata", "build_plans"):
+        found = QUERIES[query](spark, str(tmp_path))
+        asked = db.execute(f"SELECT {', '.join(found.columns)} FROM ({ORACLE_SQL[query]})").fetchall()
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, asked)) and asked
+
+
+def test_plans_read_forms_once_and_clean_names_not_for_every_line(spark):
+    """Orders were read six times, and what makes a name valid was tried again on the key of every line; valid names went through the driver."""
+    assert plan(QUERIES["plan_metadata"](spark, "/root/testdata/sf0.001")).count("FileScan parquet") == 1
+    made = plan(QUERIES["build_plans"](spark, "/root/testdata/sf0.001"))
+    assert made.count("FileScan parquet") == 3 and made.count("REPARTITION_BY_NUM") == 3 and "Broadcast" not in made
+    assert all("p_partkey" in part for part in made.splitlines() if "10년경과" in part)
