@@ -37,3 +37,22 @@ def test_offered_names_are_made_for_coverages(spark):
     want = QUERIES["offered_names"](spark, DATA).select("l_suppkey", "l_partkey", F.col("name").alias("full"), F.col("canon_name").alias("name"))
     assert offered.columns == want.columns and offered.count() == want.count()
     assert offered.exceptAll(want).isEmpty() and want.exceptAll(offered).isEmpty()
+
+
+def test_links_of_whole_products_are_all_there(spark):
+    """The last tier told how many links a clause has, but not which."""
+    clauses = spark.createDataFrame([(1, 5, 2), (1, 5, 1), (1, 9, 1), (2, 7, 1), (3, 8, 1)], "s int, o int, l int")
+    coverages = spark.createDataFrame([(1, 10), (1, 11), (1, 10), (2, 12), (4, 13)], "s int, c long")
+    found = linking.fan_out_classes(clauses, coverages, ["s"], ["o", "l"], "c")
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted([(1, 5, 1, 10, 1), (1, 5, 1, 11, 1), (1, 5, 1, None, 2), (1, 5, 2, None, 2), (1, 9, 1, None, 2), (2, 7, 1, 12, 1), (2, 7, 1, None, 1)], key=str)
+    listed = found.filter("c IS NOT NULL").select("s", "c").join(found.filter("c IS NULL").select("s", "o", "l"), "s").select("s", "o", "l", "c")
+    pairs = linking.fan_out(clauses, coverages, ["s"])
+    assert listed.exceptAll(pairs).isEmpty() and pairs.exceptAll(listed).isEmpty()
+
+
+def test_product_links_of_the_query(spark):
+    product = QUERIES["build_links"](spark, DATA).filter("tier = 'product'").toPandas()
+    told, listed = product[product["l_partkey"].isna()], product[product["l_partkey"].notna()]
+    of_product = listed.groupby("l_suppkey")["l_partkey"].nunique()
+    assert len(told) and (told["n"].to_numpy() == of_product.loc[told["l_suppkey"]].to_numpy()).all() and (listed["n"] == 1).all()
+    assert listed.groupby("l_suppkey")[["l_orderkey", "l_linenumber"]].nunique().to_numpy().max() == 1
