@@ -56,3 +56,30 @@ def test_product_links_of_the_query(spark):
     of_product = listed.groupby("l_suppkey")["l_partkey"].nunique()
     assert len(told) and (told["n"].to_numpy() == of_product.loc[told["l_suppkey"]].to_numpy()).all() and (listed["n"] == 1).all()
     assert listed.groupby("l_suppkey")[["l_orderkey", "l_linenumber"]].nunique().to_numpy().max() == 1
+
+
+def test_clauses_are_dealt_out_for_tiers_that_concern_them(spark):
+    """Every tier dealt out all clauses that were left, also those that it cannot link."""
+    clauses = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a"), (5, "c")], "k int, said string")
+    seen = []
+
+    def tier(target, *words):
+        def links(left):
+            seen.append(sorted(r.k for r in left.collect()))
+            return left.filter(F.col("said").isin(*words) | F.lit("none" in words)).select("k", F.lit(target).alias("t"), F.lit(1).alias("score"))
+
+        return links
+
+    found, rest = linking.tiers_and_rest(clauses, ["k"], "t", [("x", tier(7, "a"), F.col("said") < "c"), ("y", tier(8, "b")), ("z", tier(9, "none"), F.col("said") > "b")])
+    assert seen == [[1, 2, 4], [2, 3, 5], [5]]
+    assert sorted(map(tuple, found.collect())) == [(1, 7, 1.0, "x"), (2, 8, 1.0, "y"), (4, 7, 1.0, "x"), (5, 9, 1.0, "z")]
+    assert [tuple(r) for r in rest.collect()] == [(3, None)] and rest.columns == clauses.columns
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_parents_of_links(spark, monkeypatch, few):
+    monkeypatch.setattr(linking, "FEW_PARENTS", few)
+    links = spark.createDataFrame([(1, 10, 1.0, "x"), (1, 11, 1.0, "x"), (2, 11, 0.8, "y"), (3, 10, 0.8, "y"), (4, 12, 0.8, "y")], "k int, t long, score double, tier string")
+    parents = spark.createDataFrame([(11, 10), (13, 10), (12, 14)], "t long, parent long")
+    up = linking.with_parents(links, parents, ["k"], "t").filter("tier = 'parent'")
+    assert sorted(map(tuple, up.collect())) == [(2, 10, 0.9, "parent"), (4, 14, 0.9, "parent")]
